@@ -4,26 +4,37 @@ from __future__ import annotations
 
 import os
 import re
+from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from fissure.llm.shared import kept_in_process
 
 #: Distinct words that a worker remembers before it starts afresh (bounds its memory, not its input).
-MEMO_WORDS = 600_000
+MEMO_WORDS = 1_000_000
 BATCH_WORDS = 4096
+MARKS = frozenset(",.;:!?")
+
+
+#: The characters that byte-level vocabularies write for bytes: printable Latin-1 stands for itself, the others follow from 256 up.
+_SELF = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_BYTE_CHARACTERS = {b: chr(b) for b in _SELF} | {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(_SELF)))}
+
+
+def _latin(word: str) -> bool:
+    return word.isalpha() and (word.isascii() or max(word) < "\u0100")
 
 
 class Encoder:
     """Encodes texts to little-endian unsigned 32-bit ids, given as bytes.
 
-    Both supported tokenizers split a text before they merge, and never across
-    a space that something other than white space follows. So ids of a text are
-    the ids of its space-separated pieces in a row, and each distinct piece is
-    encoded once. Texts with further white space behind a space, or with a
-    special token written out, are encoded whole.
-
-    keeps_space: whether a piece's ids depend on the space in front of it.
+    The supported tokenizers (byte-level BPE and BPE with word ends) split a text before they merge, and never across
+    a space that something other than white space follows, nor between a letter and a mark. So ids of a text are
+    the ids of its space-separated pieces in a row, ids of a piece of letters and a mark those of both,
+    and each distinct run of letters is encoded once. Texts with further white space
+    behind a space, or with a special token written out, are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -34,47 +45,104 @@ class Encoder:
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.separator = special[-1]
         self.separator_id = self.tokenizer.token_to_id(self.separator)
-        self.keeps_space = bool(self._plain(" a") != self._plain("a"))
+        #: Whether a piece's ids depend on the space in front of it, and whether case is dropped.
+        self.keeps_space = self._plain(" a") != self._plain("a")
+        self.folds = self._plain("Ab") == self._plain("ab")
+        #: Ids the vocabulary can give, and whether runs of letters may go to the model directly.
+        self.size = max(self.tokenizer.get_vocab(with_added_tokens=True).values()) + 1
+        self.direct = True
+        probe = ["a", "hello", "straße", "thorough", "éèê"]
+        self.direct = self._running(probe) == self._separate(probe, " " if self.keeps_space else "")
         self.whole = re.compile("|".join([r" (?=\s)", *map(re.escape, special)] if self.keeps_space else map(re.escape, special)))
+        self.stems: dict[str, bytes] = {}
         self.first: dict[str, bytes] = {}
         self.later: dict[str, bytes] = {} if self.keeps_space else self.first
 
-    def _plain(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
-    def _learn(self, words: set[str], memo: dict[str, bytes], lead: str) -> None:
-        new = list(words - memo.keys())
+    def _plain(self, text: str) -> bytes:
+        return self._ids(text).tobytes()
+
+    def _cut(self, ids: np.ndarray, ends: np.ndarray) -> list[bytes]:
+        """ids between places where pieces end."""
+        raw, at = ids.tobytes(), [0, *(4 * ends).tolist()]
+        return [raw[a:b] for a, b in zip(at, at[1:], strict=False)]
+
+    def _separate(self, words: list[str], lead: str) -> list[bytes]:
+        """ids of any pieces, encoded together with a special token between them."""
+        ids = self._ids(lead + (self.separator + lead).join(words))
+        cuts = np.flatnonzero(ids == self.separator_id)
+        rest = np.delete(ids, cuts)
+        return self._cut(rest, np.array([*(cuts - np.arange(len(cuts))), len(rest)]))
+
+    def _running(self, stems: list[str]) -> list[bytes]:
+        """ids of runs of letters: each is one unit before merging, so the model's merges alone are needed."""
+        if not self.direct:
+            return self._separate(stems, " " if self.keeps_space else "")
+        merge, lead = self.tokenizer.model.tokenize, _BYTE_CHARACTERS[32] if self.keeps_space else ""
+        plain = (lead + (s if s.isascii() else "".join(map(_BYTE_CHARACTERS.__getitem__, s.encode()))) for s in stems)
+        ids = [[t.id for t in merge(s)] for s in plain]
+        sizes = np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))
+        return self._cut(np.fromiter(chain.from_iterable(ids), "<u4", int(sizes[-1]) if len(ids) else 0), sizes)
+
+    def _learn(self, words: list[str], memo: dict[str, bytes], lead: str) -> None:
+        """Remembers the ids of all the given words."""
+        new = [w for w in words if w not in memo]
         if len(memo) + len(new) > MEMO_WORDS:
             memo.clear()
-            new = list(words)
-        for i in range(0, len(new), BATCH_WORDS):
-            some = new[i : i + BATCH_WORDS]
-            joined = lead + (self.separator + lead).join(some)
-            ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
-            cuts = np.flatnonzero(ids == self.separator_id)
-            raw, ends, starts = ids.tobytes(), [*(4 * cuts).tolist(), 4 * len(ids)], [0, *(4 * cuts + 4).tolist()]
-            memo.update((w, raw[a:b]) for w, a, b in zip(some, starts, ends, strict=True))
+            self.stems.clear()
+            new = words
+        built, built_stems, built_marks, odd = [], [], [], []
+        for w in new:
+            stem, mark = (w[:-1], w[-1]) if w[-1:] in MARKS else (w, "")
+            if (lead or not self.keeps_space) and _latin(stem):
+                built.append(w)
+                built_stems.append(stem.lower() if self.folds else stem)
+                built_marks.append(mark)
+            else:
+                odd.append(w)
+        stems = self.stems
+        unknown = list(set(built_stems) - stems.keys())
+        for i in range(0, len(unknown), BATCH_WORDS):
+            some = unknown[i : i + BATCH_WORDS]
+            stems.update(zip(some, self._running(some), strict=True))
+        marks = {m: self._plain(m) for m in MARKS} | {"": b""}
+        for w, stem, mark in zip(built, built_stems, built_marks, strict=True):
+            memo[w] = stems[stem] + marks[mark]
+        for i in range(0, len(odd), BATCH_WORDS):
+            some = odd[i : i + BATCH_WORDS]
+            memo.update(zip(some, self._separate(some, lead), strict=True))
+
+    def _pieces(self, texts: list[str]) -> list[bytes]:
+        """ids of texts that may be cut at every space."""
+        lists = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        at = lists.offsets.to_numpy()
+        coded = lists.flatten().dictionary_encode()
+        codes, words = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary.to_pylist()
+        self._learn(words, self.later, " " if self.keeps_space else "")
+        known = list(map(self.later.__getitem__, words))
+        if self.keeps_space:
+            heads = list(dict.fromkeys(words[c] for c in codes[at[:-1]].tolist()))
+            self._learn(heads, self.first, "")
+            place = {w: len(known) + i for i, w in enumerate(heads)}
+            known += map(self.first.__getitem__, heads)
+            codes[at[:-1]] = [place[words[c]] for c in codes[at[:-1]].tolist()]
+        ids = np.frombuffer(b"".join(known), "<u4")
+        sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        starts = np.cumsum(sizes) - sizes
+        lengths = sizes[codes]
+        upto = np.cumsum(lengths)
+        out = ids[np.arange(upto[-1]) + np.repeat(starts[codes] - upto + lengths, lengths)] if len(codes) else ids
+        ends = 4 * np.concatenate([[0], upto])[at]
+        raw = out.tobytes()
+        return [raw[a:b] for a, b in zip(ends.tolist(), ends[1:].tolist(), strict=False)]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text; None is empty."""
-        pieces = [None if t is None or self.whole.search(t) else t.split(" ") for t in texts]
-        heads = {p[0] for p in pieces if p}
-        self._learn(heads, self.first, "")
-        tails: set[str] = set()
-        tails.update(*(p for p in pieces if p))
-        self._learn(tails, self.later, " " if self.keeps_space else "")
-        first, later = self.first, self.later.__getitem__
-        out = []
-        for t, p in zip(texts, pieces, strict=True):
-            if t is None:
-                out.append(b"")
-            elif p is None:
-                out.append(self._plain(t))
-            elif self.keeps_space:
-                out.append(first[p[0]] + b"".join(map(later, p[1:])))
-            else:
-                out.append(b"".join(map(later, p)))
-        return out
+        odd = [t is None or bool(self.whole.search(t)) for t in texts]
+        plain = iter(self._pieces([t for t, o in zip(texts, odd, strict=True) if not o]))
+        return [next(plain) if not o else b"" if t is None else self._plain(t) for t, o in zip(texts, odd, strict=True)]
 
 
 def encoder(path: str) -> Encoder:
@@ -82,7 +150,7 @@ def encoder(path: str) -> Encoder:
     return kept_in_process(f"encoder {path}", lambda: Encoder(path))
 
 
-def text_chunks(texts: list[str | None], budget: int = 1 << 22):
+def text_chunks(texts: list[str | None], budget: int = 1 << 23):
     """Index ranges of about `budget` characters, so that work space stays bounded whatever a batch holds."""
     start = total = 0
     for i, t in enumerate(texts):

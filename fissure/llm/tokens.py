@@ -2,9 +2,9 @@
 
 A file is Arrow's random-access IPC format. Every record batch but the last has
 the same number of rows, and each row is one sequence: `input_ids`, a
-fixed-size list of unsigned 32-bit ids, and `loss_mask`, a fixed-size list of
-bytes, 1 for a real id and 0 for padding behind the file's last id. Sequence i of a file
-is therefore at a known place of its memory map, and reading it copies nothing. Beside each
+fixed-size list of unsigned ids, 16 bits wide where the vocabulary fits and else 32, and
+`loss_mask`, a fixed-size list of booleans (one bit each), true for a real id and false for padding
+behind the file's last id. Sequence i of a file is therefore at a known place of its memory map, and reading it copies nothing. Beside each
 data file lies an index file with one row per document: doc_id, start (ids of
 the file before it), n_tokens.
 """
@@ -43,9 +43,10 @@ def _filesystem(uri: str):
 class SequenceWriter:
     """Appends ids to a file as full sequences; pads only the last one."""
 
-    def __init__(self, sink, sequence: int):
+    def __init__(self, sink, sequence: int, narrow: bool):
         self.sequence = sequence
-        self.schema = pa.schema([("input_ids", pa.list_(pa.uint32(), sequence)), ("loss_mask", pa.list_(pa.uint8(), sequence))])
+        self.dtype = np.uint16 if narrow else np.uint32
+        self.schema = pa.schema([("input_ids", pa.list_(pa.from_numpy_dtype(self.dtype), sequence)), ("loss_mask", pa.list_(pa.bool_(), sequence))])
         self.writer = pa.ipc.new_file(sink, self.schema)
         self.waiting: list[bytes] = []
         self.size = self.written = 0
@@ -63,8 +64,8 @@ class SequenceWriter:
         for at in range(0, end, unit):
             part = np.frombuffer(raw, "<u4", count=min(unit, end - at) // 4, offset=at)
             rows = -(-len(part) // self.sequence)
-            ids, mask = np.zeros(rows * self.sequence, np.uint32), np.zeros(rows * self.sequence, np.uint8)
-            ids[: len(part)], mask[: len(part)] = part, 1
+            ids, mask = np.zeros(rows * self.sequence, self.dtype), np.zeros(rows * self.sequence, bool)
+            ids[: len(part)], mask[: len(part)] = part, True
             arrays = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.sequence) for x in (ids, mask)]
             self.writer.write_batch(pa.record_batch(arrays, schema=self.schema))
             self.written += rows
@@ -86,12 +87,11 @@ def _write_partition(folder: str, path: str, sequence: int, end_id: int):
         names = [posixpath.join(root, f"part-{part:06d}.{kind}.arrow") for kind in ("ids", "docs")]
         drafts = [f"{n}.{attempt}.draft" for n in names]
         index_schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
-        end, enc = np.array([end_id], "<u4").tobytes(), None
+        end, enc = np.array([end_id], "<u4").tobytes(), encoder(path)
         docs = tokens = 0
         with fs.open_output_stream(drafts[0]) as sink, fs.open_output_stream(drafts[1]) as index_sink:
-            ids, index = SequenceWriter(sink, sequence), pa.ipc.new_file(index_sink, index_schema)
+            ids, index = SequenceWriter(sink, sequence, max(enc.size - 1, end_id) < 1 << 16), pa.ipc.new_file(index_sink, index_schema)
             for batch in batches:
-                enc = enc or encoder(path)
                 keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
                 for a, b in text_chunks(texts):
                     starts, counts = [], []
@@ -138,12 +138,10 @@ def _open(uri: str):
     return fs.open_input_file(path)
 
 
-def read_sequence(data_path: str, i: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sequence i of a file and its mask: views of the memory map where the file is local."""
-    reader = pa.ipc.open_file(_open(data_path))
-    batch, row = reader.get_batch(i // ROWS_PER_BATCH), i % ROWS_PER_BATCH
-    width = batch.schema.field(0).type.list_size
-    return tuple(c.flatten().to_numpy(zero_copy_only=True)[row * width : (row + 1) * width] for c in batch.columns)
+def read_sequence(data_path: str, i: int) -> tuple[pa.Array, pa.Array]:
+    """Sequence i of a file and its mask: Arrow views of the memory map where the file is local."""
+    batch = pa.ipc.open_file(_open(data_path)).get_batch(i // ROWS_PER_BATCH)
+    return tuple(c[i % ROWS_PER_BATCH].values for c in batch.columns)
 
 
 def _document_ids(files: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,7 +161,7 @@ def _document_ids(files: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                             held = at // unit
                             view = data.get_batch(held).column(0).flatten().to_numpy(zero_copy_only=True)
                         end = min(start + count, (held + 1) * unit)
-                        crc = zlib.crc32(view[at - held * unit : end - held * unit], crc)
+                        crc = zlib.crc32(view[at - held * unit : end - held * unit].astype("<u4"), crc)
                         at = end
                     sums.append(crc)
                 arrays = [docs.column(0), pa.array([row["ahead"] + s for s in starts], pa.int64()), docs.column(2), pa.array(sums, pa.int64())]
