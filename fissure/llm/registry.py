@@ -6,11 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fissure.llm import packing, shards, tokens
+from fissure.llm import decontam, licenses, packing, pii, shards, sketch, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_output": tokens.op1_token_output,
+    "op4_pii": pii.op4_pii,
     "op5_packing": packing.op5_packing,
+    "op7_licenses": licenses.op7_licenses,
+    "op8_decontamination": decontam.op8_decontamination,
     "op9_sharding": shards.op9_sharding,
+    "op10_minhash": sketch.op10_minhash,
 }
 ORACLES: dict[str, str] = {}
