@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fissure.llm import decontam, licenses, packing, pii, shards, sketch, tokens
+from fissure.llm import decontam, langid, licenses, packing, pii, shards, sketch, tokens, urls, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_output": tokens.op1_token_output,
+    "op2_language_id": langid.op2_language_id,
+    "op3_url_filter": urls.op3_url_filter,
     "op4_pii": pii.op4_pii,
     "op5_packing": packing.op5_packing,
+    "op6_embedding_dedup": vectors.op6_embedding_dedup,
     "op7_licenses": licenses.op7_licenses,
     "op8_decontamination": decontam.op8_decontamination,
     "op9_sharding": shards.op9_sharding,

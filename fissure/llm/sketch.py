@@ -196,5 +196,20 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id").isNull() | (F.col("doc_id") == component)).alias("kept"))
 
 
+def one_of_each_group(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """docs without the rows that near_duplicates doesn't keep, and one row alone of a doc_id that repeats."""
+    found = near_duplicates(docs, n, percent)
+    gone = materialise(found.filter("not kept").select("doc_id").distinct(), "dropped")
+    few = gone.count() <= BROADCAST_IDS
+    kept = docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(docs.columns)
+    again = materialise(docs.filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("doc_id"), "repeated")
+    repeated = again.count()
+    if not repeated:
+        return kept
+    again = F.broadcast(again) if repeated <= BROADCAST_IDS else again
+    single = kept.join(again, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"])
+    return kept.join(again, "doc_id", "left_anti").select(docs.columns).unionByName(single)
+
+
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), n=4, percent=80)
