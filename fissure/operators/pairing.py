@@ -1,0 +1,45 @@
+"""Pairs from single-end mappings: all combinations of a read's two ends, with concordance and repeat limits."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+
+def pair_combinations(ends: DataFrame, concordant: tuple[int, int] = (200, 500), least_span: int = 0, most: int = 1000, anchor: int = 1000, multi: int = 100, edit_slop: int | None = None) -> DataFrame:
+    """Discordant combinations of each read id's mappings of end 1 and end 2.
+
+    ends: read_id, read_num (1 or 2), chrom, start, end, edit, strand. A read id goes if any combination is concordant
+    (facing, its span in the given half-open range) or overlaps too far (gap at most least_span), or if
+    its ends map to too many places. The most combinations with the fewest edits stay, by span and place among equals.
+    """
+    counts = ends.groupBy("read_id").agg(F.count_if(F.col("read_num") == 1).alias("m1"), F.count_if(F.col("read_num") == 2).alias("m2"))
+    one_unique = (F.col("m1") == 1) | (F.col("m2") == 1)
+    usable = (F.col("m1") > 0) & (F.col("m2") > 0) & F.when(one_unique, F.greatest("m1", "m2") <= anchor).otherwise(F.col("m1") * F.col("m2") <= multi)
+    kept = ends.join(counts.filter(usable), "read_id")
+    side = lambda i: kept.filter(F.col("read_num") == i).select("read_id", *([] if i == 2 else ["m1", "m2"]), *[F.col(c).alias(f"{c}_{i}") for c in ("chrom", "start", "end", "edit", "strand")])
+    both = side(1).join(side(2), "read_id")
+    same = F.col("chrom_1") == F.col("chrom_2")
+    gap = F.greatest("start_1", "start_2") - F.least("end_1", "end_2")
+    size = gap + (F.col("end_1") - F.col("start_1")) + (F.col("end_2") - F.col("start_2"))
+    low, high = concordant
+    forward = (F.col("strand_1") == "+") & (F.col("strand_2") == "-") & (F.col("end_2") - F.col("start_1") >= low) & (F.col("end_2") - F.col("start_1") < high)
+    backward = (F.col("strand_1") == "-") & (F.col("strand_2") == "+") & (F.col("end_1") - F.col("start_2") >= low) & (F.col("end_1") - F.col("start_2") < high)
+    both = both.withColumns({
+        "frag_size": F.when(same & (size <= 1_000_000), size),
+        "spoils": same & (forward | backward | (gap <= least_span)),
+        "edits": F.col("edit_1") + F.col("edit_2"),
+    })
+    per_read = Window.partitionBy("read_id")
+    both = both.withColumns({"spoilt": F.bool_or("spoils").over(per_read), "least": F.min("edits").over(per_read)}).filter(~F.col("spoilt"))
+    if edit_slop is not None:
+        both = both.filter(F.col("edits") <= F.col("least") + edit_slop)
+    order = per_read.orderBy("edits", F.col("frag_size").asc_nulls_last(), "chrom_1", "start_1", "end_1", "strand_1", "chrom_2", "start_2", "end_2", "strand_2", "edit_1")
+    both = both.withColumn("at", F.row_number().over(order)).filter(F.col("at") <= most)
+    flip = same & (F.col("start_2") < F.col("start_1")) & F.col("frag_size").isNotNull()
+    pick = lambda c, i: F.when(flip, F.col(f"{c}_{3 - i}")).otherwise(F.col(f"{c}_{i}"))
+    return both.select(
+        *[pick(c, i).alias(f"{'chrom' if c == 'chrom' else c}{i}") for i in (1, 2) for c in ("chrom", "start", "end")], "read_id",
+        F.when(flip, 2).otherwise(1).alias("which_mate_is_block1"), *[pick(c, i).alias(f"{c}{i}") for c in ("strand", "edit") for i in (1, 2)],
+        F.col("m1").alias("mappings1"), F.col("m2").alias("mappings2"), "frag_size",
+    )
