@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -23,6 +24,8 @@ SURE = 6.0
 #: Ids that are broadcast to filter a scan; a longer list is joined by shuffle.
 BROADCAST_IDS = 1_000_000
 LONG = pa.int64()
+#: Classes of a bucket that all its classes are compared with; sides of the blocks that compare what is then still apart.
+PIVOTS, LEFT_ROWS, RIGHT_ROWS = 4, 256, 512
 
 
 def registers(shingles: np.ndarray) -> np.ndarray:
@@ -122,39 +125,100 @@ def _estimated(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").mapInArrow(estimate, "a long, b long")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs whose full shingle sets are similar enough."""
+def _shingles(ids: DataFrame, docs: DataFrame, n: int) -> DataFrame:
+    """(id, shingles): the sets of the given doc_ids, from a second pass over the texts."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = list(_sets(batch, n))
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], LONG), pa.array([s.tobytes() for _, s in found], pa.binary())], ["id", "shingles"])
 
+    ids = materialise(ids.toDF("doc_id").distinct(), "candidates")
+    few = ids.count() <= BROADCAST_IDS
+    wanted = _texts(docs).join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+    return materialise(wanted.mapInArrow(sets, "id long, shingles binary").dropDuplicates(["id"]), "shingles")
+
+
+def _common(s: np.ndarray, others: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Elements of s in each of several sorted sets, which lie one behind the other."""
+    at = np.minimum(np.searchsorted(s, others), len(s) - 1)
+    return np.add.reduceat((s[at] == others).astype(np.int64), np.cumsum(sizes) - sizes)
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """The pairs whose full shingle sets are similar enough."""
+
     def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for x, y in zip(batch.column("xs").to_pylist(), batch.column("ys").to_pylist(), strict=True):
                 s, t = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                common = len(s) + len(t) - len(np.union1d(s, t))
+                common = int(_common(s, t, np.array([len(t)]))[0])
                 keep.append(100 * common >= percent * (len(s) + len(t) - common))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    ids = materialise(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "candidates")
-    few = ids.count() <= BROADCAST_IDS
-    wanted = _texts(docs).join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
-    found = materialise(wanted.mapInArrow(sets, "id long, shingles binary").dropDuplicates(["id"]), "shingles")
+    found = _shingles(pairs.select(F.explode(F.array("a", "b"))), docs, n)
     left, right = found.select(F.col("id").alias("a"), F.col("shingles").alias("xs")), found.select(F.col("id").alias("b"), F.col("shingles").alias("ys"))
     return pairs.join(left, "a").join(right, "b").mapInArrow(similar, "a long, b long")
 
 
+def _across(percent: int):
+    """applyInPandas body: links of a block's left rows to right rows of other components, one for each such component."""
+
+    def across(block: pd.DataFrame) -> pd.DataFrame:
+        left, right = block[block["is_left"]], block[block["is_right"]]
+        rep, root = right["rep"].to_numpy(), right["root"].to_numpy()
+        sets = [np.frombuffer(x, np.uint64) for x in right["shingles"]]
+        sizes = np.array([len(s) for s in sets])
+        out = []
+        for u, own, x in zip(left["rep"], left["root"], left["shingles"], strict=True):
+            s = np.frombuffer(x, np.uint64)
+            some = np.flatnonzero((root != own) & (100 * np.minimum(sizes, len(s)) >= percent * np.maximum(sizes, len(s))))
+            if len(some):
+                common = _common(s, np.concatenate([sets[i] for i in some]), sizes[some])
+                hit = some[100 * common >= percent * (len(s) + sizes[some] - common)]
+                _, first = np.unique(root[hit], return_index=True)
+                out += [(u, rep[i]) for i in hit[first]]
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return across
+
+
+def _links_across(met: DataFrame, components: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """Links between classes that meet in a bucket and that the pivots have left in different components.
+
+    A bucket's classes are compared under its most frequent component: those outside it with all. Buckets
+    with the same one share that work, and blocks of bounded size split it. Blocks
+    give a link for each two components that they tie, never pairs.
+    """
+    placed = met.join(components.withColumnRenamed("id", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep")).select("key", "rep", "root")
+    shares = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
+    mains = shares.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count(F.lit(1)).alias("roots"), F.sum("n").alias("size"))
+    split = mains.filter(f"roots > 1 and size > {PIVOTS + 1}").select("key", "main")
+    members = materialise(placed.join(split, "key").select("main", "rep", "root").distinct(), "members")
+    found = _shingles(members.select("rep"), docs, n)
+    counts = members.groupBy("main").agg(F.ceil(F.count_if(F.col("root") != F.col("main")) / LEFT_ROWS).cast("int").alias("lefts"), F.ceil(F.count(F.lit(1)) / RIGHT_ROWS).cast("int").alias("rights"))
+    rows = members.join(counts, "main").withColumns({"at_left": F.pmod(F.xxhash64("rep"), F.col("lefts")).cast("int"), "at_right": F.pmod(F.xxhash64("rep"), F.col("rights")).cast("int")})
+
+    def block(i, j, is_left, is_right):
+        return F.struct(i.alias("i"), j.alias("j"), F.lit(is_left).alias("is_left"), F.lit(is_right).alias("is_right"))
+
+    as_right = F.transform(F.sequence(F.lit(0), F.col("lefts") - 1), lambda i: block(i, F.col("at_right"), False, True))
+    as_left = F.transform(F.sequence(F.lit(0), F.col("rights") - 1), lambda j: block(F.col("at_left"), j, True, False))
+    blocks = F.when(F.col("root") != F.col("main"), F.concat(as_right, as_left)).otherwise(as_right)
+    rows = rows.select("main", "rep", "root", F.explode(blocks).alias("b")).select("main", "rep", "root", "b.*")
+    rows = rows.join(found.withColumnRenamed("id", "rep"), "rep")
+    return rows.groupBy("main", "i", "j").applyInPandas(_across(percent), "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """One row per document: n_shingles, component_id (smallest doc_id reachable by links), kept.
 
     Documents link if 100 * |A & B| >= percent * |A | B| for their sets of distinct
     n-word shingles (words between white space, A-Z lower-cased). Documents
     with the same set are one class from the start. Classes that agree in all registers of a band
-    meet: first each with the band's smallest class, then, where links have not yet
-    joined all of a band, every two that are still apart. So no link between
+    meet: first each with the band's PIVOTS smallest classes, then, where links have not yet
+    joined all of a band, those outside its main component with all. So no link between
     components is left out, and members of one group are not paired with each other.
 
     A null text or one without words is linked with nothing; fewer than n words make one
@@ -173,21 +237,14 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     band = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.col("registers").substr(i * width + 1, F.lit(width))))
     keyed = reps.select("rep", "n", F.explode(band).alias("key"))
     bucket = Window.partitionBy("key")
-    met = keyed.withColumns({"pivot": F.min(F.struct("rep", "n")).over(bucket), "size": F.count(F.lit(1)).over(bucket)}).filter("size > 1")
-    met = materialise(met.select("key", "rep", "n", F.col("pivot.rep").alias("pivot"), F.col("pivot.n").alias("pivot_n")), "buckets")
-
-    first = met.filter("rep <> pivot").filter(_near_sizes("n", "pivot_n", percent)).select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
-    first = materialise(_estimated(first, reps, percent), "pairs")
-    links = materialise(_verified(first, docs, n, percent), "links")
-    joined = connected_components(links)
-
-    placed = met.join(joined.withColumnRenamed("id", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    split = placed.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least <> most").select("key")
-    apart = materialise(placed.join(split, "key", "left_semi").filter("rep <> pivot").select("key", "rep", "n", "root"), "apart")
-    x, y = (apart.toDF("key", *[f"{c}_{s}" for c in ("rep", "n", "root")]) for s in "xy")
-    second = x.join(y, "key").filter("rep_x < rep_y and root_x <> root_y").filter(_near_sizes("n_x", "n_y", percent)).select(F.col("rep_x").alias("a"), F.col("rep_y").alias("b")).distinct()
-    second = materialise(_estimated(second, reps, percent), "pairs")
-    more = _verified(second, docs, n, percent)
+    met = keyed.withColumns({"size": F.count(F.lit(1)).over(bucket), "rank": F.row_number().over(bucket.orderBy("rep"))}).filter("size > 1")
+    met = materialise(met, "buckets")
+
+    pivots = met.filter(F.col("rank") <= PIVOTS).select("key", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("rank").alias("first"))
+    star = met.join(pivots, "key").filter("first < rank").filter(_near_sizes("n", "na", percent)).select("a", F.col("rep").alias("b")).distinct()
+    star = materialise(_estimated(star, reps, percent), "pairs")
+    links = materialise(_verified(star, docs, n, percent), "links")
+    more = _links_across(met, connected_components(links), docs, n, percent)
     sets = classes.filter("rep is not null")
     joined = materialise(connected_components(links.unionByName(more)), "components")
     named = sets.join(joined.withColumnRenamed("id", "rep"), "rep", "left").select(*mark, F.coalesce("root", "rep").alias("root"))
