@@ -29,8 +29,8 @@ class HarmonicPacker:
     sequences of its own; its rest joins the reserve. What a class's sequence leaves
     free (less than a further document of the class) is filled with pieces cut from
     the reserve. At the end of the block, documents of unfilled classes join
-    the reserve too, and what then remains of it is cut into full sequences, of which
-    the last alone is padded.
+    the reserve too, and where it runs out so do the documents of the emptiest sequences. What then remains of
+    it is cut into full sequences, of which the last alone is padded.
     """
 
     def __init__(self, capacity: int):
@@ -55,8 +55,11 @@ class HarmonicPacker:
         if len(self.open[j]) == j:
             self.gaps.append(self.open.pop(j))
 
+    def _free(self, sequence: list) -> int:
+        return self.capacity - sum(length for _, _, length in sequence)
+
     def _fill(self, sequence: list) -> None:
-        free = self.capacity - sum(length for _, _, length in sequence)
+        free = self._free(sequence)
         while free and self.reserve:
             doc, start, length = self.reserve.popleft()
             taken = min(free, length)
@@ -68,8 +71,13 @@ class HarmonicPacker:
     def finish(self) -> list[list]:
         for j in sorted(self.open):
             self.reserve.extend(self.open[j])
-        for sequence in self.gaps:
+        gaps = deque(sorted(self.gaps, key=self._free))
+        while gaps:
+            sequence = gaps.popleft()
             self._fill(sequence)
+            while self._free(sequence) and gaps:  # the reserve ran out: the emptiest sequence becomes part of it
+                self.reserve.extend(gaps.pop())
+                self._fill(sequence)
             self.closed.append(sequence)
         while self.reserve:
             rest: list = []
