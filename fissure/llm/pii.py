@@ -123,18 +123,23 @@ def disclosing_terms(found: DataFrame, docs: DataFrame, least_support: int = LEA
     of e with t: share = PMI(e, t) / IC(e) = log(N n_et / (n_e n_t)) / log(N / n_e). Copies of a context
     count once, and fewer than least_support of them prove nothing.
     """
-    seen = found.select(F.explode("mentions").alias("m")).select("m.entity", "m.terms").withColumn("context", F.xxhash64(F.array_sort("terms")))
+    seen = found.select("doc_id", "key", F.explode("mentions").alias("m")).select("doc_id", "key", "m.entity", "m.terms").withColumn("context", F.xxhash64(F.array_sort("terms")))
     contexts = seen.select("entity", "context").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_e")).filter(F.col("n_e") >= least_support)
     pairs = seen.select("entity", "context", F.explode("terms").alias("term")).distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_et")).filter(F.col("n_et") >= least_support)
-    pairs = materialise(pairs.join(contexts, "entity"), "pairs")
+    total = docs.count()
+    pairs = pairs.join(contexts, "entity").filter(F.col("n_e") < total)
+    # The share reaches the threshold only up to this number of documents with the term; those seen around
+    # entities are a part of them, so a term that exceeds it there already is settled without a scan.
+    most = F.col("n_et") * F.pow(total / F.col("n_e"), F.lit(1 - disclosure))
+    near = seen.select("doc_id", "key", F.explode("terms").alias("term")).distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_near"))
+    pairs = materialise(pairs.join(near, "term").filter(F.col("n_near") <= most * 1.000001), "pairs")
     terms = pairs.select("term").distinct()
     few = terms.count() <= BROADCAST_ROWS
     used = docs.select(F.explode(_terms(F.col("text").cast("string"))).alias("term"))
     counts = used.join(F.broadcast(terms) if few else terms, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-    total = F.lit(float(docs.count()))
     # A term of a context is in that document, so n_t >= 1; contexts of one document can exceed it.
     share = F.log(total * F.col("n_et") / (F.col("n_e") * F.greatest("n_t", "n_et"))) / F.log(total / F.col("n_e"))
-    scored = pairs.join(counts, "term").filter(F.col("n_e") < total).withColumn("share", share)
+    scored = pairs.join(counts, "term").withColumn("share", share)
     return scored.filter(F.col("share") >= disclosure).select("entity", "term", "share")
 
 
