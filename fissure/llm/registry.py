@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from fissure.llm import decontam, langid, licenses, packing, pii, shards, sketch, tokens, urls, vectors
+from fissure.llm.oracles import ORACLES  # noqa: F401
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_output": tokens.op1_token_output,
@@ -20,4 +21,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_sharding": shards.op9_sharding,
     "op10_minhash": sketch.op10_minhash,
 }
-ORACLES: dict[str, str] = {}

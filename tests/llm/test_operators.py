@@ -447,3 +447,17 @@ def test_shards_are_contiguous_and_near_equal(spark, odd, none, texts):
 
 def test_registered_queries(spark):
     assert [q.split("_")[0] for q in registry.QUERIES] == [f"op{i}" for i in range(1, 11)]
+
+
+@pytest.mark.parametrize("name", sorted(registry.ORACLES))
+def test_queries_equal_their_sql(spark, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    got, want = registry.QUERIES[name](spark, SF).toPandas(), con.sql(registry.ORACLES[name]).df()
+    columns = sorted(want.columns)
+    assert sorted(got.columns) == columns
+    plain = lambda d: sorted(repr([None if x is None or x != x else x for x in r]) for r in d[columns].astype(object).where(d[columns].notna(), None).values.tolist())
+    assert plain(got) == plain(want)
