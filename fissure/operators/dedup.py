@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fissure.operators.components import connected_components
+from fissure.operators.runs import number_runs, with_predecessor
 
 ROUTE = ["chrom1", "chrom2", "strand1", "strand2"]
 
@@ -18,12 +19,12 @@ def five_prime(mappings: DataFrame) -> DataFrame:
 
 def duplicate_runs(mappings: DataFrame, slop: int = 1, either: bool = False) -> DataFrame:
     """Marks mappings that lie within slop of their predecessor at both ends (either: at one), under another name; adds run."""
-    m = five_prime(mappings)
-    w = Window.partitionBy(*ROUTE).orderBy("p1", "p2", "read_id", "row_id")
-    near = [F.abs(F.col(c) - F.lag(c).over(w)) <= slop for c in ("p1", "p2")]
-    same = ((near[0] | near[1]) if either else (near[0] & near[1])) & (F.col("read_id") != F.lag("read_id").over(w))
-    marked = m.withColumns({"duplicate": F.coalesce(same, F.lit(False)), "before": F.lag("read_id").over(w)})
-    return marked.withColumn("run", F.sum(F.when(F.col("duplicate"), 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    order = ["p1", "p2", "read_id", "row_id"]
+    m = with_predecessor(five_prime(mappings), ROUTE, "p1", order, ["p1", "p2", "read_id"])
+    near = [F.abs(F.col(c) - F.col(f"before_{c}")) <= slop for c in ("p1", "p2")]
+    same = ((near[0] | near[1]) if either else (near[0] & near[1])) & (F.col("read_id") != F.col("before_read_id"))
+    marked = m.withColumns({"duplicate": F.coalesce(same, F.lit(False)), "before": F.col("before_read_id")}).drop("before_p1", "before_p2", "before_read_id")
+    return number_runs(marked, ROUTE, order, ~F.col("duplicate"), "run")
 
 
 def drop_duplicates(mappings: DataFrame, slop: int = 1, most_mappings: int = 1, either: bool = False) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fissure.operators.runs import number_runs, with_predecessor
+
 #: Fixed value: bases between one mapping's first block and the next one's beyond which a run ends.
 GAP = 2000
 ORDER = ["start1", "end1", "start2", "end2", "read_id", "row_id"]
@@ -16,10 +18,9 @@ def with_islands(routed: DataFrame, rule: str = "gap", gap: int = GAP) -> DataFr
     `gap`: a mapping starts a new island if its start1 lies more than gap behind its predecessor's end1.
     `inner`: if its end1 does not lie before its predecessor's start2. Only the immediate predecessor counts.
     """
-    w = Window.partitionBy("route").orderBy(*ORDER)
-    breaks = F.col("start1") - F.lag("end1").over(w) > gap if rule == "gap" else F.col("end1") >= F.lag("start2").over(w)
-    marked = routed.withColumn("opens", F.when(F.coalesce(breaks, F.lit(True)), 1).otherwise(0))
-    return marked.withColumn("island", F.sum("opens").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))).drop("opens")
+    rows = with_predecessor(routed, ["route"], "start1", ORDER, ["end1", "start2"])
+    breaks = F.col("start1") - F.col("before_end1") > gap if rule == "gap" else F.col("end1") >= F.col("before_start2")
+    return number_runs(rows, ["route"], ORDER, breaks, "island").drop("before_end1", "before_start2")
 
 
 def island_sizes(islands: DataFrame) -> DataFrame:
@@ -28,8 +29,8 @@ def island_sizes(islands: DataFrame) -> DataFrame:
 
 def split_by_size(islands: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
     """Islands of 2 to `most` mappings, and larger ones, which are set aside whole: a stated output, not a loss."""
-    size = F.count(F.lit(1)).over(Window.partitionBy("route", "island"))
-    sized = islands.withColumn("island_size", size)
+    key = ["route", "island"]
+    sized = islands.join(islands.groupBy(*key).agg(F.count(F.lit(1)).alias("island_size")), key)
     return sized.filter(f"island_size between 2 and {most}"), sized.filter(f"island_size > {most}")
 
 
