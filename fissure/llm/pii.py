@@ -210,7 +210,8 @@ def sanitise(docs: DataFrame) -> DataFrame:
     Null texts stay null, texts without findings stay as they are, and no row is dropped.
     """
     _, patterns = _analyse(docs)
-    rows = _with_patterns(docs, patterns, "left")
+    whole = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    rows = _with_patterns(whole, patterns, "left")
 
     def placed(kind: str, spans: Column) -> Column:
         return F.transform(spans, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.lit(kind).alias("kind")))
@@ -220,9 +221,12 @@ def sanitise(docs: DataFrame) -> DataFrame:
     terms = F.when(F.col("p_pattern").isNotNull(), placed("term", matches(text, F.col("p_pattern")))).otherwise(none)
     spans = F.concat(*[placed(k, base_spans(text, k)) for k in KINDS], terms)
     rows = rows.withColumn("p_spans", spans)
-    clean = F.when(F.size("p_spans") > 0, _masked(text, F.col("p_spans"))).otherwise(text)
-    out = {"text": clean} | ({"n_chars": F.length(clean).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
-    return rows.select(*[out[c].alias(c) if c in out else F.col(c) for c in docs.columns])
+    found = F.size("p_spans") > 0
+    rows = rows.withColumn("p_clean", F.when(found, _masked(text, F.col("p_spans"))).otherwise(text))
+    out = {"text": F.col("p_clean")}
+    if "n_chars" in docs.columns:
+        out["n_chars"] = F.when(found, F.length("p_clean").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
+    return rows.select(*[out[c].alias(c) if c in out else F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -229,6 +229,8 @@ def test_personal_data_equals_plain_matching(spark, odd, none, texts):
         assert [got[doc_id][f"n_{k}"] for k in PATTERNS] == [sum(s.startswith(k) for s in want) for k in PATTERNS]
     assert pii.find_personal_data(odd).count() == odd.count()
     assert pii.find_personal_data(none).count() == 0 and pii.sanitise(none).count() == 0
+    same = pii.sanitise(odd)
+    assert same.columns == odd.columns and sorted(map(repr, same.collect())) == sorted(map(repr, odd.collect()))
 
 
 def test_terms_that_disclose_an_entity(spark):
