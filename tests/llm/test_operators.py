@@ -319,7 +319,8 @@ def exact_vectors(rows, threshold=0.9):
     usable = {}
     for k, (i, v) in enumerate(rows):
         if i is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v):
-            usable[k] = np.array(v, float) / np.linalg.norm(v)
+            scaled = np.array(v, float) / max(map(abs, v))
+            usable[k] = scaled / np.linalg.norm(scaled)
     counts, links = Counter(), []
     keys = list(usable)
     for x, a in enumerate(keys):
