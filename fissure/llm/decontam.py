@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fissure.llm.shared import materialise, table
+from fissure.llm.shared import materialise, shared_value, table
 from fissure.llm.words import ALNUM, ngrams, word_hashes
 
 #: Words in a seed; chance occurrences in the whole corpus below which a seed is rare.
@@ -187,10 +187,10 @@ def find_copies(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         if not any(len(w) >= SEED for w in items.words):
             continue
         seeds = make_seeds(items, *_word_counts(docs, items.vocabulary()))
-        shared = spark.sparkContext.broadcast((items, seeds))
+        shared = shared_value(spark, (items, seeds))
 
         def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            (items, seeds), memo = shared.value, {}
+            (items, seeds), memo = shared(), {}
             for batch in batches:
                 rows = []
                 for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):

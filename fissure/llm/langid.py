@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fissure.llm.encoding import text_chunks
-from fissure.llm.shared import kept_in_process, materialise, table
+from fissure.llm.shared import kept_in_process, materialise, shared_value, table
 from fissure.llm.words import mix, stream
 
 #: Characters in the longest n-gram, and the discount at every order.
@@ -23,9 +23,13 @@ SAMPLE_ROWS, SAMPLE_CHARACTERS = 600, 3_000_000
 #: One sampled row in so many is kept from the models and calibrates the rejection.
 CALIBRATION = 4
 #: Standard deviations above a language's usual cross-entropy that are never rejected, and the slack beyond the calibration rows' worst.
-LEAST_SPREAD, SLACK = 6.0, 1.5
+LEAST_SPREAD, SLACK = 12.0, 1.5
+#: Nats an event by which whole documents of a language differ, however long (names, lists, other languages in them).
+BETWEEN = 0.15
 #: Share of the log-likelihood that the score believes; neighbouring characters are not independent.
 TEMPER = 0.1
+#: Characters scored at once; bounds a worker's memory.
+CHUNK = 1 << 21
 UNKNOWN = "und"
 EDGE = 32
 _PLACES = stream(11, ORDER) | np.uint64(1)
@@ -190,7 +194,8 @@ class Model:
     def calibrate(self, texts: list[str], languages: list[str]) -> None:
         """Learns each language's usual cross-entropy and how far texts of it stray from it.
 
-        A text strays by its cross-entropy's distance from the usual one over the standard error for its length.
+        A text strays by its cross-entropy's distance from the usual one over its standard error, which has a part
+        that shrinks with its length and one between documents, which doesn't.
         Whatever lies within LEAST_SPREAD, or within SLACK times the most that any
         calibration row of its own language strays, is accepted.
         """
@@ -207,9 +212,12 @@ class Model:
             self.usual[i] = np.average(mine[some], weights=n[some])
             off = (mine[some] - self.usual[i]) * np.sqrt(n[some])
             self.spread[i] = max(1.4826 * float(np.median(np.abs(off))), 1e-3)
-            worst = max(worst, float((off / self.spread[i]).max()))
+            worst = max(worst, float(((mine[some] - self.usual[i]) / self._error(i, n[some])).max()))
         self.limit = max(LEAST_SPREAD, SLACK * worst)
 
+    def _error(self, language: np.ndarray | int, n: np.ndarray) -> np.ndarray:
+        return np.sqrt(BETWEEN**2 + self.spread[language] ** 2 / np.maximum(n, 1))
+
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
         """Language, score, cross-entropy and rejection of each text."""
         entropy, n = self.score(texts)
@@ -217,7 +225,7 @@ class Model:
         lowest = entropy[np.arange(len(best)), best]
         score = 1 / np.exp((lowest[:, None] - entropy) * TEMPER * n[:, None]).sum(1)
         with np.errstate(invalid="ignore"):
-            strays = np.where(np.isinf(self.usual[best]), 0, (lowest - self.usual[best]) * np.sqrt(n) / self.spread[best])
+            strays = np.where(np.isinf(self.usual[best]), 0, (lowest - self.usual[best]) / self._error(best, n))
         empty = n == 0
         names = [UNKNOWN if e else self.languages[b] for e, b in zip(empty, best, strict=True)]
         return names, np.where(empty, 0.0, score), np.where(empty, np.nan, lowest), empty | (strays > self.limit)
@@ -275,13 +283,13 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     Only the text decides: equal texts get equal results. A null doc_id is not held out.
     An empty table gives no rows; columns besides doc_id and text are ignored.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = shared_value(docs.sparkSession, model)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        model = shared()
         for batch in batches:
             texts = batch.column(2).to_pylist()
-            for a, b in text_chunks(texts):
+            for a, b in text_chunks(texts, CHUNK):
                 names, score, entropy, rejected = model.predict(texts[a:b]) if model else ([UNKNOWN] * (b - a), np.zeros(b - a), np.full(b - a, np.nan), np.ones(b - a, bool))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0)[a:b], batch.column(1)[a:b], pa.array(names, pa.string()), pa.array(score), pa.array(entropy, from_pandas=True), pa.array(rejected)],
@@ -295,16 +303,22 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
 
 def accepted(docs: DataFrame, model: Model | None) -> DataFrame:
     """The documents that are not rejected, with their own columns; each row is judged by its text alone."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = shared_value(docs.sparkSession, model)
+
+    loaded: list[Model | None] = []
 
     @F.pandas_udf("boolean")
     def keeps(texts):
-        values = [t if isinstance(t, str) else None for t in texts]
-        out = [True] * 0
-        for a, b in text_chunks(values):
-            out += (~shared.value.predict(values[a:b])[3]).tolist() if shared.value else [False] * (b - a)
         import pandas as pd
 
+        if not loaded:
+            loaded.append(shared())
+        model = loaded[0]
+
+        values = [t if isinstance(t, str) else None for t in texts]
+        out: list[bool] = []
+        for a, b in text_chunks(values, CHUNK):
+            out += (~model.predict(values[a:b])[3]).tolist() if model else [False] * (b - a)
         return pd.Series(out, dtype=bool)
 
     return docs.filter(keeps(F.col("text").cast("string")))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 import sys
 import tempfile
 import types
@@ -9,6 +10,7 @@ import uuid
 from collections.abc import Callable
 from functools import reduce
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,6 +41,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_value(spark: SparkSession, value: object) -> Callable[[], object]:
+    """A broadcast that gives its value in a task; classes travel by value, so executors don't import this package."""
+    raw = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    return lambda: pickle.loads(raw.value)
+
+
 def process_state() -> types.ModuleType:
     """A module that lives as long as this Python worker, which Spark reuses for many tasks."""
     return sys.modules.setdefault("_fissure_process_state", types.ModuleType("_fissure_process_state"))
