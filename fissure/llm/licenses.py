@@ -18,28 +18,28 @@ BASE = {"under the mit license": "mit", "apache license version 2": "apache-2",
 
 #: Families: label, names that texts use (a regular expression on words), versions, gating keyword.
 FAMILIES = [
-    ("gpl", r"gnu (?:general public|gpl) licen[sc]e|gnu gpl|gpl", "1 2 3", b"g"),
-    ("lgpl", r"gnu (?:lesser|library) general public licen[sc]e|gnu lgpl|lgpl", "2 2 1 3", b"l"),
-    ("agpl", r"gnu affero general public licen[sc]e|affero gpl|agpl", "1 3", b"a"),
-    ("gfdl", r"gnu free documentation licen[sc]e|gfdl", "1 1 1 2 1 3", b"f"),
+    ("gpl", r"gnu (?:general public|gpl) licen[sc]e|gnu gpl|gpl", "1 2 3", b"gnu|gpl"),
+    ("lgpl", r"gnu (?:lesser|library) general public licen[sc]e|gnu lgpl|lgpl", "2 2 1 3", b"gnu|lgpl"),
+    ("agpl", r"gnu affero general public licen[sc]e|affero gpl|agpl", "1 3", b"affero|agpl"),
+    ("gfdl", r"gnu free documentation licen[sc]e|gfdl", "1 1 1 2 1 3", b"gnu|gfdl"),
     ("apache", r"apache (?:software )?licen[sc]e", "1 1 1 2", b"apache"),
-    ("mpl", r"mozilla public licen[sc]e|mpl", "1 1 1 2", b"m"),
-    ("epl", r"eclipse public licen[sc]e|epl", "1 2", b"e"),
-    ("cddl", r"common development and distribution licen[sc]e|cddl", "1 1 1", b"d"),
-    ("cpl", r"common public licen[sc]e|cpl", "1", b"c"),
-    ("eupl", r"european union public licen[sc]e|eupl", "1 1 1 2", b"u"),
+    ("mpl", r"mozilla public licen[sc]e|mpl", "1 1 1 2", b"mozilla|mpl"),
+    ("epl", r"eclipse public licen[sc]e|epl", "1 2", b"eclipse|epl"),
+    ("cddl", r"common development and distribution licen[sc]e|cddl", "1 1 1", b"common development|cddl"),
+    ("cpl", r"common public licen[sc]e|cpl", "1", b"common public|cpl"),
+    ("eupl", r"european union public licen[sc]e|eupl", "1 1 1 2", b"european|eupl"),
     ("afl", r"academic free licen[sc]e", "2 1 3", b"academic"),
     ("osl", r"open software licen[sc]e", "2 1 3", b"open software"),
     ("artistic", r"artistic licen[sc]e", "1 2", b"artistic"),
     ("ofl", r"sil open font licen[sc]e|open font licen[sc]e", "1 1", b"font"),
-    ("lppl", r"latex project public licen[sc]e|lppl", "1 2 1 3", b"l"),
-    ("zpl", r"zope public licen[sc]e|zpl", "1 1 2 2 1", b"z"),
-    ("psf", r"python software foundation licen[sc]e|psf licen[sc]e", "2", b"p"),
+    ("lppl", r"latex project public licen[sc]e|lppl", "1 2 1 3", b"latex|lppl"),
+    ("zpl", r"zope public licen[sc]e|zpl", "1 1 2 2 1", b"zope|zpl"),
+    ("psf", r"python software foundation licen[sc]e|psf licen[sc]e", "2", b"python|psf"),
     ("boost", r"boost software licen[sc]e", "1", b"boost"),
     ("cecill", r"cecill(?: free software)? licen[sc]e|cecill", "1 1 2 2 1", b"cecill"),
-    ("odbl", r"open (?:data commons open )?database licen[sc]e|odbl", "1", b"o"),
-    ("ms-pl", r"microsoft public licen[sc]e|ms pl", "1", b"m"),
-    ("ms-rl", r"microsoft reciprocal licen[sc]e|ms rl", "1", b"m"),
+    ("odbl", r"open (?:data commons open )?database licen[sc]e|odbl", "1", b"database|odbl"),
+    ("ms-pl", r"microsoft public licen[sc]e|ms pl", "1", b"microsoft|ms pl"),
+    ("ms-rl", r"microsoft reciprocal licen[sc]e|ms rl", "1", b"microsoft|ms rl"),
     ("ncsa", r"(?:university of illinois )?ncsa open source licen[sc]e", "1", b"ncsa"),
     ("postgresql", r"postgresql licen[sc]e", "1", b"postgresql"),
     ("openssl", r"openssl licen[sc]e", "1", b"openssl"),
@@ -48,7 +48,7 @@ FAMILIES = [
     ("mit", r"mit licen[sc]e|expat licen[sc]e", "", b"licen"),
     ("isc", r"isc licen[sc]e", "", b"isc"),
     ("zlib", r"zlib(?: libpng)? licen[sc]e", "", b"zlib"),
-    ("wtfpl", r"do what the fuck you want to public licen[sc]e|wtfpl", "2", b"w"),
+    ("wtfpl", r"do what the fuck you want to public licen[sc]e|wtfpl", "2", b"you want to|wtfpl"),
     ("unlicense", r"the unlicense|unlicense org", "", b"unlicense"),
 ]
 #: Creative Commons: element letters with their words.
@@ -58,7 +58,7 @@ CC_VERSIONS = ["1 0", "2 0", "2 5", "3 0", "4 0"]
 #: Sentences of licenses that do not name themselves: label, words, keyword.
 SENTENCES = [
     ("mit", r"permission is hereby granted free of charge to any person obtaining a copy", b"hereby granted"),
-    ("mit", r"the software is provided as is without warranty of any kind express or implied", b"as is"),
+    ("mit", r"the software is provided as is without warranty of any kind express or implied", b"warranty"),
     ("isc", r"permission to use copy modify and or distribute this software for any purpose", b"permission to use"),
     ("bsd", r"redistribution and use in source and binary forms with or without modification", b"redistribution"),
     ("bsd-3", r"neither the name of [^ ]+(?: [^ ]+){0,12} nor the names of its contributors", b"neither the name"),
@@ -70,7 +70,7 @@ SENTENCES = [
     ("boost", r"permission is hereby granted free of charge to any person or organization", b"hereby granted"),
     ("public-domain", r"(?:released|placed|dedicated) (?:in|into|to) the public domain", b"public domain"),
     ("all-rights-reserved", r"all rights reserved", b"rights reserved"),
-    ("proprietary", r"(?:proprietary and confidential|unauthorized (?:copying|reproduction) of this)", b"r"),
+    ("proprietary", r"(?:proprietary and confidential|unauthorized (?:copying|reproduction) of this)", b"confidential|unauthorized"),
     ("non-commercial", r"for (?:personal|academic|non ?commercial) (?:and non ?commercial )?use only", b"use only"),
 ]
 BSD_CLAUSES = {"0": "zero|0", "1": "one|1", "2": "two|2|simplified|freebsd", "3": "three|3|new|revised|modified", "4": "four|4|original"}
@@ -86,14 +86,14 @@ UNVERSIONED = [
     ("spdx licen[sc]e identifier {label}", 4, 1.0),
 ]
 #: A text without any of these holds none of the signatures.
-GATE = (b"licen", b"gpl", b"copyright", b"public domain", b"creative commons", b"spdx", b"rights reserved", b"wtfpl", b"cddl", b"use only", b"redistribut", b"permission", b"confidential", b"unauthorized", b"free software", b"unencumbered", b"advertising", b"neither the name", b"as is")
+GATE = (b"licen", b"gpl", b"copyright", b"public domain", b"creative commons", b"spdx", b"rights reserved", b"wtfpl", b"cddl", b"use only", b"redistribut", b"permission", b"confidential", b"unauthorized", b"free software", b"unencumbered", b"advertising", b"neither the name", b"warranty")
 
 
 @dataclass(frozen=True)
 class Rule:
     label: str
     pattern: str
-    keyword: bytes
+    keyword: bytes  # words of which a text must hold one, divided by |
     priority: int
     weight: float
 
@@ -117,10 +117,10 @@ def rules() -> list[Rule]:
         label, spelt = "cc-" + kind.replace(" ", "-"), " ".join(f"(?:{CC_ELEMENTS[e]})" for e in kind.split())
         for version in CC_VERSIONS:
             out.append(Rule(f"{label}-{version.replace(' ', '.')}", rf"creative commons {spelt}(?: [0-9])?(?: licen[sc]e)?(?: version)? {version}", b"commons", 4, 1.0))
-            out.append(Rule(f"{label}-{version.replace(' ', '.')}", rf"cc {kind} (?:licen[sc]e )?{version}", b"cc", 4, 1.0))
+            out.append(Rule(f"{label}-{version.replace(' ', '.')}", rf"cc {kind} (?:licen[sc]e )?{version}", b"cc by", 4, 1.0))
         out.append(Rule(label, rf"creative commons {spelt} licen[sc]e", b"commons", 2, 0.9))
-        out.append(Rule(label, rf"cc {kind} licen[sc]e", b"cc", 2, 0.8))
-    out.append(Rule("cc0", r"creative commons (?:zero|cc0)|cc0 1 0(?: universal)?", b"c", 3, 0.95))
+        out.append(Rule(label, rf"cc {kind} licen[sc]e", b"cc by", 2, 0.8))
+    out.append(Rule("cc0", r"creative commons (?:zero|cc0)|cc0 1 0(?: universal)?", b"cc0|creative commons zero", 3, 0.95))
     out += [Rule(label, pattern, keyword, 2, 0.85) for label, pattern, keyword in SENTENCES]
     return sorted(out, key=lambda r: (-r.priority, -r.weight, r.label, r.pattern))
 
@@ -130,7 +130,9 @@ class Scanner:
 
     def __init__(self):
         self.rules = [(r, re.compile(rb"(?<![^ ])(?:" + r.pattern.encode() + rb")(?![^ ])")) for r in rules()]
+        self.keywords = {r.keyword: r.keyword.split(b"|") for r, _ in self.rules}
         self.word = re.compile(rb"[0-9a-z\x80-\xff]+")
+        self.cc = re.compile(rb"(?<![0-9a-z\x80-\xff])cc[^0-9a-z\x80-\xff]+by(?![0-9a-z\x80-\xff])")
         gap = rb"[^0-9a-z\x80-\xff]+"
         self.base = [(label, phrase.encode().split(), re.compile(rb"(?<![0-9a-z\x80-\xff])" + gap.join(phrase.encode().split()) + rb"(?![0-9a-z\x80-\xff])")) for phrase, label in BASE.items()]
 
@@ -145,7 +147,7 @@ class Scanner:
                 places += at
                 base |= {label} if at else set()
         labels, score = set(base), 1.0 if base else 0.0
-        if any(k in low for k in GATE) or (b"cc" in low and b"by" in low):
+        if any(k in low for k in GATE) or self.cc.search(low):
             for label, weight in self._detect(low):
                 labels.add(label)
                 score = max(score, weight)
@@ -156,8 +158,9 @@ class Scanner:
         """Rules in order of priority; a detection inside one that was kept before it is suppressed."""
         words = b" ".join(self.word.findall(low))
         kept: list[tuple[int, int, str, float]] = []
+        there = {k for k, some in self.keywords.items() if any(w in words for w in some)}
         for rule, pattern in self.rules:
-            if rule.keyword in words:
+            if rule.keyword in there:
                 for m in pattern.finditer(words):
                     if not any(a <= m.start() and m.end() <= b for a, b, *_ in kept):
                         kept.append((m.start(), m.end(), rule.label, rule.weight))
