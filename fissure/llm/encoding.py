@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from fissure.llm.shared import kept_in_process
 
 #: Distinct words that a worker remembers before it starts afresh (bounds its memory, not its input).
-MEMO_WORDS = 1_000_000
+MEMO_WORDS = 500_000
 BATCH_WORDS = 4096
 MARKS = frozenset(",.;:!?")
 
