@@ -4,6 +4,7 @@ import math
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from fissure.jobs.registry import ORACLES, QUERIES
@@ -19,7 +20,7 @@ def duck():
 
 
 def _plain(x):
-    if x is None or (isinstance(x, float) and math.isnan(x)):
+    if x is None or x is pd.NA or (isinstance(x, float) and math.isnan(x)):
         return None
     if isinstance(x, bool) or str(type(x)).find("bool") >= 0:
         return bool(x)
