@@ -85,30 +85,33 @@ UNVERSIONED = [
     ("(?:under|terms of) the (?:{name})", 1, 0.7),
     ("spdx licen[sc]e identifier {label}", 4, 1.0),
 ]
-#: A text without any of these holds none of the signatures.
-GATE = (b"licen", b"gpl", b"copyright", b"public domain", b"creative commons", b"spdx", b"rights reserved", b"wtfpl", b"cddl", b"use only", b"redistribut", b"permission", b"confidential", b"unauthorized", b"free software", b"unencumbered", b"advertising", b"neither the name", b"warranty")
 
 
 @dataclass(frozen=True)
 class Rule:
     label: str
     pattern: str
-    keyword: bytes  # words of which a text must hold one, divided by |
+    keyword: bytes  # words of which every match holds one, divided by |
     priority: int
     weight: float
 
 
+def _keyword(form: str, keyword: bytes) -> bytes:
+    """Forms that spell the label need not hold a word of the name."""
+    return b"spdx" if "{label}" in form else keyword
+
+
 def rules() -> list[Rule]:
     """All signature rules, highest priority first; some hundreds, by families and forms."""
     out = []
     for label, name, versions, keyword in FAMILIES:
-        words = versions.split()
+        words, spelt = versions.split(), label.replace("-", " ")
         numbers = sorted({f"{a} {b}" for a, b in zip(words, words[1:], strict=False)} | set(words), key=len, reverse=True)
         for number in numbers:
             exact = number + (r"(?: 0)?" if " " not in number else "")
             for form, priority, weight in FORMS:
-                out.append(Rule(f"{label}-{number.replace(' ', '.')}", form.format(name=f"(?:{name})", version=exact, label=label), keyword, priority + (" " in number), weight))
-        out += [Rule(label, form.format(name=name, label=label), keyword, priority, weight) for form, priority, weight in UNVERSIONED]
+                out.append(Rule(f"{label}-{number.replace(' ', '.')}", form.format(name=f"(?:{name})", version=exact, label=spelt), _keyword(form, keyword), priority + (" " in number), weight))
+        out += [Rule(label, form.format(name=name, label=spelt), _keyword(form, keyword), priority, weight) for form, priority, weight in UNVERSIONED]
     for clauses, spelt in BSD_CLAUSES.items():
         out.append(Rule(f"bsd-{clauses}", rf"(?:{spelt}) clause bsd(?: licen[sc]e)?|bsd (?:{spelt}) clause(?: licen[sc]e)?", b"bsd", 3, 0.95))
         out.append(Rule(f"bsd-{clauses}", rf"(?:under|terms of) (?:the |a )?(?:{spelt}) (?:clause )?bsd licen[sc]e", b"bsd", 4, 1.0))
@@ -131,8 +134,7 @@ class Scanner:
     def __init__(self):
         self.rules = [(r, re.compile(rb"(?<![^ ])(?:" + r.pattern.encode() + rb")(?![^ ])")) for r in rules()]
         self.keywords = {r.keyword: r.keyword.split(b"|") for r, _ in self.rules}
-        self.word = re.compile(rb"[0-9a-z\x80-\xff]+")
-        self.cc = re.compile(rb"(?<![0-9a-z\x80-\xff])cc[^0-9a-z\x80-\xff]+by(?![0-9a-z\x80-\xff])")
+        self.letters = bytes(c if c >= 0x80 or chr(c) in "0123456789abcdefghijklmnopqrstuvwxyz" else 0x20 for c in range(256))
         gap = rb"[^0-9a-z\x80-\xff]+"
         self.base = [(label, phrase.encode().split(), re.compile(rb"(?<![0-9a-z\x80-\xff])" + gap.join(phrase.encode().split()) + rb"(?![0-9a-z\x80-\xff])")) for phrase, label in BASE.items()]
 
@@ -147,16 +149,15 @@ class Scanner:
                 places += at
                 base |= {label} if at else set()
         labels, score = set(base), 1.0 if base else 0.0
-        if any(k in low for k in GATE) or self.cc.search(low):
-            for label, weight in self._detect(low):
-                labels.add(label)
-                score = max(score, weight)
+        for label, weight in self._detect(low):
+            labels.add(label)
+            score = max(score, weight)
         ends = [int(np.searchsorted(starts, p)) for p in (min(places), max(places))] if places else [None, None]
         return len(starts), len(places), *ends, ",".join(sorted(base)), ",".join(sorted(labels)), score
 
     def _detect(self, low: bytes) -> list[tuple[str, float]]:
         """Rules in order of priority; a detection inside one that was kept before it is suppressed."""
-        words = b" ".join(self.word.findall(low))
+        words = b" ".join(low.translate(self.letters).split())
         kept: list[tuple[int, int, str, float]] = []
         there = {k for k, some in self.keywords.items() if any(w in words for w in some)}
         for rule, pattern in self.rules:

@@ -380,6 +380,42 @@ def test_license_phrases_equal_plain_search(odd, none, texts, spark):
     assert len(licenses.rules()) > 200
 
 
+def spelt(parsed, nth, full):
+    """A text that a parsed pattern matches: the nth branch of each choice, optional parts in or out."""
+    out = ""
+    for op, arg in parsed:
+        kind = str(op)
+        if kind == "LITERAL":
+            out += chr(arg)
+        elif kind == "NOT_LITERAL":
+            out += "x"
+        elif kind == "IN":
+            out += chr(arg[0][1] if str(arg[0][0]) == "LITERAL" else arg[0][1][0])
+        elif kind == "BRANCH":
+            out += spelt(arg[1][nth % len(arg[1])], nth, full)
+        elif kind == "MAX_REPEAT":
+            out += spelt(arg[2], nth, full) * min(arg[full], 2)
+        elif kind == "SUBPATTERN":
+            out += spelt(arg[3], nth, full)
+        else:
+            raise ValueError(kind)
+    return out
+
+
+def test_every_rule_gives_its_label():
+    scanner, lost = licenses.Scanner(), set()
+    for rule in licenses.rules():
+        parsed = re._parser.parse(rule.pattern)
+        for text in {spelt(parsed, nth, full) for nth in range(6) for full in (False, True)}:
+            for gap in (" ", "\n", " -\r\n"):
+                wrapped = f"Ab {text}".upper().replace(" ", gap).encode()
+                if rule.label not in scanner.scan(wrapped)[5].split(","):
+                    lost.add((rule.label, wrapped))
+    assert not lost
+    for text, label in {"covered by MPL 2.0": "mpl-2", "BSD 3-Clause": "bsd-3", "CC0 1.0 Universal": "cc0", "EPL-2.0": "epl-2", "EUPL v1.2": "eupl-1.2", "CeCILL 2.1": "cecill-2.1", "GFDL 1.3": "gfdl-1.3", "ODbL 1.0": "odbl-1", "LPPL version 1.3": "lppl-1.3", "Unless required by applicable law or agreed to in writing, software": "apache", "SPDX-License-Identifier: OFL-1.1": "ofl-1.1", "SPDX-License-Identifier: MS-PL": "ms-pl", "released into the public\ndomain": "public-domain", "All rights\nreserved": "all-rights-reserved"}.items():
+        assert label in scanner.scan(text.encode())[5].split(","), text
+
+
 def test_rules_inside_others_are_suppressed():
     scan = licenses.Scanner().scan(b"Licensed under the GNU General Public License version 2.1 or later")
     assert scan[5] == "gpl-2" or scan[5].startswith("gpl-2")
