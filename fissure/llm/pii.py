@@ -5,6 +5,9 @@ Column expressions, joins and aggregates only; no Python runs on the executors.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,10 +26,8 @@ PATTERNS = {
 HINTS = {"email": r"@[A-Za-z0-9-]", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
 _PART = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 _IP = rf"^{_PART}\.{_PART}\.{_PART}\.{_PART}$"
-#: Characters on either side of a span in which terms count as occurring with it, and the shortest term.
-CONTEXT, SHORTEST = 80, 4
-#: Distinct contexts that a term and an entity must share, and the share of the entity's information that the term gives away.
-LEAST_SUPPORT, DISCLOSURE = 3, 0.8
+#: The share of an entity's information that a disclosing term gives away, and how many terms may seem to by chance for an entity.
+DISCLOSURE, CHANCE = 0.8, 0.05
 BROADCAST_ROWS = 200_000
 SPANS = "array<struct<start:int,end:int>>"
 
@@ -87,7 +88,7 @@ def _entity(kind: str, value: Column) -> Column:
 
 
 def _terms(text: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(rf"\p{{L}}{{{SHORTEST},}}"), F.lit(0)))
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}+"), F.lit(0)))
 
 
 def _key(text: Column) -> Column:
@@ -95,57 +96,73 @@ def _key(text: Column) -> Column:
 
 
 def _mentions(kind: str) -> Column:
-    """An array of (entity, context terms) for a kind's spans."""
-    text = F.col("text")
+    """An array of a kind's spans with the entities they name."""
+    return F.transform(kind, lambda m: F.struct(m["start"], m["end"], _entity(kind, m["value"]).alias("entity")))
+
+
+def _replaced(text: Column, spans: Column, put: Callable[[Column], Column]) -> Column:
+    """text with what put makes of it in place of each span; overlapping spans are replaced as one."""
+    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
-    def mention(m: Column) -> Column:
-        front = F.greatest(m["start"] - CONTEXT, F.lit(0))
-        around = F.concat(text.substr(front + 1, m["start"] - front), F.lit(" | "), text.substr(m["end"] + 1, F.lit(CONTEXT)))
-        return F.struct(_entity(kind, m["value"]).alias("entity"), _terms(around).alias("terms"))
+    def step(state: Column, s: Column) -> Column:
+        apart = s["start"] >= state["at"]
+        gap = text.substr(state["at"] + 1, F.greatest(s["start"] - state["at"], F.lit(0)))
+        out = F.when(apart, F.concat(state["out"], gap, put(s))).otherwise(state["out"])
+        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), out.alias("out"))
 
-    return F.transform(F.col(kind), mention)
+    return F.aggregate(F.array_sort(spans), begin, step, lambda s: F.concat(s["out"], text.substr(s["at"] + 1, F.length(text))))
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """doc_id, a key of the text, each kind's spans, and the mentions of entities; one pass over the texts."""
+    """doc_id, a key of the text, each kind's spans, the entities they name and the terms outside them; one pass over the texts."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.select("doc_id", "text", *[base_spans(F.col("text"), k).alias(k) for k in KINDS])
-    some = F.size("email") + F.size("ip") + F.size("card") + F.size("phone") > 0
-    mentions = F.when(some, F.concat(*[_mentions(k) for k in KINDS]))
+    found = F.concat(*[_mentions(k) for k in KINDS])
+    outside = F.when(F.size("found") > 0, _replaced(F.col("text"), F.col("found"), lambda s: F.lit(" "))).otherwise(F.col("text"))
     spans = [F.transform(k, lambda m: F.struct(m["start"], m["end"])).cast(SPANS).alias(k) for k in KINDS]
-    return materialise(rows.select("doc_id", _key(F.col("text")).alias("key"), *spans, mentions.alias("mentions")), "spans")
+    rows = rows.withColumn("found", found).select("doc_id", _key(F.col("text")).alias("key"), *spans, F.array_distinct("found.entity").alias("entities"), _terms(outside).alias("terms"))
+    return materialise(rows, "spans")
 
 
-def disclosing_terms(found: DataFrame, docs: DataFrame, least_support: int = LEAST_SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
+def disclosing_terms(found: DataFrame, disclosure: float = DISCLOSURE, chance: float = CHANCE) -> DataFrame:
     """(entity, term, share): terms that give away at least the given share of an entity's information.
 
-    With N documents, n_e distinct contexts of entity e, n_t documents with term t and n_et distinct contexts
-    of e with t: share = PMI(e, t) / IC(e) = log(N n_et / (n_e n_t)) / log(N / n_e). Copies of a context
-    count once, and fewer than least_support of them prove nothing.
+    Of N distinct texts, n_e mention entity e, n_t hold term t outside the spans and n_et do both:
+    share = PMI(e, t) / IC(e) = log(N n_et / (n_e n_t)) / log(N / n_e). If t fell on texts at random, it would be in
+    so many of the n_e with a probability of at most exp(-n_e KL(n_et / n_e, n_t / N)) (Chernoff); less than the
+    given number of the corpus's terms may be expected to do so.
     """
-    seen = found.select("doc_id", "key", F.explode("mentions").alias("m")).select("doc_id", "key", "m.entity", "m.terms").withColumn("context", F.xxhash64(F.array_sort("terms")))
-    contexts = seen.select("entity", "context").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_e")).filter(F.col("n_e") >= least_support)
-    pairs = seen.select("entity", "context", F.explode("terms").alias("term")).distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_et")).filter(F.col("n_et") >= least_support)
-    total = docs.count()
-    pairs = pairs.join(contexts, "entity").filter(F.col("n_e") < total)
-    # The share reaches the threshold only up to this number of documents with the term; those seen around
-    # entities are a part of them, so a term that exceeds it there already is settled without a scan.
-    most = F.col("n_et") * F.pow(total / F.col("n_e"), F.lit(1 - disclosure))
-    near = seen.select("doc_id", "key", F.explode("terms").alias("term")).distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_near"))
-    pairs = materialise(pairs.join(near, "term").filter(F.col("n_near") <= most * 1.000001), "pairs")
+    once = materialise(found.select("key", "entities", "terms").dropDuplicates(["key"]), "texts")
+    total = once.count()
+    used = once.select(F.explode("terms").alias("term"))
+    least = math.log(max(used.agg(F.approx_count_distinct("term").alias("n")).first()["n"], 1) / chance)
+    n_e, n_et = F.col("n_e"), F.col("n_et")
+
+    def share(n_t: Column) -> Column:
+        return F.log(total * n_et / (n_e * n_t)) / F.log(total / n_e)
+
+    def evidence(n_t: Column) -> Column:
+        a, b = n_et / n_e, n_t / F.lit(total)
+        return n_et * (F.log(a) - F.log(b)) + F.when(n_et < n_e, (n_e - n_et) * (F.log(1 - a) - F.log(1 - b))).otherwise(0.0)
+
+    seen = once.select(F.explode("entities").alias("entity"), "terms")
+    # n_t >= n_et, and evidence is most where both equal n_e: an entity that fails there has no term.
+    entities = seen.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e")).filter((n_e < total) & (n_e * F.log(total / n_e) >= least))
+    entities = materialise(entities, "entities")
+    few = entities.count() <= BROADCAST_ROWS
+    pairs = seen.join(F.broadcast(entities) if few else entities, "entity").select("entity", "n_e", F.explode("terms").alias("term"))
+    pairs = pairs.groupBy("entity", "n_e", "term").agg(F.count(F.lit(1)).alias("n_et"))
+    pairs = materialise(pairs.filter((share(n_et) >= disclosure) & (evidence(n_et) >= least)), "pairs")
     terms = pairs.select("term").distinct()
     few = terms.count() <= BROADCAST_ROWS
-    used = docs.select(F.explode(_terms(F.col("text").cast("string"))).alias("term"))
     counts = used.join(F.broadcast(terms) if few else terms, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-    # A term of a context is in that document, so n_t >= 1; contexts of one document can exceed it.
-    share = F.log(total * F.col("n_et") / (F.col("n_e") * F.greatest("n_t", "n_et"))) / F.log(total / F.col("n_e"))
-    scored = pairs.join(counts, "term").withColumn("share", share)
-    return scored.filter(F.col("share") >= disclosure).select("entity", "term", "share")
+    n_t = F.col("n_t")
+    return pairs.join(counts, "term").withColumn("share", share(n_t)).filter((F.col("share") >= disclosure) & (evidence(n_t) >= least)).select("entity", "term", "share")
 
 
 def term_patterns(found: DataFrame, terms: DataFrame) -> DataFrame:
     """(doc_id, key, pattern): one pattern of all terms that disclose an entity which the document mentions."""
-    mentioned = found.select("doc_id", "key", F.explode("mentions.entity").alias("entity")).distinct()
+    mentioned = found.select("doc_id", "key", F.explode("entities").alias("entity")).distinct()
     here = mentioned.join(terms, "entity").groupBy("doc_id", "key").agg(F.sort_array(F.collect_set("term")).alias("terms"))
     return here.select("doc_id", "key", F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join("terms", "|"), F.lit(r")(?!\p{L})")).alias("pattern"))
 
@@ -165,7 +182,7 @@ def _labelled(kind: str, spans: Column) -> Column:
 
 def _analyse(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     found = scan(docs)
-    terms = disclosing_terms(found, docs)
+    terms = disclosing_terms(found)
     return found, materialise(term_patterns(found, terms), "patterns")
 
 
@@ -191,19 +208,6 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
     )
 
 
-def _masked(text: Column, spans: Column) -> Column:
-    """text with each span replaced by its kind; overlapping spans are replaced as one."""
-    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(state: Column, s: Column) -> Column:
-        apart = s["start"] >= state["at"]
-        gap = text.substr(state["at"] + 1, F.greatest(s["start"] - state["at"], F.lit(0)))
-        out = F.when(apart, F.concat(state["out"], gap, F.lit("<"), F.upper(s["kind"]), F.lit(">"))).otherwise(state["out"])
-        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), out.alias("out"))
-
-    return F.aggregate(F.array_sort(spans), begin, step, lambda s: F.concat(s["out"], text.substr(s["at"] + 1, F.length(text))))
-
-
 def sanitise(docs: DataFrame) -> DataFrame:
     """docs with personal data and disclosing terms generalised to their kind, and n_chars to match where present.
 
@@ -222,7 +226,7 @@ def sanitise(docs: DataFrame) -> DataFrame:
     spans = F.concat(*[placed(k, base_spans(text, k)) for k in KINDS], terms)
     rows = rows.withColumn("p_spans", spans)
     found = F.size("p_spans") > 0
-    rows = rows.withColumn("p_clean", F.when(found, _masked(text, F.col("p_spans"))).otherwise(text))
+    rows = rows.withColumn("p_clean", F.when(found, _replaced(text, F.col("p_spans"), lambda s: F.concat(F.lit("<"), F.upper(s["kind"]), F.lit(">")))).otherwise(text))
     out = {"text": F.col("p_clean")}
     if "n_chars" in docs.columns:
         out["n_chars"] = F.when(found, F.length("p_clean").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))

@@ -246,6 +246,24 @@ def test_terms_that_disclose_an_entity(spark):
     assert clean[100]["text"] == rows[4][1]
 
 
+def test_terms_far_from_an_entity_and_short_ones_disclose_it(spark):
+    """One context around the entity, and the term outside 80 characters of it."""
+    far = "water and stone and wood and sand " * 6
+    words = ["apples", "rivers", "clouds", "stones", "meadow"]
+    rows = [(i, f"{w} Zoe {far}write to boss@corp.example {far}") for i, w in enumerate(words)]
+    rows += [(10 + i, rows[0][1]) for i in range(9)]
+    rows += [(100 + i, f"{w} {far}write to one another {far} {chr(97 + i // 26)}{chr(97 + i % 26)}x") for i, w in enumerate(words * 12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    spans = {r["doc_id"]: r["spans"].split(",") for r in pii.find_personal_data(docs).collect()}
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(docs).collect()}
+    for i, w in enumerate(words):
+        assert [s for s in spans[i] if s.startswith("term")] == [f"term:{len(w) + 1}:{len(w) + 4}"]
+        assert clean[i].startswith(f"{w} <TERM> water")
+    assert all(clean[i] == t for i, t in rows if i >= 100)
+    once = spark.createDataFrame(rows[:1] + rows[5:], "doc_id long, text string")
+    assert not any("term" in r["spans"] for r in pii.find_personal_data(once).collect())  # copies of a text count once
+
+
 def exact_components(links, ids):
     root = {i: i for i in ids}
 
