@@ -161,9 +161,11 @@ def disclosing_terms(found: DataFrame, disclosure: float = DISCLOSURE, chance: f
 
 
 def term_patterns(found: DataFrame, terms: DataFrame) -> DataFrame:
-    """(doc_id, key, pattern): one pattern of all terms that disclose an entity which the document mentions."""
-    mentioned = found.select("doc_id", "key", F.explode("entities").alias("entity")).distinct()
-    here = mentioned.join(terms, "entity").groupBy("doc_id", "key").agg(F.sort_array(F.collect_set("term")).alias("terms"))
+    """(doc_id, key, pattern): one pattern of all terms in the document that disclose an entity, mentioned there or not."""
+    terms = materialise(terms.select("term").distinct(), "terms")
+    few = terms.count() <= BROADCAST_ROWS
+    held = found.select("doc_id", "key", F.explode("terms").alias("term"))
+    here = held.join(F.broadcast(terms) if few else terms, "term").groupBy("doc_id", "key").agg(F.sort_array(F.collect_set("term")).alias("terms"))
     return here.select("doc_id", "key", F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join("terms", "|"), F.lit(r")(?!\p{L})")).alias("pattern"))
 
 
@@ -191,7 +193,7 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
 
     A null text is empty; null doc_ids and repeated rows each give a row; an empty
     table gives none; columns besides doc_id and text are ignored. Spans of different kinds may
-    overlap. A term's spans are marked in the documents that mention the entity it discloses.
+    overlap. A term's spans are marked in every document that holds it outside base spans.
     """
     found, patterns = _analyse(docs)
     marked = _with_patterns(docs.select("doc_id", "text"), patterns, "inner")

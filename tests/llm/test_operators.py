@@ -264,6 +264,16 @@ def test_terms_far_from_an_entity_and_short_ones_disclose_it(spark):
     assert not any("term" in r["spans"] for r in pii.find_personal_data(once).collect())  # copies of a text count once
 
 
+def test_terms_are_marked_without_a_mention(spark):
+    rows = [(i, f"{w} Zorblax wrote from boss@corp.example today") for i, w in enumerate(["apples", "rivers", "clouds", "stones", "meadow"])]
+    rows += [(50, "Nobody else than zorblax could do it")] + [(100 + i, f"somebody wrote today about number{chr(97 + i)}") for i in range(26)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    spans = {r["doc_id"]: r["spans"] for r in pii.find_personal_data(docs).collect()}
+    assert spans[50] == "term:17:24" and spans[100] == ""
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(docs).collect()}
+    assert clean[50] == "Nobody else than <TERM> could do it" and clean[100] == rows[6][1]
+
+
 def exact_components(links, ids):
     root = {i: i for i in ids}
 
