@@ -120,7 +120,7 @@ def scan(docs: DataFrame) -> DataFrame:
     found = F.concat(*[_mentions(k) for k in KINDS])
     outside = F.when(F.size("found") > 0, _replaced(F.col("text"), F.col("found"), lambda s: F.lit(" "))).otherwise(F.col("text"))
     spans = [F.transform(k, lambda m: F.struct(m["start"], m["end"])).cast(SPANS).alias(k) for k in KINDS]
-    rows = rows.withColumn("found", found).select("doc_id", _key(F.col("text")).alias("key"), *spans, F.array_distinct("found.entity").alias("entities"), _terms(outside).alias("terms"))
+    rows = rows.withColumn("found", found).select("doc_id", F.monotonically_increasing_id().alias("row"), _key(F.col("text")).alias("key"), *spans, F.array_distinct("found.entity").alias("entities"), _terms(outside).alias("terms"))
     return materialise(rows, "spans")
 
 
@@ -132,7 +132,10 @@ def disclosing_terms(found: DataFrame, disclosure: float = DISCLOSURE, chance: f
     so many of the n_e with a probability of at most exp(-n_e KL(n_et / n_e, n_t / N)) (Chernoff); less than the
     given number of the corpus's terms may be expected to do so.
     """
-    once = materialise(found.select("key", "entities", "terms").dropDuplicates(["key"]), "texts")
+    repeated = found.groupBy("key").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "first")
+    repeated = materialise(repeated, "repeated")
+    few = repeated.count() <= BROADCAST_ROWS
+    once = found.select("key", "row", "entities", "terms").join(F.broadcast(repeated) if few else repeated, "key", "left").filter("first is null or row = first")
     total = once.count()
     used = once.select(F.explode("terms").alias("term"))
     least = math.log(max(used.agg(F.approx_count_distinct("term").alias("n")).first()["n"], 1) / chance)
