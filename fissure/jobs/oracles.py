@@ -23,10 +23,11 @@ O = (
     + ", ".join(f"CASE WHEN flipped THEN {c}{3 - i} ELSE {c}{i} END AS {c}{i}" for c in ("chrom", "start", "end", "strand") for i in (1, 2))
     + " FROM f)"
 )
+#: A mate's place, from rows as they come: ordering the blocks of a row must not change whose place is whose.
 _PLACE = "CASE WHEN which_mate = {} THEN {{'c': chrom1, 's': start1, 'e': end1}} ELSE {{'c': chrom2, 's': start2, 'e': end2}} END"
 C = (
     O
-    + f""", n AS (SELECT file_num, read_id, count(DISTINCT {_PLACE.format(1)}) AS n1, count(DISTINCT {_PLACE.format(2)}) AS n2, min(edit1 + edit2) AS least FROM o GROUP BY ALL),
+    + f""", n AS (SELECT file_num, read_id, count(DISTINCT {_PLACE.format(1)}) AS n1, count(DISTINCT {_PLACE.format(2)}) AS n2, min(edit1 + edit2) AS least FROM m GROUP BY ALL),
 c AS (SELECT o.*, n1, n2, least, CASE WHEN n1 = 1 AND n2 = 1 THEN 1 WHEN n1 = 1 OR n2 = 1 THEN 2 ELSE 3 END AS mapping_type FROM o JOIN n USING (file_num, read_id))"""
 )
 R = C + ", r AS (SELECT *, chrom1 || '.' || chrom2 || '.' || strand1 || '.' || strand2 AS route FROM c WHERE edit1 + edit2 <= least AND start2 > end1)"
@@ -87,6 +88,45 @@ u AS (SELECT *, sum(opens) OVER ({_RUN} ROWS UNBOUNDED PRECEDING) AS run FROM q)
 z AS (SELECT a.contig_id, bool_and({_AGREE}) AS agrees FROM u a JOIN u b USING ({_KEY}, run) GROUP BY a.contig_id),
 runs AS (SELECT u.*, z.agrees FROM u JOIN z USING (contig_id))"""
 )
+_MEANS = ["mean_mm1", "mean_mm2", "mean_mappings1", "mean_mappings2", "mean_mapq1", "mean_mapq2"]
+_SUMS = ["distinct_pairs", "num_pairs", "final_support", "num_uniq", "num_anch", "num_mult"]
+_WEIGHTS = ["all_weighted_support", "final_weighted_support"]
+_WHOLE = ", ".join(
+    ["min(contig_id) AS contig_id, min(min_start1) AS min_start1, max(max_end1) AS max_end1, min(min_start2) AS min_start2, max(max_end2) AS max_end2, list_sort(flatten(list(members))) AS members"]
+    + [f"CAST(sum({c}) // count(*) AS BIGINT) AS {c}" for c in _MEANS]
+    + [f"CAST(sum({c}) AS BIGINT) AS {c}" for c in _SUMS]
+    + [f"CAST(sum(CAST(round({c} * 10) AS BIGINT)) AS DOUBLE) / 10 AS {c}" for c in _WEIGHTS]
+)
+#: Rounds that the SQL spells out; more than the given tables need, and a round on settled calls changes nothing.
+_RUN_ROUNDS, _PAIR_ROUNDS = 8, 12
+
+
+def _by_runs(of: str, to: str, by: str) -> str:
+    """A round of merging the calls of runs that all agree."""
+    rest = ", ".join(c for c in ("min_start1", "max_end1", "min_start2", "max_end2", "contig_id") if c != by)
+    window = f"PARTITION BY {_KEY} ORDER BY {by}, {rest}"
+    return f""", q_{to} AS MATERIALIZED (SELECT *, CASE WHEN least(max_end1, lag(max_end1) OVER w) - greatest(min_start1, lag(min_start1) OVER w) > -25000 AND least(max_end2, lag(max_end2) OVER w) - greatest(min_start2, lag(min_start2) OVER w) > -25000
+   AND lag(contig_id) OVER w IS NOT NULL AND (chrom1 <> chrom2 OR least(min_start2, lag(min_start2) OVER w) - greatest(max_end1, lag(max_end1) OVER w) > 0) THEN 0 ELSE 1 END AS opens FROM {of} WINDOW w AS ({window})),
+u_{to} AS MATERIALIZED (SELECT *, sum(opens) OVER ({window} ROWS UNBOUNDED PRECEDING) AS run FROM q_{to}),
+z_{to} AS MATERIALIZED (SELECT a.contig_id, bool_and({_AGREE}) AS agrees FROM u_{to} a JOIN u_{to} b USING ({_KEY}, run) GROUP BY a.contig_id),
+{to} AS MATERIALIZED (SELECT {_KEY}, {_WHOLE} FROM u_{to} JOIN z_{to} USING (contig_id) GROUP BY {_KEY}, CASE WHEN agrees THEN 'run ' || run ELSE 'id ' || contig_id END)"""
+
+
+def _by_pairs(of: str, to: str) -> str:
+    """A round of merging the pairs that have the least rank at both of their calls."""
+    return f""", v_{to} AS MATERIALIZED (SELECT a.contig_id AS id_a, b.contig_id AS id_b, md5(a.contig_id || '~' || b.contig_id) || '~' || a.contig_id || '~' || b.contig_id AS pair FROM {of} a JOIN {of} b USING ({_KEY}) WHERE a.contig_id < b.contig_id AND {_AGREE}),
+e_{to} AS MATERIALIZED (SELECT id, min(pair) AS pair FROM (SELECT id_a AS id, pair FROM v_{to} UNION ALL SELECT id_b, pair FROM v_{to}) GROUP BY id),
+p_{to} AS MATERIALIZED (SELECT id, min(id) OVER (PARTITION BY pair) AS grp FROM e_{to} QUALIFY count(*) OVER (PARTITION BY pair) = 2),
+{to} AS MATERIALIZED (SELECT {_KEY}, {_WHOLE} FROM {of} LEFT JOIN p_{to} ON id = contig_id GROUP BY {_KEY}, coalesce(grp, contig_id))"""
+
+
+MERGED = A + ", r0 AS MATERIALIZED (SELECT *, [contig_id] AS members FROM finals)"
+for _i in range(_RUN_ROUNDS):
+    MERGED += _by_runs(f"r{_i}", f"s{_i}", "min_start1") + _by_runs(f"s{_i}", f"r{_i + 1}", "min_start2")
+MERGED += f", w0 AS (SELECT * FROM r{_RUN_ROUNDS})"
+for _i in range(_PAIR_ROUNDS):
+    MERGED += _by_pairs(f"w{_i}", f"w{_i + 1}")
+MERGED += f", merged AS MATERIALIZED (SELECT *, CASE WHEN len(members) > 1 THEN contig_id || '.m' ELSE contig_id END AS master_id FROM w{_PAIR_ROUNDS})"
 ALN = """, t AS (SELECT *, CAST(substr(chrom1, 4) AS INTEGER) - 1 AS t1, CAST(substr(chrom2, 4) AS INTEGER) - 1 AS t2, CASE WHEN chrom1 = chrom2 THEN greatest(end1, end2) - least(start1, start2) ELSE 0 END AS span FROM m),
 aln AS (
   SELECT file_num, read_id || '_' || row_id AS qname, t1 AS tid, chrom1 AS rname, start1 AS pos, end1 AS aend, t2 AS rnext, start2 AS pnext, CASE WHEN start1 <= start2 THEN span ELSE -span END AS tlen,
@@ -107,6 +147,31 @@ DUP = (
 l AS (SELECT row_id, chrom1, chrom2, strand1, strand2, p1, p2, read_id, coalesce(abs(p1 - lag(p1) OVER w) <= 40 AND abs(p2 - lag(p2) OVER w) <= 40 AND read_id <> lag(read_id) OVER w, FALSE) AS duplicate
   FROM e WINDOW w AS (PARTITION BY chrom1, chrom2, strand1, strand2 ORDER BY p1, p2, read_id, row_id))"""
 )
+
+
+def _dedup(slop: int, either: bool) -> str:
+    """Blocks of duplicates in one order or two, reads tied through them, the best of each group; rows left and their names."""
+    near = f"abs(p1 - lag(p1) OVER w) <= {slop} {'OR' if either else 'AND'} abs(p2 - lag(p2) OVER w) <= {slop}"
+    passes = [
+        f"""SELECT *, '{i}.' || chrom1 || '.' || chrom2 || '.' || strand1 || '.' || strand2 || '.' || sum(opens) OVER (PARTITION BY {_KEY} ORDER BY p{i}, p{3 - i}, read_id, row_id ROWS UNBOUNDED PRECEDING) AS block
+  FROM (SELECT *, CASE WHEN ({near}) AND read_id <> lag(read_id) OVER w THEN 0 ELSE 1 END AS opens FROM e WINDOW w AS (PARTITION BY {_KEY} ORDER BY p{i}, p{3 - i}, read_id, row_id))"""
+        for i in ((1, 2) if either else (1,))
+    ]
+    return (
+        M.replace("WITH ", "WITH RECURSIVE ", 1)
+        + f""", e AS (SELECT *, CASE strand1 WHEN '-' THEN end1 ELSE start1 END AS p1, CASE strand2 WHEN '-' THEN end2 ELSE start2 END AS p2 FROM m),
+blocks AS MATERIALIZED (SELECT row_id, read_id, edit1 + edit2 AS edits, block FROM ({" UNION ALL ".join(passes)}) QUALIFY count(*) OVER (PARTITION BY block) > 1),
+heads AS MATERIALIZED (SELECT block, min(read_id) AS head, first(read_id ORDER BY edits, read_id) AS own FROM blocks GROUP BY block),
+links AS MATERIALIZED (SELECT DISTINCT head AS a, read_id AS b FROM blocks JOIN heads USING (block) UNION SELECT read_id, head FROM blocks JOIN heads USING (block)),
+reach(id, root) AS (SELECT DISTINCT read_id, read_id FROM blocks UNION SELECT l.b, r.root FROM reach r JOIN links l ON l.a = r.id WHERE r.root < l.b),
+roots AS MATERIALIZED (SELECT id, min(root) AS root FROM reach GROUP BY id),
+best AS MATERIALIZED (SELECT root, first(read_id ORDER BY edits, read_id) AS best FROM blocks JOIN roots ON id = read_id GROUP BY root),
+tied AS MATERIALIZED (SELECT row_id, block, read_id, best FROM blocks JOIN roots ON id = read_id JOIN best USING (root)),
+stays AS (SELECT block, CASE WHEN bool_or(read_id = best) THEN any_value(best) ELSE any_value(own) END AS stays FROM tied JOIN heads USING (block) GROUP BY block)
+SELECT row_id, coalesce(best, read_id) AS read_id FROM m LEFT JOIN roots ON id = read_id LEFT JOIN best USING (root) WHERE row_id NOT IN (SELECT row_id FROM tied JOIN stays USING (block) WHERE read_id <> stays)"""
+    )
+
+
 PAIRS = (
     M
     + """, ends AS (SELECT DISTINCT * FROM (SELECT read_id, 1 AS num, chrom1 AS chrom, start1 AS s, end1 AS e, edit1 AS edit, strand1 AS strand FROM m UNION ALL SELECT read_id, 2, chrom2, start2, end2, edit2, strand2 FROM m)),
@@ -159,6 +224,7 @@ ORACLES: dict[str, str] = {
     "islands_gap": M + I + _SIZES,
     "islands_inner": M + INNER + _SIZES,
     "punted_islands": M + I + " SELECT row_id, route, CAST(island AS BIGINT) AS island, island_size FROM s WHERE island_size > 12",
+    "punted_calls": M + I + " SELECT row_id, route, CAST(island AS BIGINT) AS island, island_size FROM s WHERE island_size > 150",
     "pair_support": M + I + """, x AS (SELECT s.*, abs(start2 - end1 + 1 - CAST(exp_size AS INTEGER)) AS size_off, 2 * CAST(num_devs * variance AS INTEGER) AS lt, 2 * CAST(exp_size + num_devs * variance AS INTEGER) AS st FROM s JOIN libraries USING (file_num) WHERE island_size BETWEEN 2 AND 150)
  SELECT a.row_id, count(b.row_id) AS support FROM x a LEFT JOIN x b ON a.route = b.route AND a.island = b.island AND a.row_id <> b.row_id AND abs(a.size_off - b.size_off) <= greatest(a.lt, b.lt)
   AND abs(b.start1 - a.start1) + abs(b.end2 - a.end2) <= greatest(a.st, b.st) AND (a.chrom1 <> a.chrom2 OR b.chrom1 <> b.chrom2 OR least(a.start2, b.start2) - greatest(a.end1, b.end1) > 0) GROUP BY a.row_id""",
@@ -168,6 +234,7 @@ ORACLES: dict[str, str] = {
     "final_calls": M + A + " SELECT * FROM finals",
     "final_detail": M + A + " SELECT row_id, cluster_id AS contig_id, CASE WHEN included THEN 'Y' ELSE 'N' END AS included, mapping_type FROM h WHERE cluster_id IN (SELECT contig_id FROM finals)",
     "sample_frequency_pivot": M + A + " SELECT cluster_id AS contig_id, " + ", ".join(f"count(*) FILTER (split_part(read_id, '.', 1) = 'S{i}') AS S{i}" for i in range(3)) + " FROM h WHERE included AND cluster_id IN (SELECT contig_id FROM finals) GROUP BY 1",
+    "frequency_table": M + A + ", y AS (SELECT cluster_id AS contig_id, " + ", ".join(f"count(*) FILTER (split_part(read_id, '.', 1) = 'S{i}') AS S{i}Y" for i in range(3)) + " FROM h WHERE included GROUP BY 1) SELECT finals.* EXCLUDE (distinct_reads), S0Y, S1Y, S2Y FROM finals JOIN y USING (contig_id)",
     "numbered_calls": M + A + f" SELECT contig_id, row_number() OVER (PARTITION BY {_KEY} ORDER BY min_start1, max_end1, min_start2, max_end2, contig_id) AS number FROM finals",
     "breakpoint_intervals": M + BREAKS + " SELECT * FROM breaks",
     "variant_counts": M + BREAKS + " SELECT variant, count(*) AS calls, CAST(sum(score) AS BIGINT) AS score FROM breaks GROUP BY variant",
@@ -185,6 +252,12 @@ ORACLES: dict[str, str] = {
     "merge_runs": M + RUNS + " SELECT contig_id, CAST(run AS BIGINT) AS run, agrees FROM runs",
     "merge_round": M + RUNS + f""" SELECT min(contig_id) AS contig_id, min(min_start1) AS min_start1, max(max_end1) AS max_end1, min(min_start2) AS min_start2, max(max_end2) AS max_end2, CAST(sum(distinct_pairs) AS BIGINT) AS distinct_pairs,
   CAST(sum(mean_mapq1) // count(*) AS BIGINT) AS mean_mapq1, CAST(count(*) AS INTEGER) AS n_members FROM runs GROUP BY {_KEY}, CASE WHEN agrees THEN 'run ' || CAST(run AS BIGINT) ELSE 'id ' || contig_id END""",
+    "merge_fixpoint": M + MERGED + f" SELECT {_KEY}, min_start1, max_end1, min_start2, max_end2, master_id, array_to_string(members, ',') AS members, final_support FROM merged",
+    "merged_final": M + MERGED + " SELECT chrom1, min_start1, max_end1, chrom2, min_start2, max_end2, master_id AS contig_id, distinct_pairs, strand1, strand2, " + ", ".join(_MEANS) + ", max_end2 - min_start1 + 1 AS contig_size, num_pairs, all_weighted_support, final_support, final_weighted_support, num_uniq, num_anch, num_mult FROM merged",
+    "merge_map": M + MERGED + " SELECT master_id, array_to_string(members, ',') AS members FROM merged",
+    "merged_detail": M + MERGED + ", ids AS (SELECT unnest(members) AS cluster_id, master_id FROM merged) SELECT row_id, master_id AS contig_id, CASE WHEN included THEN 'Y' ELSE 'N' END AS included FROM h JOIN ids USING (cluster_id)",
+    "dedup_reads": _dedup(40, False),
+    "dedup_either": _dedup(1, True),
     "dup_runs": DUP + " SELECT row_id, duplicate, CAST(sum(CASE WHEN duplicate THEN 0 ELSE 1 END) OVER (PARTITION BY chrom1, chrom2, strand1, strand2 ORDER BY p1, p2, read_id, row_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS run FROM l",
     "pair_combinations": PAIRS + " SELECT " + ", ".join(f"{_flip(a, i)} AS {b}{i}" for i in (1, 2) for a, b in (("c", "chrom"), ("s", "start"), ("e", "end"), ("x", "strand"), ("d", "edit"))) + ", read_id, CASE WHEN flip THEN 2 ELSE 1 END AS which_mate_is_block1, m1 AS mappings1, m2 AS mappings2, frag_size FROM kept",
 }

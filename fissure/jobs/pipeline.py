@@ -1,7 +1,9 @@
-"""The breakpoint job end to end: mappings to clusters, calls, details, counts."""
+"""The breakpoint job end to end: mappings to clusters, calls, details, counts, and what is set aside."""
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame, SparkSession
 
 from fissure.operators import assemble, finalize, islands, route
@@ -12,19 +14,26 @@ from fissure.sources.shared import materialise
 PUNT = 50
 
 
-def supported(mappings: DataFrame, libraries: DataFrame, most: int, usage: str | int = "best", rule: str = "gap") -> DataFrame:
-    """Routed mappings in islands of bounded size, with support; written, as several steps read it."""
-    inside, _ = islands.split_by_size(islands.with_islands(route.routed(mappings, usage), rule), most)
-    return materialise(islands.pair_support(islands.tolerances(inside, libraries)), "supported")
+class Found(NamedTuple):
+    """Final calls; all mappings in clusters with their choice of cluster; mappings of islands that were set aside."""
+
+    finals: DataFrame
+    chosen: DataFrame
+    punted: DataFrame
+
+
+def supported(mappings: DataFrame, libraries: DataFrame, most: int, usage: str | int = "best", rule: str = "gap") -> tuple[DataFrame, DataFrame]:
+    """Routed mappings in islands of bounded size, with support, and those of larger islands; written, as several steps read them."""
+    inside, punted = islands.split_by_size(islands.with_islands(route.routed(mappings, usage), rule), most)
+    return materialise(islands.pair_support(islands.tolerances(inside, libraries)), "supported"), punted
 
 
-def breakpoint_calls(mappings: DataFrame, libraries: DataFrame, n_libraries: int, punt: int = PUNT) -> tuple[DataFrame, DataFrame]:
-    """Final calls, and all mappings in clusters with their choice of cluster."""
-    clustered = assemble.assemble(supported(mappings, libraries, n_libraries * punt))
-    chosen = finalize.choose_clusters(materialise(clustered, "clusters"))
-    return finalize.final_calls(chosen), chosen
+def breakpoint_calls(mappings: DataFrame, libraries: DataFrame, n_libraries: int, punt: int = PUNT) -> Found:
+    """Calls of all islands of at most punt mappings for each library; the larger ones are an output of their own."""
+    inside, punted = supported(mappings, libraries, n_libraries * punt)
+    chosen = finalize.choose_clusters(assemble.assemble(inside))
+    return Found(finalize.final_calls(chosen), chosen, punted)
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    finals, _ = breakpoint_calls(tables.mappings(spark, sf_dir), tables.libraries(spark), len(tables.LIBRARIES))
-    return finals
+    return breakpoint_calls(tables.mappings(spark, sf_dir), tables.libraries(spark), len(tables.LIBRARIES)).finals

@@ -86,6 +86,12 @@ def _island_query(rule):
     return lambda spark, sf_dir: islands.island_sizes(_islands(spark, sf_dir, rule)).select("route", "island", "n", "first_start", "last_end")
 
 
+def punted_calls(spark, sf_dir):
+    """What the flagship sets aside, at its own limit."""
+    _, punted = pipeline.supported(_mappings(spark, sf_dir), tables.libraries(spark), pipeline.PUNT * len(SAMPLES))
+    return punted.select("row_id", "route", "island", "island_size")
+
+
 def punted_islands(spark, sf_dir):
     _, large = islands.split_by_size(_islands(spark, sf_dir), MOST)
     return large.select("row_id", "route", "island", "island_size")
@@ -118,6 +124,12 @@ def sample_frequency_pivot(spark, sf_dir):
     return finalize.sample_counts(finalize.detail(chosen, finalize.final_calls(chosen)), SAMPLES)
 
 
+def frequency_table(spark, sf_dir):
+    chosen = _chosen(spark, sf_dir)
+    finals = finalize.final_calls(chosen)
+    return finalize.frequency_table(finals, finalize.detail(chosen, finals), SAMPLES)
+
+
 def numbered_calls(spark, sf_dir):
     return finalize.numbered(_finals(spark, sf_dir)).select("contig_id", "number")
 
@@ -168,7 +180,22 @@ def merge_round(spark, sf_dir):
 
 def merge_fixpoint(spark, sf_dir):
     merged = merge.merge_calls(_finals(spark, sf_dir), SLOP)
-    return merged.select(*ROUTE, "min_start1", "max_end1", "min_start2", "max_end2", "master_id", "members", "final_support")
+    return merged.select(*ROUTE, "min_start1", "max_end1", "min_start2", "max_end2", "master_id", F.array_join("members", ",").alias("members"), "final_support")
+
+
+def merged_final(spark, sf_dir):
+    return merge.merged_finals(merge.merge_calls(_finals(spark, sf_dir), SLOP))
+
+
+def merge_map(spark, sf_dir):
+    return merge.merge_map(merge.merge_calls(_finals(spark, sf_dir), SLOP))
+
+
+def merged_detail(spark, sf_dir):
+    chosen = _chosen(spark, sf_dir)
+    finals = finalize.final_calls(chosen)
+    details = finalize.detail(chosen, finals)
+    return merge.remap_detail(details, merge.merge_calls(finals, SLOP)).select("row_id", "contig_id", "included")
 
 
 def dup_runs(spark, sf_dir):
@@ -179,6 +206,10 @@ def dedup_reads(spark, sf_dir):
     return dedup.drop_duplicates(_mappings(spark, sf_dir), slop=40).select("row_id", "read_id")
 
 
+def dedup_either(spark, sf_dir):
+    return dedup.drop_duplicates(_mappings(spark, sf_dir), slop=1, either=True).select("row_id", "read_id")
+
+
 def pair_combinations(spark, sf_dir):
     m = _mappings(spark, sf_dir)
     end = lambda i: m.select("read_id", F.lit(i).alias("read_num"), *[F.col(f"{c}{i}").alias(c) for c in ("chrom", "start", "end", "edit", "strand")])
@@ -186,7 +217,8 @@ def pair_combinations(spark, sf_dir):
 
 
 def greedy_clusters(spark, sf_dir):
-    found = assemble.assemble(pipeline.supported(_mappings(spark, sf_dir), tables.libraries(spark), pipeline.PUNT * len(SAMPLES)))
+    inside, _ = pipeline.supported(_mappings(spark, sf_dir), tables.libraries(spark), pipeline.PUNT * len(SAMPLES))
+    found = assemble.assemble(inside)
     return found.select("row_id", "cluster_id", "mapping_type", "support")
 
 
@@ -208,6 +240,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "islands_gap": _island_query("gap"),
     "islands_inner": _island_query("inner"),
     "punted_islands": punted_islands,
+    "punted_calls": punted_calls,
     "pair_support": pair_support,
     "cluster_stats": cluster_stats,
     "best_cluster_per_read": best_cluster_per_read,
@@ -215,6 +248,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "final_calls": _finals,
     "final_detail": final_detail,
     "sample_frequency_pivot": sample_frequency_pivot,
+    "frequency_table": frequency_table,
     "numbered_calls": numbered_calls,
     "breakpoint_intervals": breakpoint_intervals,
     "variant_counts": variant_counts,
@@ -227,8 +261,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "merge_runs": merge_runs,
     "merge_round": merge_round,
     "merge_fixpoint": merge_fixpoint,
+    "merged_final": merged_final,
+    "merge_map": merge_map,
+    "merged_detail": merged_detail,
     "dup_runs": dup_runs,
     "dedup_reads": dedup_reads,
+    "dedup_either": dedup_either,
     "pair_combinations": pair_combinations,
     "greedy_clusters": greedy_clusters,
     "breakpoint_calls": flagship,

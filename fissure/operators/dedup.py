@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fissure.operators.components import connected_components
-from fissure.operators.runs import number_runs, with_predecessor
+from fissure.operators.runs import with_runs
+from fissure.sources.shared import materialise
 
 ROUTE = ["chrom1", "chrom2", "strand1", "strand2"]
 
@@ -17,29 +18,54 @@ def five_prime(mappings: DataFrame) -> DataFrame:
     return mappings.withColumns({"p1": first(1), "p2": first(2), "total_edits": F.col("edit1") + F.col("edit2"), "total_mappings": F.col("mappings1") * F.col("mappings2")})
 
 
-def duplicate_runs(mappings: DataFrame, slop: int = 1, either: bool = False) -> DataFrame:
-    """Marks mappings that lie within slop of their predecessor at both ends (either: at one), under another name; adds run."""
-    order = ["p1", "p2", "read_id", "row_id"]
-    m = with_predecessor(five_prime(mappings), ROUTE, "p1", order, ["p1", "p2", "read_id"])
-    near = [F.abs(F.col(c) - F.col(f"before_{c}")) <= slop for c in ("p1", "p2")]
-    same = ((near[0] | near[1]) if either else (near[0] & near[1])) & (F.col("read_id") != F.col("before_read_id"))
-    marked = m.withColumns({"duplicate": F.coalesce(same, F.lit(False)), "before": F.col("before_read_id")}).drop("before_p1", "before_p2", "before_read_id")
-    return number_runs(marked, ROUTE, order, ~F.col("duplicate"), "run")
+def duplicate_runs(mappings: DataFrame, slop: int = 1, either: bool = False, end: int = 1) -> DataFrame:
+    """Marks mappings that lie within slop of their predecessor at both ends (either: at one), under another name; adds run.
+
+    Mappings follow each other by where their read starts at the given end, then by the other one.
+    """
+    order = [f"p{end}", f"p{3 - end}", "read_id", "row_id"]
+
+    def same(before) -> Column:
+        near = [F.abs(F.col(c) - before(c)) <= slop for c in ("p1", "p2")]
+        return F.coalesce(((near[0] | near[1]) if either else (near[0] & near[1])) & (F.col("read_id") != before("read_id")), F.lit(False))
+
+    m = with_runs(five_prime(mappings), ROUTE, f"p{end}", order, ["p1", "p2", "read_id"], lambda before: ~same(before), "run")
+    marked = m.withColumns({"duplicate": same(lambda c: F.col(f"before_{c}")), "before": F.col("before_read_id")})
+    return marked.drop("before_p1", "before_p2", "before_read_id")
+
+
+def _blocks(mappings: DataFrame, slop: int, either: bool) -> DataFrame:
+    """The mappings of runs of several, (block, row_id, read_id, total_edits, total_mappings), by end 1 and with either by end 2 too."""
+    found = None
+    for end in (1, 2) if either else (1,):
+        rows = duplicate_runs(mappings, slop, either, end).select(F.concat_ws(".", F.lit(end), *ROUTE, "run").alias("block"), "row_id", "read_id", "total_edits", "total_mappings")
+        several = rows.groupBy("block").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("block")
+        rows = rows.join(several, "block", "left_semi")
+        found = rows if found is None else found.unionByName(rows)
+    return materialise(found, "blocks")
 
 
 def drop_duplicates(mappings: DataFrame, slop: int = 1, most_mappings: int = 1, either: bool = False) -> DataFrame:
-    """Mappings without duplicate reads: of reads tied by runs, the one with the fewest edits (then the smallest name) stays.
+    """Mappings without duplicates; what stays of an inferior read goes under the name of the best one.
 
-    Reads with a mapping beyond most_mappings go first. Ties through several runs count as one group,
-    so the winner doesn't depend on the order in which runs are met.
+    Of the reads that blocks of duplicates tie together, directly or through others, the one with the fewest edits (then the
+    smallest name) is best, so the choice doesn't depend on the order in which blocks are met. A block keeps
+    the best read's mappings, or where it has none those of its own read with the fewest edits. Mappings outside
+    blocks stay. A read with more than most_mappings combinations in a block goes with all its mappings, before anything else.
     """
-    m = five_prime(mappings)
-    many = m.filter(F.col("total_mappings") > most_mappings).select("read_id").distinct()
-    m = mappings.join(many, "read_id", "left_anti")
-    links = duplicate_runs(m, slop, either).filter("duplicate").select("read_id", "before")
-    groups = connected_components(links, "read_id", "before")
-    edits = five_prime(m).groupBy("read_id").agg(F.min("total_edits").alias("edits"))
-    named = groups.join(edits, groups["id"] == edits["read_id"]).select("id", "root", "edits")
-    best = named.groupBy("root").agg(F.min(F.struct("edits", "id"))["id"].alias("best"))
-    losers = named.join(best, "root").filter("id <> best").select(F.col("id").alias("read_id"))
-    return m.join(losers, "read_id", "left_anti")
+    blocks = _blocks(mappings, slop, either)
+    many = blocks.filter(F.col("total_mappings") > most_mappings).select("read_id").distinct()
+    blocks = materialise(blocks.join(many, "read_id", "left_anti"), "tied")
+    heads = blocks.groupBy("block").agg(F.min("read_id").alias("head"), F.min(F.struct("total_edits", "read_id"))["read_id"].alias("own"))
+    groups = connected_components(blocks.join(heads, "block").select("read_id", "head"), "read_id", "head")
+    edits = blocks.groupBy("read_id").agg(F.min("total_edits").alias("edits"))
+    rooted = materialise(groups.join(edits, groups["id"] == edits["read_id"]).select("read_id", "root", "edits"), "reads")
+    winners = rooted.groupBy("root").agg(F.min(F.struct("edits", "read_id"))["read_id"].alias("best"))
+    best = rooted.join(winners, "root").select("read_id", "best")
+
+    tied = blocks.join(best, "read_id", "left").withColumn("best", F.coalesce("best", "read_id"))
+    stays = tied.groupBy("block").agg(F.bool_or(F.col("read_id") == F.col("best")).alias("has_best"))
+    stays = stays.join(heads, "block").select("block", "has_best", "own")
+    inferior = tied.join(stays, "block").filter(F.col("read_id") != F.when(F.col("has_best"), F.col("best")).otherwise(F.col("own"))).select("row_id").distinct()
+    kept = mappings.join(many, "read_id", "left_anti").join(inferior, "row_id", "left_anti")
+    return kept.join(best, "read_id", "left").withColumn("read_id", F.coalesce("best", "read_id")).select(mappings.columns)

@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fissure.functions.geometry import ANCHORED, MULTIPLE, UNIQUE, weight_tenths
+from fissure.operators.runs import with_runs
+from fissure.sources.schemas import FINAL
+from fissure.sources.shared import materialise
 
 FAR = 1_000_000
 
@@ -22,11 +25,18 @@ def cluster_stats(mappings: DataFrame, far: int = FAR) -> DataFrame:
 
 
 def choose_clusters(mappings: DataFrame) -> DataFrame:
-    """Adds included: whether a mapping's cluster is its read's best (greatest weight, fewest edits, smallest id)."""
-    scored = mappings.join(cluster_stats(mappings), "cluster_id")
+    """Adds included: whether a mapping's cluster is its read's best (greatest weight, fewest edits, smallest id). Written once.
+
+    One exchange by cluster, one by read; both are small, as islands are bounded and aligners limit a read's mappings.
+    """
+    cluster, read = Window.partitionBy("cluster_id"), Window.partitionBy("read_id")
+    scored = mappings.withColumns({
+        "weight_tenths": F.sum(weight_tenths(F.col("mapping_type"))).over(cluster),
+        "total_edits": F.sum(F.col("edit1") + F.col("edit2")).over(cluster),
+    })
     rank = F.struct((-F.col("weight_tenths")).alias("w"), F.col("total_edits").alias("e"), F.col("cluster_id").alias("c"))
-    best = scored.groupBy("read_id").agg(F.min(rank)["c"].alias("best_cluster"))
-    return scored.join(best, "read_id").withColumn("included", F.col("cluster_id") == F.col("best_cluster"))
+    best = F.min(rank).over(read)["c"]
+    return materialise(scored.withColumn("best_cluster", best).withColumn("included", F.col("cluster_id") == F.col("best_cluster")), "chosen")
 
 
 def calls(chosen: DataFrame) -> DataFrame:
@@ -68,15 +78,31 @@ def detail(chosen: DataFrame, finals: DataFrame) -> DataFrame:
     return kept.withColumns({"contig_id": F.col("cluster_id"), "included": F.when(F.col("included"), "Y").otherwise("N")})
 
 
+def sample_of(read_id: Column, samples: list[str]) -> Column:
+    """The longest sample name that a read_id starts with, a point behind it; a read without one fails the job."""
+    parts = F.split(read_id, r"\.")
+    starts = F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda i: F.array_join(F.slice(parts, 1, i), "."))
+    known = F.array_intersect(F.filter(starts, lambda p: F.length(p) < F.length(read_id)), F.array(*map(F.lit, samples)))
+    return F.when(F.size(known) > 0, F.element_at(known, -1)).otherwise(F.raise_error(F.concat(F.lit("no sample of the config names read "), read_id)))
+
+
 def sample_counts(details: DataFrame, samples: list[str]) -> DataFrame:
-    """Per call, how many included reads each sample gives; the sample is what a read_id has before its first point."""
-    sample = F.substring_index("read_id", ".", 1)
-    counted = details.filter("included = 'Y'").withColumn("sample", sample).groupBy("contig_id").pivot("sample", samples)
+    """Per call, how many included mappings each sample gives; samples that several libraries share count once, in order."""
+    samples = list(dict.fromkeys(samples))
+    counted = details.filter("included = 'Y'").withColumn("sample", sample_of(F.col("read_id"), samples)).groupBy("contig_id").pivot("sample", samples)
     out = counted.agg(F.count(F.lit(1)))
     return out.select("contig_id", *[F.coalesce(F.col(f"`{s}`"), F.lit(0)).alias(s) for s in samples])
 
 
+def frequency_table(finals: DataFrame, details: DataFrame, samples: list[str]) -> DataFrame:
+    """Calls with all their columns and a count `<sample>Y` for each sample, 0 where it has none."""
+    counts = sample_counts(details, samples)
+    names = [c for c in counts.columns if c != "contig_id"]
+    joined = finals.select(FINAL).join(counts, "contig_id", "left")
+    return joined.select(*FINAL, *[F.coalesce(F.col(f"`{s}`"), F.lit(0)).alias(f"{s}Y") for s in names])
+
+
 def numbered(calls_frame: DataFrame) -> DataFrame:
-    """Numbers calls within their chromosomes and strands from 1, by position: no global order is needed."""
-    w = Window.partitionBy("chrom1", "chrom2", "strand1", "strand2").orderBy("min_start1", "max_end1", "min_start2", "max_end2", "contig_id")
-    return calls_frame.withColumn("number", F.row_number().over(w).cast("long"))
+    """Numbers calls within their chromosomes and strands from 1, by position: every call is a run of its own."""
+    order = ["min_start1", "max_end1", "min_start2", "max_end2", "contig_id"]
+    return with_runs(calls_frame, ["chrom1", "chrom2", "strand1", "strand2"], "min_start1", order, [], lambda before: F.lit(True), "number")

@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fissure.operators.runs import number_runs, with_predecessor
+from fissure.functions.geometry import length_tolerance, mates_agree, size_off_expected, span_tolerance
+from fissure.operators.runs import with_runs
+from fissure.sources.shared import materialise
 
 #: Fixed value: bases between one mapping's first block and the next one's beyond which a run ends.
 GAP = 2000
 ORDER = ["start1", "end1", "start2", "end2", "read_id", "row_id"]
+KEY = ["route", "island"]
 
 
 def with_islands(routed: DataFrame, rule: str = "gap", gap: int = GAP) -> DataFrame:
@@ -18,39 +21,35 @@ def with_islands(routed: DataFrame, rule: str = "gap", gap: int = GAP) -> DataFr
     `gap`: a mapping starts a new island if its start1 lies more than gap behind its predecessor's end1.
     `inner`: if its end1 does not lie before its predecessor's start2. Only the immediate predecessor counts.
     """
-    rows = with_predecessor(routed, ["route"], "start1", ORDER, ["end1", "start2"])
-    breaks = F.col("start1") - F.col("before_end1") > gap if rule == "gap" else F.col("end1") >= F.col("before_start2")
-    return number_runs(rows, ["route"], ORDER, breaks, "island").drop("before_end1", "before_start2")
+    if rule == "gap":
+        found = with_runs(routed, ["route"], "start1", ORDER, ["end1"], lambda before: F.col("start1") - before("end1") > gap, "island")
+        return found.drop("before_end1")
+    return with_runs(routed, ["route"], "start1", ORDER, ["start2"], lambda before: F.col("end1") >= before("start2"), "island").drop("before_start2")
 
 
 def island_sizes(islands: DataFrame) -> DataFrame:
-    return islands.groupBy("route", "island").agg(F.count(F.lit(1)).alias("n"), F.min("start1").alias("first_start"), F.max("end1").alias("last_end"))
+    return islands.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"), F.min("start1").alias("first_start"), F.max("end1").alias("last_end"))
 
 
 def split_by_size(islands: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
-    """Islands of 2 to `most` mappings, and larger ones, which are set aside whole: a stated output, not a loss."""
-    key = ["route", "island"]
-    sized = islands.join(islands.groupBy(*key).agg(F.count(F.lit(1)).alias("island_size")), key)
-    return sized.filter(f"island_size between 2 and {most}"), sized.filter(f"island_size > {most}")
+    """Islands of 2 to `most` mappings, and larger ones, which are set aside whole: a stated output, not a loss. Written once."""
+    sizes = islands.groupBy(*KEY).agg(F.count(F.lit(1)).alias("island_size")).filter("island_size > 1")
+    sized = materialise(islands.join(sizes, KEY), "islands")
+    return sized.filter(f"island_size <= {most}"), sized.filter(f"island_size > {most}")
 
 
 def tolerances(islands: DataFrame, libraries: DataFrame) -> DataFrame:
     """Adds what the agreement of two mappings needs from their libraries."""
-    from fissure.functions.geometry import length_tolerance, size_off_expected, span_tolerance
-
     stats = libraries.select("file_num", "exp_size", "variance", "num_devs")
     out = islands.join(F.broadcast(stats), "file_num")  # one row for each library
     return out.withColumns({"size_off": size_off_expected(), "length_tol": length_tolerance(), "span_tol": span_tolerance()}).drop("exp_size", "variance", "num_devs")
 
 
 def pair_support(islands: DataFrame, agree: Column | None = None) -> DataFrame:
-    """Adds support: how many other mappings of the island agree with each."""
-    from fissure.functions.geometry import mates_agree
-
-    key = ["route", "island"]
-    slim = islands.select(*key, "row_id", "chrom1", "chrom2", "start1", "end1", "start2", "end2", "size_off", "length_tol", "span_tol")
+    """Adds support: how many other mappings of the island agree with each. Counts stay where the join puts an island."""
+    slim = islands.select(*KEY, "row_id", "chrom1", "chrom2", "start1", "end1", "start2", "end2", "size_off", "length_tol", "span_tol")
     a, b = slim.alias("a"), slim.alias("b")
     same = (F.col("a.route") == F.col("b.route")) & (F.col("a.island") == F.col("b.island"))
     pairs = a.join(b, same & (F.col("a.row_id") != F.col("b.row_id")) & (agree if agree is not None else mates_agree("a", "b")))
-    counts = pairs.groupBy(F.col("a.row_id").alias("row_id"), F.col("a.route").alias("route")).agg(F.count(F.lit(1)).alias("support"))
-    return islands.join(counts, ["row_id", "route"], "left").withColumn("support", F.coalesce("support", F.lit(0)))
+    counts = pairs.groupBy("a.route", "a.island", "a.row_id").agg(F.count(F.lit(1)).alias("support"))
+    return islands.join(counts, [*KEY, "row_id"], "left").withColumn("support", F.coalesce("support", F.lit(0)))

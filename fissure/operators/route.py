@@ -7,32 +7,38 @@ from pyspark.sql import functions as F
 
 from fissure.functions.geometry import mapping_type
 
-#: Columns that change ends with a block. Edits, mapping counts and qualities stay where they are unless asked.
+#: Columns that change ends with a block, as the mate's number does. Edits, mapping counts and qualities stay where they are unless asked.
 BLOCK = ["chrom", "start", "end", "strand"]
 QUALITIES = ["edit", "mappings", "mapq"]
 
 
 def order_mates(mappings: DataFrame, swap_qualities: bool = False) -> DataFrame:
-    """First block first: by start within a chromosome, by name (bytes) between two."""
+    """First block first: by start within a chromosome, by name (bytes) between two. Adds mate1, the mate whose place block 1 then is.
+
+    which_mate_is_block1 goes on telling about the order of the input.
+    """
     same = F.col("chrom1") == F.col("chrom2")
     flip = F.when(same, F.col("start2") < F.col("start1")).otherwise(F.col("chrom2") < F.col("chrom1"))
     moved = {}
     for c in BLOCK + (QUALITIES if swap_qualities else []):
         moved[f"{c}1"] = F.when(flip, F.col(f"{c}2")).otherwise(F.col(f"{c}1"))
         moved[f"{c}2"] = F.when(flip, F.col(f"{c}1")).otherwise(F.col(f"{c}2"))
-    return mappings.withColumns(moved | {"flipped": flip})
+    mate = F.when(F.col("which_mate_is_block1") == 1, 1).otherwise(2)
+    return mappings.withColumns(moved | {"flipped": flip, "mate1": F.when(flip, 3 - mate).otherwise(mate)})
 
 
 def classify(mappings: DataFrame) -> DataFrame:
-    """Adds n1 and n2, the distinct places of mates 1 and 2 of a read, and mapping_type; counts replace mappings1 and mappings2."""
-
-    def place(mate: int):
-        first = F.struct(F.col("chrom1").alias("c"), F.col("start1").alias("s"), F.col("end1").alias("e"))
-        second = F.struct(F.col("chrom2").alias("c"), F.col("start2").alias("s"), F.col("end2").alias("e"))
-        return F.when(F.col("which_mate_is_block1") == mate, first).otherwise(second)
-
-    counts = mappings.groupBy("file_num", "read_id").agg(F.count_distinct(place(1)).alias("n1"), F.count_distinct(place(2)).alias("n2"))
-    out = mappings.join(counts, ["file_num", "read_id"])
+    """Adds n1 and n2, the distinct places of mates 1 and 2 of a read, and mapping_type; counts replace mappings1 and mappings2.
+
+    Takes the output of order_mates, or mappings in the order of their input. All comes from one exchange by
+    read, which culling shares; a read's mappings are few, as aligners limit them.
+    """
+    first = F.struct(F.col("chrom1").alias("c"), F.col("start1").alias("s"), F.col("end1").alias("e"))
+    second = F.struct(F.col("chrom2").alias("c"), F.col("start2").alias("s"), F.col("end2").alias("e"))
+    holds_1 = F.col("mate1" if "mate1" in mappings.columns else "which_mate_is_block1") == 1
+    read = Window.partitionBy("file_num", "read_id")
+    ranks = {f"n{mate}": F.dense_rank().over(read.orderBy(F.when(holds_1, one).otherwise(other))) for mate, one, other in ((1, first, second), (2, second, first))}
+    out = mappings.withColumns(ranks).withColumns({n: F.max(n).over(read).cast("long") for n in ("n1", "n2")})
     return out.withColumns({"mapping_type": mapping_type(F.col("n1"), F.col("n2")), "mappings1": F.col("n1"), "mappings2": F.col("n2")})
 
 

@@ -9,17 +9,25 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir as the cluster set it; one of our own only where it is unset."""
+    """spark.checkpoint.dir as the cluster set it; a folder of our own only in local mode, where one machine is all there is."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="fissure-")
         sc.setCheckpointDir(found)
     return found.rstrip("/")
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/fissure-{name}-{uuid.uuid4().hex}"
+    """A new place in the shared folder, which goes when the driver ends."""
+    path = f"{shared_dir(spark)}/fissure-{name}-{uuid.uuid4().hex}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(place)
+    files.deleteOnExit(place)
+    return f"{path}/rows"
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fissure.jobs import pipeline, registry
-from fissure.operators import assemble, breakpoints, dedup, finalize, islands, libstats, merge, pairing, route
+from fissure.operators import assemble, breakpoints, dedup, finalize, islands, libstats, merge, pairing, route, runs
 from fissure.sources import schemas, tables, text
 
 SF = "/root/testdata/sf0.001"
@@ -32,7 +32,7 @@ G1 = [
 
 @pytest.fixture(scope="module")
 def g1(spark):
-    finals, chosen = pipeline.breakpoint_calls(mappings(spark, G1), library(spark), 1)
+    finals, chosen, _ = pipeline.breakpoint_calls(mappings(spark, G1), library(spark), 1)
     return finals.cache(), chosen.cache()
 
 
@@ -63,6 +63,41 @@ def test_culling_and_types(spark):
     assert [route.cull(m, u).count() for u in ("best", 1, "all")] == [1, 2, 2]
 
 
+def test_mates_follow_their_blocks(spark):
+    """Mate 1 at chr2:100 twice, mate 2 at chr1:50 and chr3:70: ordering the blocks of the first row changes no mate's places."""
+    rows = [("chr2", 100, 200, "chr1", 50, 150, "r", 1, "+", "-", 0, 0, 9, 9, 1, 1), ("chr2", 100, 200, "chr3", 70, 170, "r", 1, "+", "-", 0, 0, 9, 9, 1, 1)]
+    for m in (route.classify(route.order_mates(mappings(spark, rows))), route.classify(mappings(spark, rows))):
+        assert {(r["n1"], r["n2"], r["mapping_type"]) for r in m.collect()} == {(1, 2, 2)}
+    assert {(r["chrom1"], r["mate1"], r["which_mate_is_block1"]) for r in route.order_mates(mappings(spark, rows)).collect()} == {("chr1", 2, 1), ("chr2", 1, 1)}
+
+
+def test_samples_with_points_and_shared_prefixes(spark):
+    details = spark.createDataFrame([("c", "NA.1.r7", "Y"), ("c", "NA.1.r8", "Y"), ("c", "NA.r9", "Y"), ("c", "NA.10.x.y", "Y"), ("c", "NA.1.r0", "N")], "contig_id string, read_id string, included string")
+    got = finalize.sample_counts(details, ["NA", "NA.1", "NA.10", "NA.1", "B"]).first()
+    assert got.asDict() == {"contig_id": "c", "NA": 1, "NA.1": 2, "NA.10": 1, "B": 0}
+    with pytest.raises(Exception, match="no sample"):
+        finalize.sample_counts(details, ["NA.1"]).collect()
+
+
+def test_large_islands_are_an_output_of_the_job(spark):
+    crowd = [("chr1", 100 + i, 200 + i, "chr1", 1000 + i, 1100 + i, f"S0.c{i}", 1, "+", "-", 0, 0, 1, 1, 9, 9) for i in range(5)]
+    far = [("chr1", 90_000, 90_100, "chr1", 91_000, 91_100, f"S0.f{i}", 1, "+", "-", 0, 0, 1, 1, 9, 9) for i in range(2)]
+    found = pipeline.breakpoint_calls(mappings(spark, crowd + far), library(spark), 1, punt=4)
+    assert {r["read_id"] for r in found.punted.collect()} == {f"S0.c{i}" for i in range(5)}
+    assert [r["num_pairs"] for r in found.finals.collect()] == [2]
+
+
+def test_bins_give_the_runs_of_one_window(spark):
+    rows = [("chr1", s, s + 100, "chr1", 10**7, 10**7 + 100, f"r{i}", 1, "+", "-", 0, 0, 1, 1, 9, 9) for i, s in enumerate([*range(99_000, 103_000, 700), 250_000, *range(999_000, 1_001_000, 500), 5_000_000])]
+    m = mappings(spark, rows).withColumn("route", F.lit("x"))
+    got = {r["row_id"]: (r["run"], r["before_start1"]) for r in runs.with_runs(m, ["route"], "start1", islands.ORDER, ["start1", "end1"], lambda before: F.col("start1") - before("end1") > 1500, "run", width=1000).collect()}
+    starts, run, want = sorted((r[1], i) for i, r in enumerate(rows)), 0, {}
+    for k, (s, i) in enumerate(starts):
+        run += k == 0 or s - (starts[k - 1][0] + 100) > 1500
+        want[f"row{i}"] = (run, starts[k - 1][0] if k else None)
+    assert got == want
+
+
 def test_mate_order_moves_blocks_and_not_edits(spark):
     rows = [("chr2", 50, 150, "chr10", 900, 1000, "r", 1, "+", "-", 3, 7, 1, 1, 1, 2)]
     r = route.order_mates(mappings(spark, rows)).first()
@@ -147,6 +182,20 @@ def test_dedup_has_no_tied_reads_left(spark):
     assert not any(a in after and b in after for a, b in ties)
 
 
+def test_either_end_is_walked(spark):
+    """Ends 2 of the first and third reads are the same, ends 1 lie apart."""
+    rows = [("chr1", s, s + 100, "chr1", e, e + 100, n, 1, "+", "+", d, 0, 1, 1, 9, 9) for n, s, e, d in [("a", 100, 9000, 1), ("b", 500, 20_000, 0), ("c", 900, 9000, 0)]]
+    assert {r["read_id"] for r in dedup.drop_duplicates(mappings(spark, rows), either=True).collect()} == {"b", "c"}
+    assert dedup.drop_duplicates(mappings(spark, rows)).count() == 3
+
+
+def test_other_mappings_of_an_inferior_read_take_the_best_name(spark):
+    rows = [("chr1", 100, 200, "chr1", 1000, 1100, "best", 1, "+", "-", 0, 0, 1, 2, 9, 9), ("chr1", 100, 200, "chr1", 1000, 1100, "worse", 1, "+", "-", 2, 0, 1, 2, 9, 9), ("chr2", 100, 200, "chr2", 7000, 7100, "worse", 1, "+", "-", 0, 0, 1, 2, 9, 9), ("chr3", 1, 2, "chr3", 7, 8, "many", 1, "+", "-", 0, 0, 9, 9, 9, 9)]
+    got = {(r["row_id"], r["read_id"]) for r in dedup.drop_duplicates(mappings(spark, rows), most_mappings=2).collect()}
+    assert got == {("row0", "best"), ("row2", "best"), ("row3", "many")}  # outside blocks, many mappings are no reason to go
+    assert {r["row_id"] for r in dedup.drop_duplicates(mappings(spark, rows)).collect()} == {"row3"}  # in a block they are
+
+
 def test_concordant_reads_are_not_paired(spark):
     def end(read, num, chrom, start, strand):
         return (read, num, chrom, start, start + 100, 0, strand)
@@ -183,7 +232,7 @@ def _naive(rows):
 
 
 def test_greedy_clusters_against_a_restatement_and_any_row_order(spark):
-    supported = pipeline.supported(tables.mappings(spark, SF), tables.libraries(spark), 150)
+    supported, _ = pipeline.supported(tables.mappings(spark, SF), tables.libraries(spark), 150)
     rows = [r.asDict() for r in supported.collect()]
     by = defaultdict(list)
     for r in rows:
@@ -204,6 +253,24 @@ def test_flagship_calls(spark):
     assert pipeline.run(spark, SF).count() == 927
 
 
+def test_malformed_calls_fail_the_job(spark):
+    with pytest.raises(Exception, match="malformed call 7"):
+        breakpoints.breakpoint_intervals(spark.createDataFrame([call("7", 900, 950, 100, 150)])).collect()
+
+
+def test_chains_of_calls_merge_to_the_end(spark):
+    calls = [call(f"{i:03d}", 100 * i, 100 * i + 150, 10**6 + 100 * i, 10**6 + 100 * i + 150) for i in range(60)]
+    merged = merge.merge_calls(spark.createDataFrame(calls), slop=10)
+    assert breakpoints.overlapping_calls(merged, 10).count() == 0
+    assert sorted(m for r in merged.select("members").collect() for m in r[0]) == [c["contig_id"] for c in calls]
+
+
+@pytest.mark.parametrize("name", ["final_calls", "final_detail", "sample_frequency_pivot", "footprint_overlap_join", "pair_support"])
+def test_plans_read_little(spark, name):
+    plan = registry.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") <= 3 and plan.count("Exchange") - plan.count("ReusedExchange") <= 10
+
+
 def test_text_round_trip(spark, tmp_path):
     m = mappings(spark, G1).select(BEDPE)
     text.write_tsv(m, str(tmp_path / "bedpe"))
