@@ -1,0 +1,74 @@
+"""Readers, writers and the jobs from files to files."""
+
+from fissure.jobs import files
+from fissure.sources import schemas, text
+
+HEADER = "@HD\tVN:1.6\n@SQ\tSN:chr1\tLN:1000000\n@SQ\tSN:chr2\tLN:1000000\n"
+
+
+def sam_line(name, flag, chrom, pos, cigar, mate, mate_pos, tlen, tags="NM:i:1"):
+    return "\t".join(map(str, (name, flag, chrom, pos, 60, cigar, mate, mate_pos, tlen, "*", "*", tags))) + "\n"
+
+
+def pair(name, start, mate, chrom2="=", size=0):
+    """Read 1 forward at start, its mate reverse at mate."""
+    other, back = ("chr1", "=") if chrom2 == "=" else (chrom2, "chr1")
+    return sam_line(name, 1 + 32 + 64, "chr1", start, "100M", chrom2, mate, size) + sam_line(name, 1 + 16 + 128, other, mate, "50M10D40M5S", back, start, -size, "XX:Z:a\tNM:i:2")
+
+
+def write_sams(tmp_path):
+    for k, shift in enumerate((0, 3)):
+        usual = "".join(pair(f"u{i}", 1000 * i + 1, 1000 * i + 201 + i % 5, size=300 + i % 5) for i in range(1, 40))
+        odd = "".join(pair(f"d{i}", 50_001 + 10 * i + shift, 80_001 + 10 * i, size=30_100) for i in range(3)) + "".join(pair(f"x{i}", 60_001 + i, 5001 + i, "chr2") for i in range(2))
+        (tmp_path / f"lib{k}.sam").write_text(HEADER + usual + odd)
+    (tmp_path / "stub").write_text("".join(f"S.{k}\t{tmp_path}/lib{k}.sam\n" for k in range(2)))
+
+
+def test_alignments_from_text(spark, tmp_path):
+    write_sams(tmp_path)
+    libraries = spark.createDataFrame([(4, f"{tmp_path}/lib0.sam"), (9, f"file://{tmp_path}/lib1.sam")], "file_num int, mapping_file string")
+    rows = text.read_alignments(spark, libraries)
+    assert [f"{f.name} {f.dataType.simpleString()}" for f in rows.schema] == [c for c in schemas.ALIGNMENT.split(", ")]
+    got = {(r["file_num"], r["qname"], r["is_read1"]): r for r in rows.collect()}
+    assert len(got) == 2 * 2 * (39 + 5)
+    a, b = got[4, "x1", True], got[9, "x1", False]
+    assert (a["tid"], a["pos"], a["aend"], a["rnext"], a["pnext"], a["is_reverse"], a["mate_is_reverse"], a["nm"]) == (0, 60_001, 60_101, 1, 5001, False, True, 1)
+    assert (b["tid"], b["rname"], b["pos"], b["aend"], b["is_reverse"], b["nm"], b["is_paired"], b["is_unmapped"]) == (1, "chr2", 5001, 5101, True, 2, True, False)
+
+
+def test_from_a_stub_to_calls(spark, tmp_path):
+    write_sams(tmp_path)
+    files.make_config(spark, str(tmp_path / "stub"), str(tmp_path / "config"), num_devs=3)
+    libraries = text.read_libraries(spark, str(tmp_path / "config" / "*.csv")).orderBy("file_num").collect()
+    assert [(r["sample"], r["num_devs"]) for r in libraries] == [("S.0", 3.0), ("S.1", 3.0)] and libraries[0]["exp_size"] == 302.0
+    config = str(tmp_path / "config" / "*.csv")
+    files.call_alignments(spark, config, str(tmp_path / "out"))
+    finals = text.read_finals(spark, str(tmp_path / "out.final")).collect()
+    assert sorted((r["chrom1"], r["chrom2"], r["num_pairs"]) for r in finals) == [("chr1", "chr1", 6)]
+    details = text.read_details(spark, str(tmp_path / "out.detail")).collect()
+    assert len(details) == 6 and {r["included"] for r in details} == {"Y"} and {r["read_id"].rsplit(".", 1)[0] for r in details} == {"S.0", "S.1"}
+    freq = spark.read.option("sep", "\t").option("header", True).csv(str(tmp_path / "out.freq"))
+    assert freq.columns[0] == "#chrom1_1" and freq.columns[-2:] == ["S.0Y", "S.1Y"] and freq.first()["S.0Y"] == "3"
+    assert text.read_tsv(spark, str(tmp_path / "out.punted"), schemas.BEDPE + ", mapping_type int, route string, island long").count() == 0
+
+    for k in range(2):  # the same calls from the paired intervals
+        rows = text.read_tsv(spark, str(tmp_path / "out.bedpe"), schemas.BEDPE).filter(f"read_id like 'S.{k}.%'")
+        text.write_tsv(rows, str(tmp_path / f"lib{k}.sam.bedpe"))
+    files.call_mappings(spark, config, str(tmp_path / "again"))
+    same = lambda name: sorted(tuple(r)[:6] for r in text.read_finals(spark, str(tmp_path / name)).collect())
+    assert same("again.final") == same("out.final")
+    files.call_mappings(spark, config, str(tmp_path / "punt"), punt=2)
+    assert text.read_tsv(spark, str(tmp_path / "punt.punted"), schemas.BEDPE + ", mapping_type int, route string, island long").count() == 6
+
+
+def test_small_readers(spark, tmp_path):
+    (tmp_path / "reads.bed").write_text("chr1\t10\t110\tr1/1\t2\t+\nchr2\t5\t105\tr1/2\t0\t-\n")
+    assert sorted(map(tuple, text.read_ends(spark, str(tmp_path / "reads.bed")).collect())) == [("r1", 1, "chr1", 10, 110, 2, "+"), ("r1", 2, "chr2", 5, 105, 0, "-")]
+    (tmp_path / "config").write_text("A\tx\t300\t20\t3\nB\ty\t310\t20\t3\nA\tz\t320\t20\t3\n")
+    libraries = text.read_libraries(spark, str(tmp_path / "config"))
+    assert {(r["sample"], r["mapping_file"]) for r in text.last_by_sample(libraries).collect()} == {("A", "z"), ("B", "y")}
+    assert text.read_samples(spark, str(tmp_path / "config")) == ["A", "B"]
+    row = "chr1\t1\t2\tchr1\t5\t6\tr\t1\t+\t-\t0\t0\t1\t1\t9\t9\t1\t40\t3\tchr1.chr1.+.-_7\t0\t1\t0\n"
+    (tmp_path / "assembled").write_text(row)
+    got = text.read_assembled(spark, str(tmp_path / "assembled")).first()
+    assert (got["support"], got["cluster_id"], got["file_num"]) == (3, "chr1.chr1.+.-_7", 0)
