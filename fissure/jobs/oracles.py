@@ -185,6 +185,20 @@ best AS (SELECT *, bool_or(spoils) OVER (PARTITION BY read_id) AS spoilt, min(ed
 kept AS (SELECT *, c1 = c2 AND s2 < s1 AND frag_size IS NOT NULL AS flip FROM best WHERE NOT spoilt AND edits <= least_edits + 1
    QUALIFY row_number() OVER (PARTITION BY read_id ORDER BY edits, frag_size NULLS LAST, c1, s1, e1, x1, c2, s2, e2, x2, d1) <= 1000)"""
 )
+TAGGED = (
+    M
+    + """, ends AS (SELECT * FROM (SELECT DISTINCT * FROM (SELECT read_id, 1 AS num, chrom1 AS chrom, start1 AS s, end1 AS e, edit1 AS edit, strand1 AS strand FROM m UNION ALL SELECT read_id, 2, chrom2, start2, end2, edit2, strand2 FROM m)) WHERE num = 1 OR s % 7 <> 3),
+placed AS (SELECT *, row_number() OVER (PARTITION BY read_id, num ORDER BY chrom, s, e, strand, edit) AS place FROM ends),
+cnt AS (SELECT *, CASE WHEN m1 = 0 OR m2 = 0 THEN 'orphan' WHEN CASE WHEN m1 = 1 OR m2 = 1 THEN greatest(m1, m2) > 4 ELSE m1 * m2 > 6 END THEN 'repeat' END AS why FROM (SELECT read_id, count(*) FILTER (num = 1) AS m1, count(*) FILTER (num = 2) AS m2 FROM ends GROUP BY read_id)),
+both_ends AS (SELECT a.read_id, m1, m2, a.chrom AS c1, a.s AS s1, a.e AS e1, a.edit AS d1, a.strand AS x1, b.chrom AS c2, b.s AS s2, b.e AS e2, b.edit AS d2, b.strand AS x2, a.edit + b.edit AS edits, a.place AS p1, b.place AS p2,
+   greatest(a.s, b.s) - least(a.e, b.e) AS gap FROM placed a JOIN placed b USING (read_id) JOIN cnt USING (read_id) WHERE a.num = 1 AND b.num = 2 AND why IS NULL),
+sized AS (SELECT *, CASE WHEN c1 = c2 AND gap + e1 - s1 + e2 - s2 <= 1000000 THEN gap + e1 - s1 + e2 - s2 END AS frag_size,
+   CASE WHEN c1 = c2 AND ((x1 = '+' AND x2 = '-' AND e2 - s1 >= 200 AND e2 - s1 < 500) OR (x1 = '-' AND x2 = '+' AND e1 - s2 >= 200 AND e1 - s2 < 500)) THEN 'concordant' WHEN c1 = c2 AND gap <= 0 THEN 'badSpan' ELSE 'discordant' END AS tag FROM both_ends),
+best AS (SELECT *, bool_or(tag <> 'discordant') OVER (PARTITION BY read_id) AS spoilt, min(edits) OVER (PARTITION BY read_id) AS least_edits FROM sized),
+kept AS (SELECT *, c1 = c2 AND s2 < s1 AND frag_size IS NOT NULL AS flip FROM (SELECT * FROM best WHERE NOT spoilt AND edits <= least_edits + 1
+   QUALIFY row_number() OVER (PARTITION BY read_id ORDER BY edits, p1 + p2, c1, s1, e1, x1, c2, s2, e2, x2, d1) <= 3
+   UNION ALL SELECT * FROM best WHERE spoilt AND tag <> 'discordant' QUALIFY row_number() OVER (PARTITION BY read_id ORDER BY p1, p2) = 1))"""
+)
 
 
 def _flip(a: str, i: int) -> str:
@@ -241,6 +255,7 @@ ORACLES: dict[str, str] = {
     "bed12_rows": M + A + f""" SELECT chrom1 AS chrom, min_start1 AS "start", max_end2 AS "end", {_MARK} || ':' || strand1 || '/' || strand2 || ':intra:' || chrom1 || ':' || min_start1 || '-' || max_end2 AS name, abs(max_end2 - min_start1) AS score, '+' AS strand,
   min_start1 AS thick_start, max_end2 AS thick_end, {_RGB}, 2 AS block_count, (max_end1 - min_start1) || ',' || (max_end2 - min_start2) AS block_sizes, '0,' || (min_start2 - min_start1) AS block_starts
   FROM finals WHERE chrom1 = chrom2 AND abs(max_end2 - min_start1) <= 1000000 UNION ALL {_single(1)} UNION ALL {_single(2)}""",
+    "size_sample": FACING.replace("SELECT file_num, tlen FROM aln", "SELECT file_num, qname, pos, tlen FROM aln") + " SELECT file_num, qname, tlen FROM p QUALIFY row_number() OVER (PARTITION BY file_num ORDER BY md5(qname), qname, pos, tlen) <= 1000",
     "lib_median_mad": FACING + " SELECT file_num, any_value(median_size) AS median_size, median(abs(tlen - median_size)) AS mad, count(*) AS pairs FROM p JOIN md USING (file_num) GROUP BY file_num",
     "discordant_filter": DISC + " SELECT qname, is_read1, tlen FROM d",
     "mate_pairing": DISC + """, y AS (SELECT *, row_number() OVER (PARTITION BY file_num, qname ORDER BY tid, pos, aend, CASE WHEN is_read1 THEN 1 ELSE 2 END) AS k, count(*) OVER (PARTITION BY file_num, qname) AS n FROM d WHERE mapq >= 5)
@@ -260,4 +275,6 @@ ORACLES: dict[str, str] = {
     "dedup_either": _dedup(1, True),
     "dup_runs": DUP + " SELECT row_id, duplicate, CAST(sum(CASE WHEN duplicate THEN 0 ELSE 1 END) OVER (PARTITION BY chrom1, chrom2, strand1, strand2 ORDER BY p1, p2, read_id, row_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS run FROM l",
     "pair_combinations": PAIRS + " SELECT " + ", ".join(f"{_flip(a, i)} AS {b}{i}" for i in (1, 2) for a, b in (("c", "chrom"), ("s", "start"), ("e", "end"), ("x", "strand"), ("d", "edit"))) + ", read_id, CASE WHEN flip THEN 2 ELSE 1 END AS which_mate_is_block1, m1 AS mappings1, m2 AS mappings2, frag_size FROM kept",
+    "tagged_pairs": TAGGED + " SELECT " + ", ".join(f"{_flip(a, i)} AS {b}{i}" for i in (1, 2) for a, b in (("c", "chrom"), ("s", "start"), ("e", "end"), ("x", "strand"), ("d", "edit"))) + ", read_id, CASE WHEN flip THEN 2 ELSE 1 END AS which_mate_is_block1, m1 AS mappings1, m2 AS mappings2, frag_size, edits AS total_edits, p1 + p2 AS place, tag FROM kept UNION ALL SELECT "
+    + ", ".join("NULL" for _ in range(10)) + ", read_id, NULL, NULL, NULL, NULL, NULL, NULL, why FROM cnt WHERE why IS NOT NULL",
 }

@@ -15,6 +15,7 @@ from fissure.sources.schemas import ROUTE
 
 MOST = 12  # islands beyond this size are set aside in the punted_islands query
 SLOP = 25_000  # bases that footprints may lie apart: derived positions of a chromosome are 20000 apart
+SAMPLED = 1000  # facing pairs taken from each library
 SAMPLES = [row[1] for row in tables.LIBRARIES]
 
 
@@ -210,10 +211,24 @@ def dedup_either(spark, sf_dir):
     return dedup.drop_duplicates(_mappings(spark, sf_dir), slop=1, either=True).select("row_id", "read_id")
 
 
-def pair_combinations(spark, sf_dir):
+def _ends(spark, sf_dir):
     m = _mappings(spark, sf_dir)
     end = lambda i: m.select("read_id", F.lit(i).alias("read_num"), *[F.col(f"{c}{i}").alias(c) for c in ("chrom", "start", "end", "edit", "strand")])
-    return pairing.pair_combinations(end(1).unionByName(end(2)).distinct(), edit_slop=1)
+    return end(1).unionByName(end(2)).distinct()
+
+
+def pair_combinations(spark, sf_dir):
+    return pairing.pair_combinations(_ends(spark, sf_dir), edit_slop=1)
+
+
+def tagged_pairs(spark, sf_dir):
+    """Ends of low quality are left out of one side, so that some reads are orphans, and few places make a repeat."""
+    ends = _ends(spark, sf_dir).filter("read_num = 1 or start % 7 <> 3")
+    return pairing.tagged_pairs(ends, pairing.Limits(anchor=4, multi=6, most=3), order="genome", edit_slop=1)
+
+
+def size_sample(spark, sf_dir):
+    return libstats.size_sample(tables.alignments(spark, sf_dir), SAMPLED).select("file_num", "qname", "tlen")
 
 
 def greedy_clusters(spark, sf_dir):
@@ -268,6 +283,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "dedup_reads": dedup_reads,
     "dedup_either": dedup_either,
     "pair_combinations": pair_combinations,
+    "tagged_pairs": tagged_pairs,
+    "size_sample": size_sample,
     "greedy_clusters": greedy_clusters,
     "breakpoint_calls": flagship,
 }

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Parts of a library that are ranked by themselves.
+PARTS = 64
+
 
 def forward_reverse() -> Column:
     """The leftmost end of a pair that faces its mate."""
@@ -12,10 +15,16 @@ def forward_reverse() -> Column:
 
 
 def size_sample(alignments: DataFrame, per_library: int = 100_000) -> DataFrame:
-    """At most per_library facing pairs of each library, the first by hash: a sample that doesn't depend on file order."""
-    facing = alignments.filter(forward_reverse())
-    order = Window.partitionBy("file_num").orderBy(F.xxhash64("qname"), "qname")
-    return facing.withColumn("at", F.row_number().over(order)).filter(F.col("at") <= per_library).drop("at")
+    """At most per_library facing pairs of each library, the first by hash: a sample that doesn't depend on file order.
+
+    Each library is ranked in PARTS parts first, whose first pairs alone are ranked together: none needs a task for all its pairs.
+    """
+    mark = F.md5("qname")
+    facing = alignments.filter(forward_reverse()).withColumns({"mark_": mark, "part_": F.pmod(F.xxhash64("qname"), F.lit(PARTS))})
+    for within in (["file_num", "part_"], ["file_num"]):
+        order = Window.partitionBy(*within).orderBy("mark_", "qname", "pos", "tlen")
+        facing = facing.withColumn("at_", F.row_number().over(order)).filter(F.col("at_") <= per_library)
+    return facing.drop("at_", "mark_", "part_")
 
 
 def library_statistics(alignments: DataFrame) -> DataFrame:

@@ -203,6 +203,8 @@ def test_concordant_reads_are_not_paired(spark):
     rows = [end("far", 1, "chr1", 100, "+"), end("far", 2, "chr1", 9000, "-"), end("near", 1, "chr1", 100, "+"), end("near", 2, "chr1", 300, "-"), end("near", 2, "chr2", 300, "-"), end("half", 1, "chr1", 1, "+")]
     out = pairing.pair_combinations(spark.createDataFrame(rows, "read_id string, read_num int, chrom string, start int, end int, edit int, strand string")).collect()
     assert [(r["read_id"], r["start1"], r["start2"], r["frag_size"]) for r in out] == [("far", 100, 9000, 9000)]
+    tags = {(r["read_id"], r["tag"], r["start1"]) for r in pairing.tagged_pairs(spark.createDataFrame(rows, "read_id string, read_num int, chrom string, start int, end int, edit int, strand string")).collect()}
+    assert tags == {("far", "discordant", 100), ("near", "concordant", 100), ("half", "orphan", None)}
 
 
 def _agree(a, b):
