@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Callable, Iterator
 from itertools import chain
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -12,10 +14,13 @@ import pyarrow.compute as pc
 
 from fissure.llm.shared import kept_in_process
 
-#: Distinct words that a worker remembers before it starts afresh (bounds its memory, not its input).
-MEMO_WORDS = 500_000
+#: Bytes of remembered ids, of runs of letters and of other pieces (bound a worker's memory, not its input); what an entry
+#: takes besides its characters and ids.
+LETTER_BYTES, OTHER_BYTES, ENTRY_BYTES = 32_000_000, 6_000_000, 180
 BATCH_WORDS = 4096
-MARKS = frozenset(",.;:!?")
+MARKS = ",.;:!?"
+#: Runs of the letters below U+0100, and a mark behind one.
+LETTERS, MARK = "^[A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+$", f"[{MARKS}]$"
 
 
 #: The characters that byte-level vocabularies write for bytes: printable Latin-1 stands for itself, the others follow from 256 up.
@@ -23,8 +28,36 @@ _SELF = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 _BYTE_CHARACTERS = {b: chr(b) for b in _SELF} | {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(_SELF)))}
 
 
-def _latin(word: str) -> bool:
-    return word.isalpha() and (word.isascii() or max(word) < "\u0100")
+def _listed(strings: pa.Array) -> list[str]:
+    return strings.to_numpy(zero_copy_only=False).tolist()
+
+
+class Memo:
+    """Ids by piece, in two generations of bounded size: what the younger one hasn't met for its length is forgotten."""
+
+    def __init__(self, most: int):
+        self.most, self.size = most // 2, 0
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def ids(self, pieces: list[str], make: Callable[[list[str]], list[bytes]]) -> list[bytes]:
+        """Ids of each piece; make gives those that aren't remembered."""
+        found = list(map(self.young.get, pieces))
+        rest = [i for i, x in enumerate(found) if x is None]
+        for at in range(0, len(rest), BATCH_WORDS):
+            some = rest[at : at + BATCH_WORDS]
+            keys = [pieces[i] for i in some]
+            known = list(map(self.old.get, keys))
+            new = iter(make([k for k, x in zip(keys, known, strict=True) if x is None]))
+            got = [next(new) if x is None else x for x in known]
+            for i, raw in zip(some, got, strict=True):
+                found[i] = raw
+            self.size += ENTRY_BYTES * len(keys) + sum(map(len, keys)) + sum(map(len, got))
+            if self.size > self.most:
+                self.old, self.young, self.size = self.young, {}, 0
+            else:
+                self.young.update(zip(keys, got, strict=True))
+        return found
 
 
 class Encoder:
@@ -54,9 +87,8 @@ class Encoder:
         probe = ["a", "hello", "straße", "thorough", "éèê"]
         self.direct = self._running(probe) == self._separate(probe, " " if self.keeps_space else "")
         self.whole = re.compile("|".join([r" (?=\s)", *map(re.escape, special)] if self.keeps_space else map(re.escape, special)))
-        self.stems: dict[str, bytes] = {}
-        self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {} if self.keeps_space else self.first
+        self.marks = {m: self._plain(m) for m in MARKS} | {"": b""}
+        self.letters, self.others = Memo(LETTER_BYTES), Memo(OTHER_BYTES)
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
@@ -86,57 +118,41 @@ class Encoder:
         sizes = np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))
         return self._cut(np.fromiter(chain.from_iterable(ids), "<u4", int(sizes[-1]) if len(ids) else 0), sizes)
 
-    def _learn(self, words: list[str], memo: dict[str, bytes], lead: str) -> None:
-        """Remembers the ids of all the given words."""
-        new = [w for w in words if w not in memo]
-        if len(memo) + len(new) > MEMO_WORDS:
-            memo.clear()
-            self.stems.clear()
-            new = words
-        built, built_stems, built_marks, odd = [], [], [], []
-        for w in new:
-            stem, mark = (w[:-1], w[-1]) if w[-1:] in MARKS else (w, "")
-            if (lead or not self.keeps_space) and _latin(stem):
-                built.append(w)
-                built_stems.append(stem.lower() if self.folds else stem)
-                built_marks.append(mark)
-            else:
-                odd.append(w)
-        stems = self.stems
-        unknown = list(set(built_stems) - stems.keys())
-        for i in range(0, len(unknown), BATCH_WORDS):
-            some = unknown[i : i + BATCH_WORDS]
-            stems.update(zip(some, self._running(some), strict=True))
-        marks = {m: self._plain(m) for m in MARKS} | {"": b""}
-        for w, stem, mark in zip(built, built_stems, built_marks, strict=True):
-            memo[w] = stems[stem] + marks[mark]
-        for i in range(0, len(odd), BATCH_WORDS):
-            some = odd[i : i + BATCH_WORDS]
-            memo.update(zip(some, self._separate(some, lead), strict=True))
+    def _of_words(self, words: pa.Array) -> list[bytes]:
+        """ids of distinct pieces that a space goes before."""
+        lead = " " if self.keeps_space else ""
+        stems = pc.replace_substring_regex(words, MARK, "")
+        simple = pc.match_substring_regex(stems, LETTERS)
+        some, runs = words.filter(simple), stems.filter(simple)
+        coded = (pc.utf8_lower(runs) if self.folds else runs).dictionary_encode()
+        ids = self.letters.ids(_listed(coded.dictionary), self._running)
+        ends = pc.if_else(pc.equal(pc.binary_length(some), pc.binary_length(runs)), "", pc.utf8_slice_codeunits(some, -1))
+        built = list(map(add, map(ids.__getitem__, coded.indices.to_numpy().tolist()), map(self.marks.__getitem__, _listed(ends))))
+        odd = self.others.ids(_listed(words.filter(pc.invert(simple))), lambda new: self._separate(new, lead))
+        is_simple = simple.to_numpy(zero_copy_only=False)
+        known = np.empty(len(words), object)
+        known[is_simple], known[~is_simple] = built, odd
+        return known.tolist()
 
     def _pieces(self, texts: list[str]) -> list[bytes]:
         """ids of texts that may be cut at every space."""
         lists = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
-        at = lists.offsets.to_numpy()
+        at = lists.offsets.to_pylist()
         coded = lists.flatten().dictionary_encode()
-        codes, words = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary.to_pylist()
-        self._learn(words, self.later, " " if self.keeps_space else "")
-        known = list(map(self.later.__getitem__, words))
-        if self.keeps_space:
-            heads = list(dict.fromkeys(words[c] for c in codes[at[:-1]].tolist()))
-            self._learn(heads, self.first, "")
-            place = {w: len(known) + i for i, w in enumerate(heads)}
-            known += map(self.first.__getitem__, heads)
-            codes[at[:-1]] = [place[words[c]] for c in codes[at[:-1]].tolist()]
-        ids = np.frombuffer(b"".join(known), "<u4")
-        sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
-        starts = np.cumsum(sizes) - sizes
-        lengths = sizes[codes]
-        upto = np.cumsum(lengths)
-        out = ids[np.arange(upto[-1]) + np.repeat(starts[codes] - upto + lengths, lengths)] if len(codes) else ids
-        ends = 4 * np.concatenate([[0], upto])[at]
-        raw = out.tobytes()
-        return [raw[a:b] for a, b in zip(ends.tolist(), ends[1:].tolist(), strict=False)]
+        codes = coded.indices.to_numpy(zero_copy_only=False)
+        known = self._of_words(coded.dictionary)
+        heads: dict[int, bytes] = {}
+        if self.keeps_space:  # no space goes before a text's first piece
+            first = np.unique(codes[at[:-1]])
+            words = _listed(coded.dictionary.take(pa.array(first)))
+            for i in range(0, len(words), BATCH_WORDS):
+                heads |= zip(first[i : i + BATCH_WORDS].tolist(), self._separate(words[i : i + BATCH_WORDS], ""), strict=True)
+        out = []
+        for a, b in zip(at, at[1:], strict=False):
+            some = codes[a:b].tolist()
+            head = heads[some[0]] if self.keeps_space else known[some[0]]
+            out.append(head + b"".join(map(known.__getitem__, some[1:])))
+        return out
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text; None is empty."""
@@ -150,13 +166,12 @@ def encoder(path: str) -> Encoder:
     return kept_in_process(f"encoder {path}", lambda: Encoder(path))
 
 
-def text_chunks(texts: list[str | None], budget: int = 1 << 23):
-    """Index ranges of about `budget` characters, so that work space stays bounded whatever a batch holds."""
-    start = total = 0
-    for i, t in enumerate(texts):
-        total += len(t or "")
-        if total >= budget:
-            yield start, i + 1
-            start, total = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
+def text_chunks(texts: pa.Array, budget: int = 1 << 20) -> Iterator[tuple[int, int, list[str | None]]]:
+    """Texts in ranges of about `budget` bytes, so that work space stays bounded whatever a batch holds."""
+    upto = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < len(texts):
+        ahead = int(upto[start - 1]) if start else 0
+        end = min(int(np.searchsorted(upto, ahead + budget)) + 1, len(texts))
+        yield start, end, texts.slice(start, end - start).to_pylist()
+        start = end

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fissure.llm.encoding import text_chunks
-from fissure.llm.shared import kept_in_process, materialise, shared_value, table
+from fissure.llm.shared import kept_in_process, materialise, released, shared_value, small_batches, table
 from fissure.llm.words import mix, stream
 
 #: Characters in the longest n-gram, and the discount at every order.
@@ -28,8 +28,10 @@ LEAST_SPREAD, SLACK = 12.0, 1.5
 BETWEEN = 0.15
 #: Share of the log-likelihood that the score believes; neighbouring characters are not independent.
 TEMPER = 0.1
-#: Characters scored at once; bounds a worker's memory.
-CHUNK = 1 << 21
+#: Characters of texts, and of distinct tokens, scored at once; bound a worker's memory.
+CHUNK, TOKENS = 1 << 21, 1 << 17
+#: A token's log-probability counts in steps of 2 ** -UNIT nats: whole numbers sum alike in any order and company.
+UNIT = 24
 UNKNOWN = "und"
 EDGE = 32
 _PLACES = stream(11, ORDER) | np.uint64(1)
@@ -162,8 +164,14 @@ class Model:
         hit = known[at] == hashes
         return hit, values[at[hit]]
 
-    def log_probabilities(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Per token: summed log-probability under each language, and the number of events."""
+    def log_probabilities(self, tokens: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Per token: summed log-probability under each language in steps of 2 ** -UNIT, and the number of events."""
+        parts = [self._of_tokens(some) for _, _, some in text_chunks(tokens, TOKENS)]
+        if not parts:
+            return np.zeros((0, len(self.languages)), np.int64), np.zeros(0, np.int64)
+        return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+    def _of_tokens(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
         e = events(tokens)
         out = np.tile(self.floor, (len(e.token), 1))
         for k in range(1, ORDER + 1):
@@ -174,7 +182,8 @@ class Model:
             if k > 1:
                 known, weight = self._find(self.backoff[k - 1], e.contexts[k - 1][miss])
                 out[miss[known]] += weight
-        upto = np.vstack([np.zeros(len(self.languages)), np.cumsum(out, axis=0)])
+        steps = np.rint(out * 2.0**UNIT).astype(np.int64)
+        upto = np.vstack([np.zeros((1, len(self.languages)), np.int64), np.cumsum(steps, axis=0)])
         ends = np.searchsorted(e.token, np.arange(len(tokens)), "right")
         starts = np.searchsorted(e.token, np.arange(len(tokens)), "left")
         return upto[ends] - upto[starts], ends - starts
@@ -185,11 +194,15 @@ class Model:
         at = lists.offsets.to_numpy()
         coded = lists.flatten().dictionary_encode()
         codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        logs, sizes = self.log_probabilities(coded.dictionary.to_pylist())
-        n = np.concatenate([[0], np.cumsum(sizes[codes])])
-        total = np.vstack([np.zeros(len(self.languages)), np.cumsum(logs[codes], axis=0)])
-        n, total = n[at[1:]] - n[at[:-1]], total[at[1:]] - total[at[:-1]]
-        return -total / np.maximum(n, 1)[:, None], n
+        logs, sizes = self.log_probabilities(coded.dictionary)
+
+        def by_text(values: np.ndarray) -> np.ndarray:
+            upto = np.concatenate([[0], np.cumsum(values[codes])])
+            return upto[at[1:]] - upto[at[:-1]]
+
+        n = by_text(sizes)
+        total = np.stack([by_text(logs[:, i]) for i in range(len(self.languages))], axis=1)
+        return -total / 2.0**UNIT / np.maximum(n, 1)[:, None], n
 
     def calibrate(self, texts: list[str], languages: list[str]) -> None:
         """Learns each language's usual cross-entropy and how far texts of it stray from it.
@@ -288,40 +301,30 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared()
         for batch in batches:
-            texts = batch.column(2).to_pylist()
-            for a, b in text_chunks(texts, CHUNK):
-                names, score, entropy, rejected = model.predict(texts[a:b]) if model else ([UNKNOWN] * (b - a), np.zeros(b - a), np.full(b - a, np.nan), np.ones(b - a, bool))
+            for a, b, texts in text_chunks(batch.column(2), CHUNK):
+                names, score, entropy, rejected = model.predict(texts) if model else ([UNKNOWN] * (b - a), np.zeros(b - a), np.full(b - a, np.nan), np.ones(b - a, bool))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0)[a:b], batch.column(1)[a:b], pa.array(names, pa.string()), pa.array(score), pa.array(entropy, from_pandas=True), pa.array(rejected)],
                     ["doc_id", "held_out", "lang_pred", "score", "cross_entropy", "rejected"],
                 )
 
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(predict, "doc_id long, held_out boolean, lang_pred string, score double, cross_entropy double, rejected boolean")
+    rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(released(predict), "doc_id long, held_out boolean, lang_pred string, score double, cross_entropy double, rejected boolean")
 
 
 def accepted(docs: DataFrame, model: Model | None) -> DataFrame:
     """The documents that are not rejected, with their own columns; each row is judged by its text alone."""
     shared = shared_value(docs.sparkSession, model)
 
-    loaded: list[Model | None] = []
-
-    @F.pandas_udf("boolean")
-    def keeps(texts):
-        import pandas as pd
-
-        if not loaded:
-            loaded.append(shared())
-        model = loaded[0]
-
-        values = [t if isinstance(t, str) else None for t in texts]
-        out: list[bool] = []
-        for a, b in text_chunks(values, CHUNK):
-            out += (~model.predict(values[a:b])[3]).tolist() if model else [False] * (b - a)
-        return pd.Series(out, dtype=bool)
+    @F.arrow_udf("boolean")
+    def keeps(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        model = shared()
+        for column in batches:
+            out = [~model.predict(texts)[3] if model else np.zeros(len(texts), bool) for _, _, texts in text_chunks(column, CHUNK)]
+            yield pa.array(np.concatenate([*out, np.zeros(0, bool)]))
 
-    return docs.filter(keeps(F.col("text").cast("string")))
+    return small_batches(docs).filter(keeps(F.col("text").cast("string")))
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,12 +12,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 from fissure.llm.encoding import encoder, text_chunks
-from fissure.llm.shared import table
+from fissure.llm.shared import released, small_batches, table
 
 CAPACITY = 2048
 END_ID = 1
 #: Ids that a worker packs together; it then closes all its sequences, so memory is bounded.
-BLOCK_TOKENS = 1 << 23
+BLOCK_TOKENS = 1 << 21
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -116,9 +116,9 @@ def _pack(path: str, capacity: int, end_id: int, block_tokens: int):
         enc = None
         for batch in batches:
             enc = enc or encoder(path)
-            keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in text_chunks(texts):
-                for key, raw in zip(keys[a:b], enc.encode(texts[a:b]), strict=True):
+            keys = batch.column(0).to_pylist()
+            for a, b, texts in text_chunks(batch.column(1)):
+                for key, raw in zip(keys[a:b], enc.encode(texts), strict=True):
                     docs.append((key, raw + end))
                     held += len(raw) // 4 + 1
                 if held >= block_tokens:
@@ -140,8 +140,8 @@ def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id:
     """
     if capacity < 1:
         raise ValueError("capacity must be positive")
-    rows = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
-    return rows.mapInArrow(_pack(path, capacity, end_id, block_tokens), PIECES)
+    rows = small_batches(docs).selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
+    return rows.mapInArrow(released(_pack(path, capacity, end_id, block_tokens)), PIECES)
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
