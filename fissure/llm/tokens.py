@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fissure.llm.encoding import encoder, text_chunks
-from fissure.llm.shared import materialise, new_folder, table
+from fissure.llm.shared import materialise, new_folder, released, small_batches, table
 
 END_ID = 1
 SEQUENCE = 2048
@@ -77,42 +77,38 @@ class SequenceWriter:
 
 
 def _write_partition(folder: str, path: str, sequence: int, end_id: int):
-    """mapInArrow body: one data file and one index file per task, renamed into place once complete."""
+    """mapInArrow body: one data file and one index file per task, named by its attempt; the manifest tells which attempt counts."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
         part, attempt = context.partitionId(), context.taskAttemptId()
         fs, root = _filesystem(folder)
         fs.create_dir(root, recursive=True)
-        names = [posixpath.join(root, f"part-{part:06d}.{kind}.arrow") for kind in ("ids", "docs")]
-        drafts = [f"{n}.{attempt}.draft" for n in names]
+        names = [posixpath.join(root, f"part-{part:06d}-{attempt}.{kind}.arrow") for kind in ("ids", "docs")]
         index_schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
         end, enc = np.array([end_id], "<u4").tobytes(), encoder(path)
         docs = tokens = 0
-        with fs.open_output_stream(drafts[0]) as sink, fs.open_output_stream(drafts[1]) as index_sink:
+        with fs.open_output_stream(names[0]) as sink, fs.open_output_stream(names[1]) as index_sink:
             ids, index = SequenceWriter(sink, sequence, max(enc.size - 1, end_id) < 1 << 16), pa.ipc.new_file(index_sink, index_schema)
             for batch in batches:
-                keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-                for a, b in text_chunks(texts):
+                for a, b, texts in text_chunks(batch.column(1)):
                     starts, counts = [], []
-                    for raw in enc.encode(texts[a:b]):
+                    for raw in enc.encode(texts):
                         ids.add(raw + end)
                         starts.append(tokens)
                         counts.append(len(raw) // 4 + 1)
                         tokens += counts[-1]
                     docs += b - a
-                    index.write_batch(pa.record_batch([pa.array(keys[a:b], pa.int64()), pa.array(starts, pa.int64()), pa.array(counts, pa.int64())], schema=index_schema))
+                    index.write_batch(pa.record_batch([batch.column(0).slice(a, b - a), pa.array(starts, pa.int64()), pa.array(counts, pa.int64())], schema=index_schema))
             ids.close()
             index.close()
-        if docs:  # a repeated or speculative attempt writes the same bytes, so the last rename wins harmlessly
-            for draft, name in zip(drafts, names, strict=True):
-                fs.move(draft, name)
+        if docs:
             row = [[part], *[[posixpath.join(folder, posixpath.basename(n))] for n in names], [docs], [tokens], [ids.written]]
             types = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, types, strict=True)], ["part", "data_path", "index_path", "n_docs", "n_tokens", "n_sequences"])
         else:
-            for draft in drafts:
-                fs.delete_file(draft)
+            for name in names:
+                fs.delete_file(name)
 
     return write
 
@@ -120,15 +116,16 @@ def _write_partition(folder: str, path: str, sequence: int, end_id: int):
 def write_tokens(docs: DataFrame, path: str, folder: str | None = None, sequence: int = SEQUENCE, end_id: int = END_ID) -> DataFrame:
     """Encodes docs in ascending doc_id order into Arrow files under folder; returns their manifest.
 
-    Files are named by partition, and partitions hold ascending ranges of
-    doc_id, so file order is document order. A null text is empty and gives the
-    end id alone; null doc_ids come first; repeated rows are written each;
+    Files are named by partition and attempt, and partitions hold ascending ranges of
+    doc_id, so file order is document order. A pair of files that the manifest lacks
+    is that of an attempt that failed or came second. A null text is empty and gives the
+    end id alone; null doc_ids come first; equal doc_ids are ordered by text, and repeated rows written each;
     an empty table writes no file. Columns besides doc_id and text are ignored.
     """
     folder = folder or new_folder(docs.sparkSession, "tokens")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = rows.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
-    return materialise(rows.mapInArrow(_write_partition(folder, path, sequence, end_id), MANIFEST), "manifest")
+    rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = rows.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
+    return materialise(rows.mapInArrow(released(_write_partition(folder, path, sequence, end_id)), MANIFEST), "manifest")
 
 
 def _open(uri: str):
