@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fissure.llm.components import connected_components
-from fissure.llm.shared import materialise, table
+from fissure.llm.shared import materialise, released, same_columns, small_batches, table
 from fissure.llm.words import NOT_SPACE, shingle_set, stream, word_hashes
 
 #: Registers: base of the exponential spacing, rate, largest value (fits 16 bits).
@@ -26,6 +26,10 @@ BROADCAST_IDS = 1_000_000
 LONG = pa.int64()
 #: Classes of a bucket that all its classes are compared with; sides of the blocks that compare what is then still apart.
 PIVOTS, LEFT_ROWS, RIGHT_ROWS = 4, 256, 512
+#: Buckets with more than this share of all rows are dealt over several tasks, if they hold more rows than PART_ROWS.
+HOT_SHARE, PART_ROWS = 1000, 1000
+#: Rows that a Python task works on at once, and shingles that one comparison holds against a set.
+SLICE, COMPARED = 256, 1 << 20
 
 
 def registers(shingles: np.ndarray) -> np.ndarray:
@@ -77,6 +81,13 @@ def likely(ra: np.ndarray, rb: np.ndarray, na: np.ndarray, nb: np.ndarray, least
     return keep, estimate
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """Batches in slices of few rows, so that what is made of them takes little memory."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def _sets(batch: pa.RecordBatch, n: int) -> Iterator[tuple[int | None, np.ndarray]]:
     for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
         yield key, shingle_set(word_hashes(text, NOT_SPACE), n) if text else np.empty(0, np.uint64)
@@ -88,7 +99,7 @@ def sketch_documents(docs: DataFrame, n: int) -> DataFrame:
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_128_digest
 
-        for batch in batches:
+        for batch in _slices(batches):
             keys, sizes, marks, found = [], [], [], []
             for key, shingles in _sets(batch, n):
                 keys.append(key)
@@ -99,11 +110,11 @@ def sketch_documents(docs: DataFrame, n: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(keys, LONG), pa.array(sizes, LONG), pa.array(high, LONG), pa.array(low, LONG), pa.array(found, pa.binary())], ["doc_id", "n_shingles", "set_high", "set_low", "registers"])
 
     rows = _texts(docs)
-    return rows.mapInArrow(sketch, "doc_id long, n_shingles long, set_high long, set_low long, registers binary")
+    return rows.mapInArrow(released(sketch), "doc_id long, n_shingles long, set_high long, set_low long, registers binary")
 
 
 def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
 
 
 def _near_sizes(a: str, b: str, percent: int) -> str:
@@ -114,29 +125,28 @@ def _estimated(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that the registers do not rule out."""
 
     def estimate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                ra, rb = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, REGISTERS) for c in ("ra", "rb"))
-                keep, _ = likely(ra, rb, batch.column("na").to_numpy().astype(float), batch.column("nb").to_numpy().astype(float), percent / 100)
-                yield batch.select(["a", "b"]).filter(pa.array(keep))
+        for batch in _slices(batches):
+            ra, rb = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, REGISTERS) for c in ("ra", "rb"))
+            keep, _ = likely(ra, rb, batch.column("na").to_numpy().astype(float), batch.column("nb").to_numpy().astype(float), percent / 100)
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
 
     left = reps.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("registers").alias("ra"))
     right = reps.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("registers").alias("rb"))
-    return pairs.join(left, "a").join(right, "b").mapInArrow(estimate, "a long, b long")
+    return pairs.join(left, "a").join(right, "b").mapInArrow(released(estimate), "a long, b long")
 
 
 def _shingles(ids: DataFrame, docs: DataFrame, n: int) -> DataFrame:
     """(id, shingles): the sets of the given doc_ids, from a second pass over the texts."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             found = list(_sets(batch, n))
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], LONG), pa.array([s.tobytes() for _, s in found], pa.binary())], ["id", "shingles"])
 
     ids = materialise(ids.toDF("doc_id").distinct(), "candidates")
     few = ids.count() <= BROADCAST_IDS
     wanted = _texts(docs).join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
-    return materialise(wanted.mapInArrow(sets, "id long, shingles binary").dropDuplicates(["id"]), "shingles")
+    return materialise(wanted.mapInArrow(released(sets), "id long, shingles binary").dropDuplicates(["id"]), "shingles")
 
 
 def _common(s: np.ndarray, others: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -149,7 +159,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFr
     """The pairs whose full shingle sets are similar enough."""
 
     def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             keep = []
             for x, y in zip(batch.column("xs").to_pylist(), batch.column("ys").to_pylist(), strict=True):
                 s, t = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
@@ -159,7 +169,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFr
 
     found = _shingles(pairs.select(F.explode(F.array("a", "b"))), docs, n)
     left, right = found.select(F.col("id").alias("a"), F.col("shingles").alias("xs")), found.select(F.col("id").alias("b"), F.col("shingles").alias("ys"))
-    return pairs.join(left, "a").join(right, "b").mapInArrow(similar, "a long, b long")
+    return pairs.join(left, "a").join(right, "b").mapInArrow(released(similar), "a long, b long")
 
 
 def _across(percent: int):
@@ -175,7 +185,8 @@ def _across(percent: int):
             s = np.frombuffer(x, np.uint64)
             some = np.flatnonzero((root != own) & (100 * np.minimum(sizes, len(s)) >= percent * np.maximum(sizes, len(s))))
             if len(some):
-                common = _common(s, np.concatenate([sets[i] for i in some]), sizes[some])
+                cuts = np.flatnonzero(np.diff(np.cumsum(sizes[some]) // COMPARED)) + 1
+                common = np.concatenate([_common(s, np.concatenate([sets[i] for i in part]), sizes[part]) for part in np.split(some, cuts)])
                 hit = some[100 * common >= percent * (len(s) + sizes[some] - common)]
                 _, first = np.unique(root[hit], return_index=True)
                 out += [(u, rep[i]) for i in hit[first]]
@@ -211,6 +222,30 @@ def _links_across(met: DataFrame, components: DataFrame, docs: DataFrame, n: int
     return rows.groupBy("main", "i", "j").applyInPandas(_across(percent), "a long, b long")
 
 
+def _buckets(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The classes of buckets of several (key, part, rep, n), and each bucket's PIVOTS smallest (key, part, a, na), once for each part.
+
+    Buckets with more than one in HOT_SHARE of all rows, of which there can be but HOT_SHARE, are dealt over parts of about
+    that size, so that no task meets a whole one. Sizes come from partial sums, pivots from those of the parts.
+    """
+    sizes = materialise(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "bucket-sizes")
+    most = max((sizes.agg(F.sum("size")).first()[0] or 0) // HOT_SHARE, PART_ROWS)
+    # At most HOT_SHARE rows.
+    hot = F.broadcast(sizes.filter(F.col("size") > most).select("key", F.ceil(F.col("size") / most).cast("int").alias("parts")))
+
+    def in_all_parts(rows: DataFrame) -> DataFrame:
+        parts = F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)
+        return rows.join(hot, "key", "left").withColumn("part", F.explode(parts)).drop("parts")
+
+    own = F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("rep"), F.col("parts"))).cast("int")
+    dealt = keyed.join(hot, "key", "left").withColumn("part", own).drop("parts")
+    rank = F.row_number().over(Window.partitionBy("key", "part").orderBy("rep"))
+    met = materialise(dealt.join(in_all_parts(sizes.select("key")), ["key", "part"]).withColumn("rank", rank), "buckets")
+    first = met.filter(F.col("rank") <= PIVOTS)
+    first = first.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("rep"))).filter(F.col("rank") <= PIVOTS)
+    return met, in_all_parts(first.select("key", F.col("rep").alias("a"), F.col("n").alias("na")))
+
+
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """One row per document: n_shingles, component_id (smallest doc_id reachable by links), kept.
 
@@ -236,12 +271,8 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     width = 2 * ROWS
     band = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.col("registers").substr(i * width + 1, F.lit(width))))
     keyed = reps.select("rep", "n", F.explode(band).alias("key"))
-    bucket = Window.partitionBy("key")
-    met = keyed.withColumns({"size": F.count(F.lit(1)).over(bucket), "rank": F.row_number().over(bucket.orderBy("rep"))}).filter("size > 1")
-    met = materialise(met, "buckets")
-
-    pivots = met.filter(F.col("rank") <= PIVOTS).select("key", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("rank").alias("first"))
-    star = met.join(pivots, "key").filter("first < rank").filter(_near_sizes("n", "na", percent)).select("a", F.col("rep").alias("b")).distinct()
+    met, pivots = _buckets(keyed)
+    star = met.join(pivots, ["key", "part"]).filter("a < rep").filter(_near_sizes("n", "na", percent)).select("a", F.col("rep").alias("b")).distinct()
     star = materialise(_estimated(star, reps, percent), "pairs")
     links = materialise(_verified(star, docs, n, percent), "links")
     more = _links_across(met, connected_components(links), docs, n, percent)
@@ -258,14 +289,14 @@ def one_of_each_group(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFra
     found = near_duplicates(docs, n, percent)
     gone = materialise(found.filter("not kept").select("doc_id").distinct(), "dropped")
     few = gone.count() <= BROADCAST_IDS
-    kept = docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(docs.columns)
+    kept = docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(same_columns(docs))
     again = materialise(docs.filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("doc_id"), "repeated")
     repeated = again.count()
     if not repeated:
         return kept
     again = F.broadcast(again) if repeated <= BROADCAST_IDS else again
-    single = kept.join(again, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"])
-    return kept.join(again, "doc_id", "left_anti").select(docs.columns).unionByName(single)
+    single = kept.join(again, "doc_id", "left_semi").select(same_columns(docs)).dropDuplicates(["doc_id"])
+    return kept.join(again, "doc_id", "left_anti").select(same_columns(docs)).unionByName(single)
 
 
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
