@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fissure.llm.shared import materialise, table
+from fissure.llm.shared import materialise, same_columns, table
 
 KINDS = ("email", "ip", "card", "phone")
 #: The base patterns. Possessive forms and the start conditions match the same places as the plain
@@ -30,21 +30,50 @@ _IP = rf"^{_PART}\.{_PART}\.{_PART}\.{_PART}$"
 DISCLOSURE, CHANCE = 0.8, 0.05
 BROADCAST_ROWS = 200_000
 SPANS = "array<struct<start:int,end:int>>"
+#: Elements of an array that are run through at once, and characters of a block that gaps between spans are cut from.
+RUN, PIECE = 256, 512
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once for each row, however often body names it within the functions of arrays."""
+    return F.transform(F.array(value), body)[0]
+
+
+def running(values: Column, add: Callable[[Column, Column], Column]) -> Column:
+    """For each element of an integer array, what add makes of all up to it; add has 0 as its neutral element.
+
+    Blocks of RUN elements are run through by themselves and then carry on from the blocks ahead, so that an
+    array that grows step by step, which is copied at each, stays short.
+    """
+
+    def run(some: Column) -> Column:
+        begin = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("out"))
+
+        def step(state: Column, x: Column) -> Column:
+            return let(add(state["at"], x), lambda at: F.struct(at.alias("at"), F.concat(state["out"], F.array(at)).alias("out")))
+
+        return F.aggregate(some, begin, step, lambda state: state["out"])
+
+    def in_blocks(x: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(x), F.lit(1)), F.lit(RUN))
+        return let(F.transform(starts, lambda at: run(F.slice(x, at, F.lit(RUN)))), lambda blocks: let(run(F.transform(blocks, lambda one: F.coalesce(F.try_element_at(one, F.lit(-1)), F.lit(0)))), lambda totals: joined(blocks, totals)))
+
+    def joined(blocks: Column, totals: Column) -> Column:
+        ahead = F.concat(F.array(F.lit(0)), totals)
+        return F.flatten(F.transform(blocks, lambda one, i: let(ahead[i], lambda before: F.transform(one, lambda x: add(before, x)))))
+
+    return let(values, in_blocks)
 
 
 def matches(text: Column, pattern: Column) -> Column:
     """Leftmost non-overlapping matches as structs (start, end, value), in code points, end exclusive."""
-    between = F.split(text, pattern, -1)
     found = F.regexp_extract_all(text, pattern, F.lit(0))
-    rows = F.zip_with(F.slice(between, 1, F.size(found)), found, lambda gap, value: F.struct(F.length(gap).alias("gap"), value.alias("value")))
-    begin = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,end:int,value:string>>)").alias("out"))
 
-    def step(state: Column, row: Column) -> Column:
-        start = state["at"] + row["gap"]
-        end = start + F.length(row["value"])
-        return F.struct(end.alias("at"), F.concat(state["out"], F.array(F.struct(start.alias("start"), end.alias("end"), row["value"].alias("value")))).alias("out"))
+    def placed(values: Column) -> Column:
+        steps = F.zip_with(F.slice(F.split(text, pattern, -1), 1, F.size(values)), values, lambda gap, value: F.length(gap) + F.length(value))
+        return F.zip_with(running(steps, lambda a, b: a + b), values, lambda end, value: F.struct((end - F.length(value)).alias("start"), end.alias("end"), value.alias("value")))
 
-    return F.aggregate(rows, begin, step, lambda state: state["out"])
+    return let(found, placed)
 
 
 def _digits(value: Column) -> Column:
@@ -101,16 +130,29 @@ def _mentions(kind: str) -> Column:
 
 
 def _replaced(text: Column, spans: Column, put: Callable[[Column], Column]) -> Column:
-    """text with what put makes of it in place of each span; overlapping spans are replaced as one."""
-    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    """text with what put makes of it in place of each span; overlapping spans are replaced as one.
+
+    What lies between spans is cut from the blocks of PIECE characters that hold it, never from the start of the text.
+    """
+
+    def from_blocks(b: Column) -> Column:
+        blocks, some = b["blocks"], b["spans"]
+
+        def cut(start: Column, end: Column) -> Column:
+            first = F.floor(start / PIECE).cast("int")
+            held = F.slice(blocks, first + 1, F.floor(end / PIECE).cast("int") - first + 1)
+            return F.substring(F.array_join(held, ""), start - first * PIECE + 1, end - start)
+
+        def pieces(upto: Column) -> Column:
+            behind = F.zip_with(some, F.concat(F.array(F.lit(0)), F.slice(upto, 1, F.size(upto) - 1)), lambda s, at: F.struct(s.alias("span"), at.alias("at")))
+            apart = F.filter(behind, lambda x: x["span"]["start"] >= x["at"])
+            changed = F.transform(apart, lambda x: F.concat(cut(x["at"], x["span"]["start"]), put(x["span"])))
+            return F.concat(F.array_join(changed, ""), cut(upto[F.size(upto) - 1], F.length(text)))
 
-    def step(state: Column, s: Column) -> Column:
-        apart = s["start"] >= state["at"]
-        gap = text.substr(state["at"] + 1, F.greatest(s["start"] - state["at"], F.lit(0)))
-        out = F.when(apart, F.concat(state["out"], gap, put(s))).otherwise(state["out"])
-        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), out.alias("out"))
+        return let(running(F.transform(some, lambda s: s["end"]), lambda a, b: F.greatest(a, b)), pieces)
 
-    return F.aggregate(F.array_sort(spans), begin, step, lambda s: F.concat(s["out"], text.substr(s["at"] + 1, F.length(text))))
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+    return F.when(F.size(spans) > 0, let(F.struct(blocks.alias("blocks"), F.array_sort(spans).alias("spans")), from_blocks)).otherwise(text)
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -118,7 +160,7 @@ def scan(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.select("doc_id", "text", *[base_spans(F.col("text"), k).alias(k) for k in KINDS])
     found = F.concat(*[_mentions(k) for k in KINDS])
-    outside = F.when(F.size("found") > 0, _replaced(F.col("text"), F.col("found"), lambda s: F.lit(" "))).otherwise(F.col("text"))
+    outside = _replaced(F.col("text"), F.col("found"), lambda s: F.lit(" "))
     spans = [F.transform(k, lambda m: F.struct(m["start"], m["end"])).cast(SPANS).alias(k) for k in KINDS]
     rows = rows.withColumn("found", found).select("doc_id", F.monotonically_increasing_id().alias("row"), _key(F.col("text")).alias("key"), *spans, F.array_distinct("found.entity").alias("entities"), _terms(outside).alias("terms"))
     return materialise(rows, "spans")
@@ -219,7 +261,7 @@ def sanitise(docs: DataFrame) -> DataFrame:
     Null texts stay null, texts without findings stay as they are, and no row is dropped.
     """
     _, patterns = _analyse(docs)
-    whole = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    whole = docs.select("doc_id", "text", F.struct(*same_columns(docs)).alias("row"))
     rows = _with_patterns(whole, patterns, "left")
 
     def placed(kind: str, spans: Column) -> Column:
