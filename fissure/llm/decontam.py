@@ -11,20 +11,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fissure.llm.shared import materialise, shared_value, table
+from fissure.llm.shared import materialise, released, same_columns, shared_value, small_batches, table
 from fissure.llm.words import ALNUM, ngrams, word_hashes
 
-#: Words in a seed; chance occurrences in the whole corpus below which a seed is rare.
-SEED, CHANCE = 4, 0.01
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Share of the best possible score of an item from which a passage counts as a copy of it.
 SCORE = 0.6
+#: Words in a seed. A copy with a share f of its words lost or replaced scores 1 - 1.5 f, so one that counts has lost at most 4 in
+#: 15 and somewhere keeps three words in a row.
+SEED = 3
+#: Chance occurrences in the whole corpus below which a seed is rare; seeds in a row of which the rarest is taken in any case.
+CHANCE, STRETCH = 0.01, 8
 #: Words searched on either side of where a seed puts an item, as a share of the item's length.
 SLACK = 0.5
 #: Bytes of benchmark text that are broadcast at once; a larger benchmark is taken in blocks.
 BLOCK_BYTES = 16_000_000
-#: Alignments that a task remembers, for passages that many documents share word for word.
-MEMO = 50_000
+#: Bytes of passages whose alignments a task remembers, as many documents may share them word for word.
+MEMO_BYTES = 8_000_000
 
 
 @dataclass
@@ -40,8 +43,9 @@ class Items:
 
 @dataclass
 class Seeds:
-    """Seed hashes sorted; for each, the item's index and the seed's place in it."""
+    """Seed hashes of one number of words, sorted; for each, the item's index and the seed's place in it."""
 
+    length: int
     hashes: np.ndarray
     item: np.ndarray
     place: np.ndarray
@@ -64,29 +68,34 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
-def make_seeds(items: Items, counts: dict[int, int], total: int, n: int = SEED) -> Seeds:
-    """n-grams of items that the corpus's word counts make rare; all of an item's where none is rare.
+def make_seeds(items: Items, counts: dict[int, int], total: int) -> list[Seeds]:
+    """n-grams of items that the corpus's word counts make rare, and the rarest of every STRETCH; shorter items are one seed each.
 
     Rarity goes by the words' frequencies, not by the n-gram's own: a passage that
     thousands of documents copied is still found by its seeds.
     """
+    return [s for n in range(1, SEED + 1) if len((s := _seeds_of(items, counts, total, n)).hashes)]
+
+
+def _seeds_of(items: Items, counts: dict[int, int], total: int, n: int) -> Seeds:
     vocabulary = items.vocabulary()
     bits = np.log2(max(total, 2)) - np.log2(np.array([max(counts.get(i, 0), 1) for i in range(len(vocabulary))], float))
     needed = np.log2(max(total, 2)) - np.log2(CHANCE)
     found = []
     for k, words in enumerate(items.words):
-        grams = ngrams(words, n)
-        if not len(grams):
+        if min(len(words), SEED) != n:
             continue
+        grams = ngrams(words, n)
         info = np.convolve(bits[np.searchsorted(vocabulary, words)], np.ones(n), "valid")
-        rare = np.flatnonzero(info >= needed)
-        places = rare if len(rare) else np.arange(len(grams))
+        taken = info >= needed
+        taken[[at + int(info[at : at + STRETCH].argmax()) for at in range(0, len(info), STRETCH)]] = True
+        places = np.flatnonzero(taken)
         found.append((grams[places], np.full(len(places), k), places))
     if not found:
-        return Seeds(*(np.empty(0, t) for t in (np.uint64, np.int64, np.int64)))
+        return Seeds(n, *(np.empty(0, t) for t in (np.uint64, np.int64, np.int64)))
     hashes, item, place = (np.concatenate(x) for x in zip(*found, strict=True))
     order = np.argsort(hashes, kind="stable")
-    return Seeds(hashes[order], item[order], place[order])
+    return Seeds(n, hashes[order], item[order], place[order])
 
 
 def _windows(hits: list[tuple[int, int]], length: int, words: int) -> list[tuple[int, int]]:
@@ -102,30 +111,48 @@ def _windows(hits: list[tuple[int, int]], length: int, words: int) -> list[tuple
     return out
 
 
-def _scan(words: np.ndarray, items: Items, seeds: Seeds, memo: dict) -> list[tuple[int, float, int, int]]:
-    """(item index, score, first word, words) for each item that a document holds a copy of."""
-    grams = ngrams(words, SEED)
-    first = np.searchsorted(seeds.hashes, grams)
-    at = np.flatnonzero(seeds.hashes[np.minimum(first, len(seeds.hashes) - 1)] == grams)
+class Memo:
+    """Alignments of an item with a passage, forgotten once the passages take more than MEMO_BYTES."""
+
+    def __init__(self) -> None:
+        self.held: dict[tuple[int, bytes], tuple[int, int, int]] = {}
+        self.size = 0
+
+    def of(self, items: Items, k: int, passage: np.ndarray) -> tuple[int, int, int]:
+        """Score, where the alignment ends in the passage, and how many of its words it covers."""
+        key = (k, passage.tobytes())
+        if key not in self.held:
+            item = items.words[k]
+            score, end = align(item, passage)
+            length = align(item[::-1], passage[:end][::-1])[1] if score >= SCORE * MATCH * len(item) else 0
+            self.size += len(key[1]) + 300
+            if self.size > MEMO_BYTES:
+                self.held, self.size = {}, len(key[1])
+            self.held[key] = (score, end, length)
+        return self.held[key]
+
+
+def _hits(words: np.ndarray, seeds: list[Seeds]) -> dict[int, list[tuple[int, int]]]:
+    """(document place, item place) of the seeds that a document holds, by item."""
     by_item: dict[int, list[tuple[int, int]]] = defaultdict(list)
-    for d in at.tolist():
-        i = int(first[d])
-        while i < len(seeds.hashes) and seeds.hashes[i] == grams[d]:
-            by_item[int(seeds.item[i])].append((d, int(seeds.place[i])))
-            i += 1
+    for some in seeds:
+        grams = ngrams(words, some.length)
+        first = np.searchsorted(some.hashes, grams)
+        for d in np.flatnonzero(some.hashes[np.minimum(first, len(some.hashes) - 1)] == grams).tolist():
+            i = int(first[d])
+            while i < len(some.hashes) and some.hashes[i] == grams[d]:
+                by_item[int(some.item[i])].append((d, int(some.place[i])))
+                i += 1
+    return by_item
+
+
+def _scan(words: np.ndarray, items: Items, seeds: list[Seeds], memo: Memo) -> list[tuple[int, float, int, int]]:
+    """(item index, score, first word, words) for each item that a document holds a copy of."""
     out = []
-    for k, hits in by_item.items():
+    for k, hits in _hits(words, seeds).items():
         item, best = items.words[k], (0, 0, 0)
         for a, b in _windows(hits, len(item), len(words)):
-            passage = words[a:b]
-            key = (k, passage.tobytes())
-            if key not in memo:
-                if len(memo) >= MEMO:
-                    memo.clear()
-                score, end = align(item, passage)
-                back, length = align(item[::-1], passage[:end][::-1]) if score >= SCORE * MATCH * len(item) else (0, 0)
-                memo[key] = (score, end, length)
-            score, end, length = memo[key]
+            score, end, length = memo.of(items, k, words[a:b])
             best = max(best, (score, -(a + end - length), length))
         if best[0] >= SCORE * MATCH * len(item):
             out.append((k, best[0] / (MATCH * len(item)), -best[1], best[2]))
@@ -133,7 +160,7 @@ def _scan(words: np.ndarray, items: Items, seeds: Seeds, memo: dict) -> list[tup
 
 
 def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
 
 
 def _word_counts(docs: DataFrame, vocabulary: np.ndarray) -> tuple[dict[int, int], int]:
@@ -152,7 +179,7 @@ def _word_counts(docs: DataFrame, vocabulary: np.ndarray) -> tuple[dict[int, int
         some = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array([-1, *some.tolist()], pa.int64()), pa.array([total, *sums[some].tolist()], pa.int64())], ["word", "n"])
 
-    rows = _texts(docs).select("text").mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    rows = _texts(docs).select("text").mapInArrow(released(count), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
     # At most one row for each benchmark word of the block.
     counts = {r["word"]: r["n"] for r in rows.collect()}
     return counts, counts.pop(-1, 0)
@@ -177,20 +204,23 @@ def find_copies(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     where the best alignment lies. The benchmark is a query set: it is broadcast in blocks of bounded size, and each block scans all documents,
     so no pair of rows is shuffled, however many documents share a passage.
 
-    Null or empty texts and items of fewer than SEED words match nothing; null item_ids are left out; a null doc_id
+    An item of fewer than SEED words is found where all of them stand in a row. A copy with so many words put between the
+    item's own that no three of them stay together is not found, though it may score enough.
+
+    Null texts and texts or items without words match nothing; null item_ids are left out; a null doc_id
     is reported as null; repeated rows are reported each; one row for an item_id that repeats, its best; empty tables give no
     rows; other columns are ignored.
     """
     spark, out = docs.sparkSession, None
     schema = "doc_id long, item_id long, score double, first_word long, n_words long"
     for items in _blocks(benchmark):
-        if not any(len(w) >= SEED for w in items.words):
+        if not any(len(w) for w in items.words):
             continue
         seeds = make_seeds(items, *_word_counts(docs, items.vocabulary()))
         shared = shared_value(spark, (items, seeds))
 
         def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            (items, seeds), memo = shared(), {}
+            (items, seeds), memo = shared(), Memo()
             for batch in batches:
                 rows = []
                 for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -203,7 +233,7 @@ def find_copies(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["doc_id", "item_id", "score", "first_word", "n_words"])
 
-        found = _texts(docs).mapInArrow(scan, schema)
+        found = _texts(docs).mapInArrow(released(scan), schema)
         out = found if out is None else out.unionByName(found)
     return spark.createDataFrame([], schema) if out is None else out
 
@@ -212,7 +242,7 @@ def without_copies(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that hold no copy of a benchmark item; null doc_ids stay."""
     copies = materialise(find_copies(docs, benchmark).select("doc_id").distinct(), "copies")
     few = copies.count() <= 1_000_000
-    return docs.join(F.broadcast(copies) if few else copies, "doc_id", "left_anti").select(docs.columns)
+    return docs.join(F.broadcast(copies) if few else copies, "doc_id", "left_anti").select(same_columns(docs))
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
