@@ -314,7 +314,11 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
 
 
 def accepted(docs: DataFrame, model: Model | None) -> DataFrame:
-    """The documents that are not rejected, with their own columns; each row is judged by its text alone."""
+    """The documents that are not rejected, with their own columns; each row is judged by its text alone.
+
+    Null and empty texts and those without a letter are rejected, as are all where there is no model; null and repeated ids stay
+    as they are; an empty table gives no rows.
+    """
     shared = shared_value(docs.sparkSession, model)
 
     @F.arrow_udf("boolean")

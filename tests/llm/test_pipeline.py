@@ -37,3 +37,23 @@ def test_stages_keep_clean_documents_and_columns(spark):
 def test_run_goes_through_all_stages(spark):
     out = corpus_pipeline.run(spark, SF)
     assert "sequence_id" in out.columns and 0 < out.select("doc_id").distinct().count() < table(spark, SF, "documents").count()
+
+
+def test_stages_on_awkward_documents(spark):
+    """Nulls in every column, empty texts, repeated rows and ids, extra columns with points and clashing names; and no rows."""
+    clean = table(spark, SF, "documents").orderBy("doc_id").limit(60)
+    text = max((r["text"] for r in clean.collect()), key=len)
+    odd = spark.createDataFrame(
+        [(None, None, None, None, None), (1, None, "en", "s", 0), (2, "", None, None, 0), (-5, text, None, None, 39), (-5, text, None, None, 39), (None, text, "en", None, None)],
+        "doc_id long, text string, lang string, source string, n_chars long",
+    )
+    extra = clean.select(odd.columns).unionByName(odd).selectExpr("*", "'x' as `a.b`", "1 as rep", "2 as p_text_key")
+    for docs in (extra, extra.filter("false")):
+        columns, texts = docs.columns, {r["text"] for r in docs.collect()}
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            docs = materialise(stage(spark, docs, SF), "stage")
+            assert docs.columns == columns
+        kept = docs.collect()
+        assert len(kept) == 0 or (sum(r["doc_id"] == -5 for r in kept) == 1 and not {None, ""} & {r["text"] for r in kept})
+        assert bool(kept) == bool(texts)
+        assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).filter("start = 0").count() == len(kept)
