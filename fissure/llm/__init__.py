@@ -1 +1 @@
-"""Training-data preparation: ten operators over documents, pages and embeddings."""
+"""Training-data preparation: thirteen operators over documents, pages, embeddings and conversations."""

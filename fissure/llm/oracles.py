@@ -78,4 +78,70 @@ SELECT doc_id, {", ".join(f"count(span) FILTER (k = {k}) AS n_{kind}" for k, kin
   sha256(coalesce(string_agg(span, ',' ORDER BY k, s) FILTER (k < 5), '')) AS base_sha256, coalesce(string_agg(span, ',' ORDER BY k, s), '') AS spans
 FROM t LEFT JOIN spans USING (row) GROUP BY row, doc_id"""
 
-ORACLES: dict[str, str] = {"op4_pii": OP4, "op6_embedding_dedup": OP6, "op9_sharding": OP9, "op10_minhash": OP10}
+OP11 = """WITH r AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same, CAST(list_sum(list_transform(list_zip(a.v, b.v), lambda z: z[1] * z[2])) AS BIGINT) AS score
+  FROM r a JOIN r b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE a.vec_id % 100 = 0),
+p AS (SELECT anchor_id, other AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, other AS negative_id, positive_score, score AS negative_score FROM p JOIN s USING (anchor_id)
+WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other) QUALIFY row_number() OVER w <= 5"""
+
+_CRC = """crc(n, c) AS (SELECT n, list_reduce([n, 1, 1, 1, 1, 1, 1, 1, 1], lambda c, x: CASE WHEN c % 2 = 1 THEN xor(3988292384, c // 2) ELSE c // 2 END) FROM range(256) t(n)),
+lookup AS (SELECT list(c ORDER BY n) AS cell FROM crc)"""
+_KEY_BYTES = "list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '))), '..'), lambda x: CAST('0x' || x AS BIGINT)))"
+_SEEN = "'[^ \\t\\n\\x0B\\x0C\\r]'"
+
+
+def _put(letter: str, cost: str, of: str, line: str = "''") -> str:
+    """A derivation with an edit in front: cost, audit, repaired lines."""
+    return f"{{'c': {of}.c + {cost}, 'w': '{letter}' || {of}.w, 't': {line} || {of}.t}}"
+
+
+_NEW = "chr(10)"
+_STAY = "CASE WHEN cut THEN 1 ELSE 0 END + CASE WHEN gone THEN 100000000 ELSE 0 END"
+
+
+def _keep(initial: str, of: str) -> str:
+    return _put("K", f"{_STAY} + CASE WHEN starts_with(role, '{initial}') THEN 0 ELSE 100000000 END", of, f"{_NEW} || role || ':' || text")
+
+
+def _rerole(role: str, of: str) -> str:
+    return _put("R", f"2 + {_STAY}", of, f"{_NEW} || '{role}:' || text")
+
+
+def _least(*of: str) -> str:
+    return f"list_sort([{', '.join(of)}])[1]"
+
+
+#: The least derivations of a conversation's last rows by what they start with, row by row from its end; a turn put in follows at each place.
+OP12 = f"""WITH RECURSIVE {_CRC},
+d AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, xor(4294967295, list_reduce({_KEY_BYTES}, lambda c, x: xor(cell[CAST(xor(c, x) % 256 AS INTEGER) + 1], c // 256))) % 20 AS code FROM conversations, lookup),
+g AS (SELECT conv_id, turn, CASE code WHEN 4 THEN 'user' ELSE role END AS role, CASE code WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE code WHEN 3 THEN [1, 2] ELSE [1] END) AS copy FROM d WHERE code <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text), copy) AS pos, count(*) OVER (PARTITION BY conv_id) AS n FROM g),
+f AS (SELECT *, NOT regexp_matches(text, {_SEEN}) AS blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 AS again, right(rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) NOT IN ('.', '!', '?') AS unended,
+  left(lag(role) OVER (PARTITION BY conv_id ORDER BY pos), 1) || left(role, 1) AS pair FROM o),
+m AS (SELECT *, blank OR again AS gone, unended AND NOT blank AND NOT again AS cut FROM f),
+begin_ AS (SELECT {{'c': 0, 'w': '', 't': ''}} AS e, {{'c': 2, 'w': 'I', 't': {_NEW} || 'assistant:'}} AS a, {{'c': 4, 'w': 'II', 't': {_NEW} || 'user:' || {_NEW} || 'assistant:'}} AS u, {{'c': 100000000, 'w': '', 't': ''}} AS s),
+walk(conv_id, pos, e, a, u, s) AS (
+  SELECT conv_id, n + 1, e, a, u, s FROM (SELECT DISTINCT conv_id, n FROM m), begin_
+  UNION ALL
+  SELECT conv_id, pos, e, a1, {_least("u0", _put("I", "2", "a1", f"{_NEW} || 'user:'"))}, s FROM (
+    SELECT conv_id, pos, e, u0, s, {_least("a0", _put("I", "2", "e", f"{_NEW} || 'assistant:'"), _put("I", "2", "u0", f"{_NEW} || 'assistant:'"))} AS a1 FROM (
+      SELECT m.conv_id, m.pos, {_put("D", "3", "e")} AS e,
+        {_least(_put("D", "3", "a"), _keep("a", "e"), _keep("a", "u"), _rerole("assistant", "e"), _rerole("assistant", "u"))} AS a0,
+        {_least(_put("D", "3", "u"), _keep("u", "a"), _rerole("user", "a"))} AS u0, {_least(_put("D", "3", "s"), _keep("s", "u"))} AS s
+      FROM walk JOIN m ON m.conv_id IS NOT DISTINCT FROM walk.conv_id AND m.pos = walk.pos - 1))),
+best AS (SELECT conv_id, {_least("e", "u", "s")} AS b FROM walk WHERE pos = 1),
+sums AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (again AND NOT blank) AS duplicate, count(*) FILTER (cut) AS truncated,
+  count(*) FILTER (pos > 1 AND pair NOT IN ('su', 'ua', 'au')) AS illegal FROM m GROUP BY conv_id)
+SELECT ids.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  CAST(coalesce(b.c, 0) AS BIGINT) AS cost, coalesce(b.w, '') AS audit, sha256(coalesce(substr(b.t, 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) ids LEFT JOIN sums ON sums.conv_id IS NOT DISTINCT FROM ids.conv_id LEFT JOIN best ON best.conv_id IS NOT DISTINCT FROM ids.conv_id"""
+
+OP13 = """WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+q AS (SELECT page_id, CAST(octet_length(payload) AS BIGINT) AS payload_bytes, sha256(payload) AS payload_digest FROM p),
+f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS first_id FROM q)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN first_id = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN first_id <> page_id THEN first_id END AS refers_to FROM f"""
+
+ORACLES: dict[str, str] = {"op4_pii": OP4, "op6_embedding_dedup": OP6, "op9_sharding": OP9, "op10_minhash": OP10, "op11_hard_negatives": OP11, "op12_conversation_repair": OP12, "op13_warc": OP13}

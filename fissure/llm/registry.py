@@ -1,4 +1,4 @@
-"""The ten operators' queries by name, and SQL where SQL can express them."""
+"""The thirteen operators' queries by name, and SQL where SQL can express them."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fissure.llm import decontam, langid, licenses, packing, pii, shards, sketch, tokens, urls, vectors
+from fissure.llm import decontam, langid, licenses, negatives, packing, pii, repair, shards, sketch, tokens, urls, vectors, warc
 from fissure.llm.oracles import ORACLES  # noqa: F401
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -20,4 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": decontam.op8_decontamination,
     "op9_sharding": shards.op9_sharding,
     "op10_minhash": sketch.op10_minhash,
+    "op11_hard_negatives": negatives.op11_hard_negatives,
+    "op12_conversation_repair": repair.op12_conversation_repair,
+    "op13_warc": warc.op13_warc,
 }
