@@ -58,10 +58,10 @@ def variant_class(reach: int = 1_000_000) -> Column:
 
 
 def mates_agree(a: str, b: str) -> Column:
-    """Whether two mappings of one route can support the same breakpoint: sizes, spans and a common inner span."""
+    """Whether two mappings of one route can support the same breakpoint: sizes, spans and a common inner span (within_: both blocks on one chromosome)."""
     lengths = F.abs(col(a, "size_off") - col(b, "size_off")) <= F.greatest(col(a, "length_tol"), col(b, "length_tol"))
     spread = F.abs(col(b, "start1") - col(a, "start1")) + F.abs(col(b, "end2") - col(a, "end2"))
     spans = spread <= F.greatest(col(a, "span_tol"), col(b, "span_tol"))
-    both_within = (col(a, "chrom1") == col(a, "chrom2")) & (col(b, "chrom1") == col(b, "chrom2"))
+    both_within = col(a, "within_") & col(b, "within_")
     common = ~both_within | (F.least(col(a, "start2"), col(b, "start2")) - F.greatest(col(a, "end1"), col(b, "end1")) > 0)
     return lengths & spans & common

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fissure.functions.geometry import length_tolerance, mates_agree, size_off_expected, span_tolerance
@@ -11,6 +11,8 @@ from fissure.sources.shared import materialise
 
 #: Fixed value: bases between one mapping's first block and the next one's beyond which a run ends.
 GAP = 2000
+#: Places in an island beyond which they meet in bins.
+CROWDED = 64
 ORDER = ["start1", "end1", "start2", "end2", "read_id", "row_id"]
 KEY = ["route", "island"]
 
@@ -45,11 +47,28 @@ def tolerances(islands: DataFrame, libraries: DataFrame) -> DataFrame:
     return out.withColumns({"size_off": size_off_expected(), "length_tol": length_tolerance(), "span_tol": span_tolerance()}).drop("exp_size", "variance", "num_devs")
 
 
-def pair_support(islands: DataFrame, agree: Column | None = None) -> DataFrame:
-    """Adds support: how many other mappings of the island agree with each. Counts stay where the join puts an island."""
-    slim = islands.select(*KEY, "row_id", "chrom1", "chrom2", "start1", "end1", "start2", "end2", "size_off", "length_tol", "span_tol")
-    a, b = slim.alias("a"), slim.alias("b")
-    same = (F.col("a.route") == F.col("b.route")) & (F.col("a.island") == F.col("b.island"))
-    pairs = a.join(b, same & (F.col("a.row_id") != F.col("b.row_id")) & (agree if agree is not None else mates_agree("a", "b")))
-    counts = pairs.groupBy("a.route", "a.island", "a.row_id").agg(F.count(F.lit(1)).alias("support"))
-    return islands.join(counts, [*KEY, "row_id"], "left").withColumn("support", F.coalesce("support", F.lit(0)))
+def pair_support(islands: DataFrame, crowded: int = CROWDED) -> DataFrame:
+    """Adds support: how many other mappings of the island agree with each.
+
+    Equal places are counted first, once for all their mappings. In an island of more than `crowded` places they meet in bins of size
+    and position as wide as the largest tolerances, so that none meets one far off; in smaller islands all meet.
+    """
+    shape = ["within_", "start1", "end1", "start2", "end2", "size_off", "length_tol", "span_tol"]
+    marked = islands.withColumn("within_", F.col("chrom1") == F.col("chrom2"))
+    places = marked.groupBy(*KEY, *shape).agg(F.count(F.lit(1)).alias("n"))
+    sizes = places.groupBy(*KEY).agg(F.count(F.lit(1)).alias("places"), F.max("length_tol").alias("wide_size"), F.max("span_tol").alias("wide_span"))
+    crowds = sizes.filter(F.col("places") > crowded).select(*KEY, F.greatest("wide_size", F.lit(1)).alias("wide_size"), F.greatest("wide_span", F.lit(1)).alias("wide_span"))
+    places = materialise(places.join(crowds, KEY, "left"), "places")
+    in_crowd = F.col("wide_size").isNotNull()
+    size_bin, span_bin = F.floor(F.col("size_off") / F.col("wide_size")), F.floor(F.col("start1") / F.col("wide_span"))
+    none = F.lit(0).cast("long")
+    a = places.withColumns({"size_bin": F.when(in_crowd, size_bin).otherwise(none), "span_bin": F.when(in_crowd, span_bin).otherwise(none)})
+    near = lambda of: F.explode(F.when(in_crowd, F.sequence(of - 1, of + 1)).otherwise(F.array(none)))
+    b = places.withColumn("size_bin", near(size_bin)).withColumn("span_bin", near(span_bin)).select(*KEY, "size_bin", "span_bin", *shape, "n")
+    a, b = a.alias("a"), b.alias("b")
+    met = a.join(b, [F.col(f"a.{c}") == F.col(f"b.{c}") for c in (*KEY, "size_bin", "span_bin")]).filter(mates_agree("a", "b"))
+    found = met.groupBy(*[F.col(f"a.{c}") for c in (*KEY, *shape)]).agg(F.sum("b.n").alias("agreeing"))
+    same = [F.col(f"m.{c}").eqNullSafe(F.col(f"f.{c}")) if c == "within_" else F.col(f"m.{c}") == F.col(f"f.{c}") for c in (*KEY, *shape)]
+    # A place that agrees at all agrees with itself, and so do its mappings with each other; none supports itself.
+    out = marked.alias("m").join(found.alias("f"), same, "left").select("m.*", (F.coalesce("f.agreeing", F.lit(1)) - 1).alias("support"))
+    return out.drop("within_")
