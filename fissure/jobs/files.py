@@ -1,4 +1,4 @@
-"""From files to files: configs from alignments, and calls from alignments or paired intervals."""
+"""From files to files: configs, calls from alignments, paired intervals or assembled rows, merged calls, duplicates, pairs, tracks."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fissure.jobs import pipeline
-from fissure.operators import finalize, libstats
+from fissure.operators import breakpoints, dedup, finalize, libstats, merge, pairing
 from fissure.sources import schemas, text
 from fissure.sources.shared import materialise
 
@@ -31,17 +31,54 @@ def extract(spark: SparkSession, config_path: str, out: str, min_mapq: int = 0,
     return pairs
 
 
-def write_calls(spark: SparkSession, mappings: DataFrame, config_path: str, out: str, punt: int = pipeline.PUNT) -> None:
-    """Writes out.all, .final, .detail, .freq and .punted: every cluster, the calls, their mappings, counts by sample, what was set aside."""
-    libraries, samples = text.read_libraries(spark, config_path), text.read_samples(spark, config_path)
-    found = pipeline.breakpoint_calls(mappings, libraries, libraries.count(), punt)
-    finals = materialise(found.finals, "finals")
-    details = materialise(finalize.detail(found.chosen, finals), "details")
-    text.write_tsv(finalize.calls(found.chosen).filter("all_weighted_support > 0").select(schemas.FINAL), out + ".all")
+def write_chosen(chosen: DataFrame, config_path: str, out: str) -> None:
+    """Writes out.all, .final, .detail and .freq from mappings in clusters with their choice: every cluster, the calls, their mappings, counts by sample."""
+    samples = text.read_samples(chosen.sparkSession, config_path)
+    finals = materialise(finalize.final_calls(chosen), "finals")
+    details = materialise(finalize.detail(chosen, finals), "details")
+    text.write_tsv(finalize.calls(chosen).filter("all_weighted_support > 0").select(schemas.FINAL), out + ".all")
     text.write_tsv(finals.select(schemas.FINAL), out + ".final")
     text.write_tsv(details.select(schemas.DETAIL), out + ".detail")
     text.write_frequencies(finalize.frequency_table(finals, details, samples), out + ".freq")
+
+
+def write_calls(spark: SparkSession, mappings: DataFrame, config_path: str, out: str, punt: int = pipeline.PUNT) -> None:
+    """Writes the files of write_chosen, and out.assembled and out.punted: all mappings in clusters, and what was set aside."""
+    libraries = text.read_libraries(spark, config_path)
+    found = pipeline.breakpoint_calls(mappings, libraries, libraries.count(), punt)
+    text.write_assembled(found.chosen, out + ".assembled")
     text.write_tsv(found.punted.select(*BEDPE, "mapping_type", "route", "island"), out + ".punted")
+    write_chosen(found.chosen, config_path, out)
+
+
+def finalise(spark: SparkSession, assembled: str | list[str], config_path: str, out: str) -> None:
+    """The files of write_chosen from assembled rows."""
+    write_chosen(finalize.choose_clusters(text.read_assembled(spark, assembled)), config_path, out)
+
+
+def merge_files(spark: SparkSession, final: str, detail: str, out: str, slop: int = 100) -> None:
+    """Writes out.final, out.mergemap and out.detail: calls that show the same breakpoint as one, which calls those were, and their mappings under the new ids."""
+    merged = materialise(merge.merge_calls(text.read_finals(spark, final), slop), "merged")
+    text.write_tsv(merge.merged_finals(merged), out + ".final")
+    text.write_tsv(merge.merge_map(merged), out + ".mergemap")
+    text.write_tsv(merge.remap_detail(text.read_details(spark, detail), merged).select(schemas.DETAIL), out + ".detail")
+
+
+def dedup_file(spark: SparkSession, mappings: str, out: str, slop: int = 1, most_mappings: int = 1, either: bool = False) -> None:
+    """Writes paired intervals without duplicates, in the order of read names."""
+    kept = dedup.drop_duplicates(text.read_bedpe(spark, mappings), slop, most_mappings, either)
+    text.write_tsv(kept.orderBy("read_id", "row_id").select(BEDPE), out)
+
+
+def pair_file(spark: SparkSession, ends: str, out: str, mode: str = "discordant", limits: pairing.Limits = pairing.Limits(), order: str = "size", edit_slop: int | None = None) -> None:
+    """Writes pairs of single-end mappings in the layout of a mode."""
+    text.write_tsv(pairing.pairs_by_mode(text.read_ends(spark, ends), mode, limits, order, edit_slop), out)
+
+
+def write_track(spark: SparkSession, calls: str, out: str, name: str, far: int = 1_000_000) -> None:
+    """A browser track of calls (ten columns or more): rows by position under one header, over the parts of out in the order of their names."""
+    lines = breakpoints.track_lines(breakpoints.bed12(text.read_calls(spark, calls), far))
+    text.write_ordered(lines, out, f"track name={name} itemRgb=On", ["chrom", "start", "end", "name", "strand"])
 
 
 def call_alignments(spark: SparkSession, config_path: str, out: str, punt: int = pipeline.PUNT) -> None:

@@ -182,7 +182,7 @@ both_ends AS (SELECT a.read_id, m1, m2, a.chrom AS c1, a.s AS s1, a.e AS e1, a.e
 sized AS (SELECT *, CASE WHEN c1 = c2 AND gap + e1 - s1 + e2 - s2 <= 1000000 THEN gap + e1 - s1 + e2 - s2 END AS frag_size,
    c1 = c2 AND ((x1 = '+' AND x2 = '-' AND e2 - s1 >= 200 AND e2 - s1 < 500) OR (x1 = '-' AND x2 = '+' AND e1 - s2 >= 200 AND e1 - s2 < 500) OR gap <= 0) AS spoils FROM both_ends),
 best AS (SELECT *, bool_or(spoils) OVER (PARTITION BY read_id) AS spoilt, min(edits) OVER (PARTITION BY read_id) AS least_edits FROM sized),
-kept AS (SELECT *, c1 = c2 AND s2 < s1 AND frag_size IS NOT NULL AS flip FROM best WHERE NOT spoilt AND edits <= least_edits + 1
+kept AS (SELECT *, c1 > c2 OR (c1 = c2 AND s1 > s2) AS flip FROM best WHERE NOT spoilt AND edits <= least_edits + 1
    QUALIFY row_number() OVER (PARTITION BY read_id ORDER BY edits, frag_size NULLS LAST, c1, s1, e1, x1, c2, s2, e2, x2, d1) <= 1000)"""
 )
 TAGGED = (
@@ -195,7 +195,7 @@ both_ends AS (SELECT a.read_id, m1, m2, a.chrom AS c1, a.s AS s1, a.e AS e1, a.e
 sized AS (SELECT *, CASE WHEN c1 = c2 AND gap + e1 - s1 + e2 - s2 <= 1000000 THEN gap + e1 - s1 + e2 - s2 END AS frag_size,
    CASE WHEN c1 = c2 AND ((x1 = '+' AND x2 = '-' AND e2 - s1 >= 200 AND e2 - s1 < 500) OR (x1 = '-' AND x2 = '+' AND e1 - s2 >= 200 AND e1 - s2 < 500)) THEN 'concordant' WHEN c1 = c2 AND gap <= 0 THEN 'badSpan' ELSE 'discordant' END AS tag FROM both_ends),
 best AS (SELECT *, bool_or(tag <> 'discordant') OVER (PARTITION BY read_id) AS spoilt, min(edits) OVER (PARTITION BY read_id) AS least_edits FROM sized),
-kept AS (SELECT *, c1 = c2 AND s2 < s1 AND frag_size IS NOT NULL AS flip FROM (SELECT * FROM best WHERE NOT spoilt AND edits <= least_edits + 1
+kept AS (SELECT *, c1 > c2 OR (c1 = c2 AND (s1 > s2 OR (s1 = s2 AND tag <> 'discordant'))) AS flip FROM (SELECT * FROM best WHERE NOT spoilt AND edits <= least_edits + 1
    QUALIFY row_number() OVER (PARTITION BY read_id ORDER BY edits, p1 + p2, c1, s1, e1, x1, c2, s2, e2, x2, d1) <= 3
    UNION ALL SELECT * FROM best WHERE spoilt AND tag <> 'discordant' QUALIFY row_number() OVER (PARTITION BY read_id ORDER BY p1, p2) = 1))"""
 )
@@ -238,7 +238,7 @@ ORACLES: dict[str, str] = {
     "islands_gap": M + I + _SIZES,
     "islands_inner": M + INNER + _SIZES,
     "punted_islands": M + I + " SELECT row_id, route, CAST(island AS BIGINT) AS island, island_size FROM s WHERE island_size > 12",
-    "punted_calls": M + I + " SELECT row_id, route, CAST(island AS BIGINT) AS island, island_size FROM s WHERE island_size > 150",
+    "punted_calls": M + I + " SELECT row_id, route, CAST(island AS BIGINT) AS island, island_size FROM s WHERE island_size > 9",
     "pair_support": M + I + """, x AS (SELECT s.*, abs(start2 - end1 + 1 - CAST(exp_size AS INTEGER)) AS size_off, 2 * CAST(num_devs * variance AS INTEGER) AS lt, 2 * CAST(exp_size + num_devs * variance AS INTEGER) AS st FROM s JOIN libraries USING (file_num) WHERE island_size BETWEEN 2 AND 150)
  SELECT a.row_id, count(b.row_id) AS support FROM x a LEFT JOIN x b ON a.route = b.route AND a.island = b.island AND a.row_id <> b.row_id AND abs(a.size_off - b.size_off) <= greatest(a.lt, b.lt)
   AND abs(b.start1 - a.start1) + abs(b.end2 - a.end2) <= greatest(a.st, b.st) AND (a.chrom1 <> a.chrom2 OR b.chrom1 <> b.chrom2 OR least(a.start2, b.start2) - greatest(a.end1, b.end1) > 0) GROUP BY a.row_id""",
@@ -258,10 +258,10 @@ ORACLES: dict[str, str] = {
     "size_sample": FACING.replace("SELECT file_num, tlen FROM aln", "SELECT file_num, qname, pos, tlen FROM aln") + " SELECT file_num, qname, tlen FROM p QUALIFY row_number() OVER (PARTITION BY file_num ORDER BY md5(qname), qname, pos, tlen) <= 1000",
     "lib_median_mad": FACING + " SELECT file_num, any_value(median_size) AS median_size, median(abs(tlen - median_size)) AS mad, count(*) AS pairs FROM p JOIN md USING (file_num) GROUP BY file_num",
     "discordant_filter": DISC + " SELECT qname, is_read1, tlen FROM d",
-    "mate_pairing": DISC + """, y AS (SELECT *, row_number() OVER (PARTITION BY file_num, qname ORDER BY tid, pos, aend, CASE WHEN is_read1 THEN 1 ELSE 2 END) AS k, count(*) OVER (PARTITION BY file_num, qname) AS n FROM d WHERE mapq >= 5)
- SELECT a.rname AS chrom1, a.pos AS start1, a.aend AS end1, b.rname AS chrom2, b.pos AS start2, b.aend AS end2, a.sample || '.' || a.qname AS read_id, CASE WHEN a.is_read1 THEN 1 ELSE 2 END AS which_mate_is_block1,
-  CASE WHEN a.is_reverse THEN '-' ELSE '+' END AS strand1, CASE WHEN b.is_reverse THEN '-' ELSE '+' END AS strand2, a.nm AS edit1, b.nm AS edit2, 1 AS mappings1, 1 AS mappings2, a.mapq AS mapq1, b.mapq AS mapq2, a.file_num
- FROM y a JOIN y b USING (file_num, qname) WHERE a.k = 1 AND b.k = 2 AND a.n = 2 AND a.is_read1 <> b.is_read1""",
+    "mate_pairing": DISC + """, g AS (SELECT file_num, qname, any_value(sample) AS sample, min(z) AS x, max(z) AS y, count(*) AS n, count(*) FILTER (is_read1) AS ones FROM (
+  SELECT file_num, qname, sample, is_read1, {'a_tid': tid, 'b_pos': pos, 'c_end': aend, 'd_mate': CASE WHEN is_read1 THEN 1 ELSE 2 END, 'chrom': rname, 'strand': CASE WHEN is_reverse THEN '-' ELSE '+' END, 'edit': nm, 'mapq': mapq} AS z FROM d WHERE mapq >= 5) GROUP BY file_num, qname)
+ SELECT x.chrom AS chrom1, x.b_pos AS start1, x.c_end AS end1, y.chrom AS chrom2, y.b_pos AS start2, y.c_end AS end2, sample || '.' || qname AS read_id, x.d_mate AS which_mate_is_block1,
+  x.strand AS strand1, y.strand AS strand2, x.edit AS edit1, y.edit AS edit2, 1 AS mappings1, 1 AS mappings2, x.mapq AS mapq1, y.mapq AS mapq2, file_num FROM g WHERE n = 2 AND ones = 1""",
     "footprint_overlap_join": M + V + " SELECT id_a, id_b FROM v",
     "notboth_anti": M + V + " SELECT contig_id FROM finals WHERE contig_id NOT IN (SELECT id_a FROM v UNION SELECT id_b FROM v)",
     "merge_runs": M + RUNS + " SELECT contig_id, CAST(run AS BIGINT) AS run, agrees FROM runs",
@@ -273,8 +273,12 @@ ORACLES: dict[str, str] = {
     "merged_detail": M + MERGED + ", ids AS (SELECT unnest(members) AS cluster_id, master_id FROM merged) SELECT row_id, master_id AS contig_id, CASE WHEN included THEN 'Y' ELSE 'N' END AS included FROM h JOIN ids USING (cluster_id)",
     "dedup_reads": _dedup(40, False),
     "dedup_either": _dedup(1, True),
+    "assembled_rows": M + K + """ SELECT chrom1, CAST(start1 AS INTEGER) AS start1, CAST(end1 AS INTEGER) AS end1, chrom2, CAST(start2 AS INTEGER) AS start2, CAST(end2 AS INTEGER) AS end2, read_id, which_mate AS which_mate_is_block1, strand1, strand2, edit1, edit2,
+  CAST(n1 AS INTEGER) AS mappings1, CAST(n2 AS INTEGER) AS mappings2, mapq AS mapq1, mapq AS mapq2, mapping_type, CAST(abs(start2 - end1 + 1 - CAST(exp_size AS INTEGER)) AS INTEGER) AS size_off, 1 AS support, cluster_id, 1 AS used, 1 AS include, file_num FROM k JOIN libraries USING (file_num)""",
+    "binary_alignments": M + ALN + " SELECT file_num, qname, CAST(tid AS INTEGER) AS tid, rname, CAST(pos AS INTEGER) AS pos, CAST(aend AS INTEGER) AS aend, CAST(rnext AS INTEGER) AS rnext, CAST(pnext AS INTEGER) AS pnext, CAST(tlen AS INTEGER) AS tlen, mapq, TRUE AS is_paired, unmapped AS is_unmapped, unmapped AS mate_is_unmapped, is_reverse, mate_is_reverse, is_duplicate, is_read1, CASE WHEN nm > 0 THEN nm END AS nm FROM aln",
     "dup_runs": DUP + " SELECT row_id, duplicate, CAST(sum(CASE WHEN duplicate THEN 0 ELSE 1 END) OVER (PARTITION BY chrom1, chrom2, strand1, strand2 ORDER BY p1, p2, read_id, row_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS run FROM l",
-    "pair_combinations": PAIRS + " SELECT " + ", ".join(f"{_flip(a, i)} AS {b}{i}" for i in (1, 2) for a, b in (("c", "chrom"), ("s", "start"), ("e", "end"), ("x", "strand"), ("d", "edit"))) + ", read_id, CASE WHEN flip THEN 2 ELSE 1 END AS which_mate_is_block1, m1 AS mappings1, m2 AS mappings2, frag_size FROM kept",
-    "tagged_pairs": TAGGED + " SELECT " + ", ".join(f"{_flip(a, i)} AS {b}{i}" for i in (1, 2) for a, b in (("c", "chrom"), ("s", "start"), ("e", "end"), ("x", "strand"), ("d", "edit"))) + ", read_id, CASE WHEN flip THEN 2 ELSE 1 END AS which_mate_is_block1, m1 AS mappings1, m2 AS mappings2, frag_size, edits AS total_edits, p1 + p2 AS place, tag FROM kept UNION ALL SELECT "
+    "pair_combinations": PAIRS + " SELECT " + ", ".join(f"{_flip(a, i)} AS {b}{i}" for i in (1, 2) for a, b in (("c", "chrom"), ("s", "start"), ("e", "end"), ("x", "strand"), ("d", "edit"))) + ", read_id, CASE WHEN flip THEN 2 ELSE 1 END AS which_mate_is_block1, CASE WHEN flip THEN m2 ELSE m1 END AS mappings1, CASE WHEN flip THEN m1 ELSE m2 END AS mappings2, frag_size FROM kept",
+    "tagged_pairs": TAGGED + " SELECT " + ", ".join(f"{_flip(a, i)} AS {b}{i}" for i in (1, 2) for a, b in (("c", "chrom"), ("s", "start"), ("e", "end"), ("x", "strand"), ("d", "edit"))) + ", read_id, CASE WHEN flip THEN 2 ELSE 1 END AS which_mate_is_block1, CASE WHEN flip THEN m2 ELSE m1 END AS mappings1, CASE WHEN flip THEN m1 ELSE m2 END AS mappings2, frag_size, edits AS total_edits, p1 + p2 AS place, tag FROM kept UNION ALL SELECT "
     + ", ".join("NULL" for _ in range(10)) + ", read_id, NULL, NULL, NULL, NULL, NULL, NULL, why FROM cnt WHERE why IS NOT NULL",
 }
+ORACLES["track_lines"] = "SELECT chrom, \"start\", concat_ws('\t', chrom, \"start\", \"end\", name, score, strand, thick_start, thick_end, rgb, block_count, block_sizes, block_starts) AS line FROM (" + ORACLES["bed12_rows"] + ")"

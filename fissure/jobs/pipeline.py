@@ -22,9 +22,14 @@ class Found(NamedTuple):
     punted: DataFrame
 
 
+def in_islands(mappings: DataFrame, most: int, usage: str | int = "best", rule: str = "gap") -> tuple[DataFrame, DataFrame]:
+    """Routed mappings in islands of 2 to most mappings, and those of larger islands; written."""
+    return islands.split_by_size(islands.with_islands(route.routed(mappings, usage), rule), most)
+
+
 def supported(mappings: DataFrame, libraries: DataFrame, most: int, usage: str | int = "best", rule: str = "gap") -> tuple[DataFrame, DataFrame]:
     """Routed mappings in islands of bounded size, with support, and those of larger islands; written, as several steps read them."""
-    inside, punted = islands.split_by_size(islands.with_islands(route.routed(mappings, usage), rule), most)
+    inside, punted = in_islands(mappings, most, usage, rule)
     return materialise(islands.pair_support(islands.tolerances(inside, libraries)), "supported"), punted
 
 

@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 from fissure.functions.geometry import inner_size, length_tolerance, size_off_expected, span_tolerance
 from fissure.jobs import pipeline
 from fissure.operators import assemble, breakpoints, dedup, finalize, islands, libstats, merge, pairing, route
-from fissure.sources import tables
+from fissure.sources import tables, text
 from fissure.sources.schemas import ROUTE
+from fissure.sources.shared import new_folder
 
 MOST = 12  # islands beyond this size are set aside in the punted_islands query
+LOW_PUNT = 3  # mappings for each library beyond which the punted_calls query sets an island aside
 SLOP = 25_000  # bases that footprints may lie apart: derived positions of a chromosome are 20000 apart
 SAMPLED = 1000  # facing pairs taken from each library
 SAMPLES = [row[1] for row in tables.LIBRARIES]
@@ -88,8 +90,8 @@ def _island_query(rule):
 
 
 def punted_calls(spark, sf_dir):
-    """What the flagship sets aside, at its own limit."""
-    _, punted = pipeline.supported(_mappings(spark, sf_dir), tables.libraries(spark), pipeline.PUNT * len(SAMPLES))
+    """What a job with a low limit for each library sets aside."""
+    _, punted = pipeline.in_islands(_mappings(spark, sf_dir), LOW_PUNT * len(SAMPLES))
     return punted.select("row_id", "route", "island", "island_size")
 
 
@@ -199,6 +201,27 @@ def merged_detail(spark, sf_dir):
     return merge.remap_detail(details, merge.merge_calls(finals, SLOP)).select("row_id", "contig_id", "included")
 
 
+def assembled_rows(spark, sf_dir):
+    """Clustered mappings as the text layout has them."""
+    return text.assembled_layout(islands.tolerances(_stand_in(spark, sf_dir), tables.libraries(spark)).withColumn("support", F.lit(1)))
+
+
+def track_lines(spark, sf_dir):
+    """The browser rows of a track in its order."""
+    lines = breakpoints.track_lines(breakpoints.bed12(_finals(spark, sf_dir)))
+    return lines.select("chrom", "start", "line")
+
+
+def binary_alignments(spark, sf_dir):
+    """The derived alignments, written as block-compressed binary files by library and read back in splits."""
+    rows = tables.alignments(spark, sf_dir).withColumn("mate_name", F.concat(F.lit("chr"), (F.col("rnext") + 1).cast("string")))
+    folders = []
+    for file_num, *_ in tables.LIBRARIES:
+        folders.append((file_num, new_folder(spark, "bam")))
+        text.write_bam(rows.filter(F.col("file_num") == file_num), folders[-1][1], [(f"chr{i}", 1 << 29) for i in range(1, 5)])
+    return text.read_alignments(spark, spark.createDataFrame(folders, "file_num int, mapping_file string"), split=1 << 20)
+
+
 def dup_runs(spark, sf_dir):
     return dedup.duplicate_runs(_mappings(spark, sf_dir), slop=40).select("row_id", "duplicate", "run")
 
@@ -279,6 +302,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "merged_final": merged_final,
     "merge_map": merge_map,
     "merged_detail": merged_detail,
+    "assembled_rows": assembled_rows,
+    "track_lines": track_lines,
+    "binary_alignments": binary_alignments,
     "dup_runs": dup_runs,
     "dedup_reads": dedup_reads,
     "dedup_either": dedup_either,

@@ -78,28 +78,42 @@ def detail(chosen: DataFrame, finals: DataFrame) -> DataFrame:
     return kept.withColumns({"contig_id": F.col("cluster_id"), "included": F.when(F.col("included"), "Y").otherwise("N")})
 
 
-def sample_of(read_id: Column, samples: list[str]) -> Column:
-    """The longest sample name that a read_id starts with, a point behind it; a read without one fails the job."""
-    parts = F.split(read_id, r"\.")
-    starts = F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda i: F.array_join(F.slice(parts, 1, i), "."))
-    known = F.array_intersect(F.filter(starts, lambda p: F.length(p) < F.length(read_id)), F.array(*map(F.lit, samples)))
-    return F.when(F.size(known) > 0, F.element_at(known, -1)).otherwise(F.raise_error(F.concat(F.lit("no sample of the config names read "), read_id)))
+def with_sample(details: DataFrame, samples: list[str]) -> DataFrame:
+    """Adds sample_place: which of the samples has the longest name that a read_id starts with, a point behind it; a read without one fails the job.
+
+    Names are looked up by hash, once for each number of points that they hold. samples are a config's, so their table is small.
+    """
+    names = details.sparkSession.createDataFrame([(i, s) for i, s in enumerate(samples)], "place_ int, name_ string")
+    rows, found = details.withColumn("parts_", F.split("read_id", r"\.")), []
+    for points in sorted({s.count(".") for s in samples}, reverse=True):
+        known = F.broadcast(names.select(F.col("place_").alias(f"place{points}_"), F.col("name_").alias(f"name{points}_")))
+        start = F.when(F.size("parts_") > points + 1, F.array_join(F.slice("parts_", 1, points + 1), "."))
+        rows = rows.join(known, start == F.col(f"name{points}_"), "left").drop(f"name{points}_")
+        found.append(f"place{points}_")
+    none = F.raise_error(F.concat(F.lit("no sample of the config names read "), "read_id")).cast("int")
+    return rows.withColumn("sample_place", F.coalesce(*found, none)).drop("parts_", *found)
+
+
+def count_vectors(details: DataFrame, samples: list[str]) -> DataFrame:
+    """Per call, counts: how many included mappings each sample gives, by its place among the samples."""
+    each = with_sample(details.filter("included = 'Y'"), samples).groupBy("contig_id", "sample_place").agg(F.count(F.lit(1)).alias("n"))
+    held = each.groupBy("contig_id").agg(F.map_from_entries(F.collect_list(F.struct("sample_place", "n"))).alias("held"))
+    filled = F.transform(F.sequence(F.lit(0), F.lit(len(samples) - 1)), lambda i: F.coalesce(F.try_element_at("held", i), F.lit(0)))
+    return held.select("contig_id", filled.alias("counts"))
 
 
 def sample_counts(details: DataFrame, samples: list[str]) -> DataFrame:
-    """Per call, how many included mappings each sample gives; samples that several libraries share count once, in order."""
+    """count_vectors with a column for each sample; samples that several libraries share count once, in order."""
     samples = list(dict.fromkeys(samples))
-    counted = details.filter("included = 'Y'").withColumn("sample", sample_of(F.col("read_id"), samples)).groupBy("contig_id").pivot("sample", samples)
-    out = counted.agg(F.count(F.lit(1)))
-    return out.select("contig_id", *[F.coalesce(F.col(f"`{s}`"), F.lit(0)).alias(s) for s in samples])
+    counted = count_vectors(details, samples)
+    return counted.select("contig_id", *[F.col("counts")[i].alias(s) for i, s in enumerate(samples)])
 
 
 def frequency_table(finals: DataFrame, details: DataFrame, samples: list[str]) -> DataFrame:
     """Calls with all their columns and a count `<sample>Y` for each sample, 0 where it has none."""
-    counts = sample_counts(details, samples)
-    names = [c for c in counts.columns if c != "contig_id"]
-    joined = finals.select(FINAL).join(counts, "contig_id", "left")
-    return joined.select(*FINAL, *[F.coalesce(F.col(f"`{s}`"), F.lit(0)).alias(f"{s}Y") for s in names])
+    samples = list(dict.fromkeys(samples))
+    joined = finals.select(FINAL).join(count_vectors(details, samples), "contig_id", "left")
+    return joined.select(*FINAL, *[F.coalesce(F.col("counts")[i], F.lit(0)).alias(f"{s}Y") for i, s in enumerate(samples)])
 
 
 def numbered(calls_frame: DataFrame) -> DataFrame:

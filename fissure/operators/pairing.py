@@ -69,11 +69,14 @@ def _chosen(both: DataFrame, limits: Limits, order: str, edit_slop: int | None)
 
 
 def _oriented(both: DataFrame, more: list[Column | str]) -> DataFrame:
-    flip = (F.col("chrom_1") == F.col("chrom_2")) & (F.col("start_2") < F.col("start_1")) & F.col("frag_size").isNotNull()
+    """Blocks by chromosome and start; of equal starts a combination that spoils its read has end 2 first."""
+    same, spoils = F.col("chrom_1") == F.col("chrom_2"), F.col("tag") != "discordant"
+    flip = (F.col("chrom_1") > F.col("chrom_2")) | (same & ((F.col("start_1") > F.col("start_2")) | ((F.col("start_1") == F.col("start_2")) & spoils)))
     pick = lambda c, i: F.when(flip, F.col(f"{c}_{3 - i}")).otherwise(F.col(f"{c}_{i}")).alias(f"{c}{i}")
     return both.select(
         *[pick(c, i) for i in (1, 2) for c in ("chrom", "start", "end")], "read_id", F.when(flip, 2).otherwise(1).alias("which_mate_is_block1"),
-        *[pick(c, i) for c in ("strand", "edit") for i in (1, 2)], F.col("m1").alias("mappings1"), F.col("m2").alias("mappings2"), "frag_size", *more,
+        *[pick(c, i) for c in ("strand", "edit") for i in (1, 2)],
+        F.when(flip, F.col("m2")).otherwise(F.col("m1")).alias("mappings1"), F.when(flip, F.col("m1")).otherwise(F.col("m2")).alias("mappings2"), "frag_size", *more,
     )
 
 
@@ -101,6 +104,24 @@ def tagged_pairs(ends: DataFrame, limits: Limits = Limits(), order: str = "size"
     return found.unionByName(rest, allowMissingColumns=True)
 
 
+#: Columns of the text layouts by mode; `hydra` has the qualities that routing takes, unknown here, behind them.
+MODES = {
+    "hydra": ["chrom1", "start1", "end1", "chrom2", "start2", "end2", "read_id", "which_mate_is_block1", "strand1", "strand2", "edit1", "edit2", "mappings1", "mappings2", "mapq1", "mapq2"],
+    "discordant": ["chrom1", "start1", "end1", "chrom2", "start2", "end2", "read_id", "which_mate_is_block1", "strand1", "strand2", "edit1", "edit2", "frag_size", "mappings1", "mappings2", "total_edits"],
+    "detail": ["chrom1", "start1", "end1", "chrom2", "start2", "end2", "read_id", "which_mate_is_block1", "strand1", "strand2", "edit1", "edit2", "frag_size", "mappings1", "mappings2", "total_edits", "place", "tag"],
+}
+
+
+def pairs_by_mode(ends: DataFrame, mode: str, limits: Limits = Limits(), order: str = "size", edit_slop: int | None = None) -> DataFrame:
+    """Rows in one of the MODES: `detail` tells what became of every read, the others have the discordant combinations; `distant` stands for no size."""
+    if mode == "hydra":
+        return end_pairs(ends, limits, order, edit_slop).select(MODES[mode])
+    rows = tagged_pairs(ends, limits, order, edit_slop)
+    rows = rows if mode == "detail" else rows.filter("tag = 'discordant'")
+    size = F.when(F.col("chrom1").isNotNull(), F.coalesce(F.col("frag_size").cast("string"), F.lit("distant")))
+    return rows.withColumn("frag_size", size).select(MODES[mode])
+
+
 def end_pairs(ends: DataFrame, limits: Limits = Limits(), order: str = "size", edit_slop: int | None = None) -> DataFrame:
     """Discordant combinations in the layout of mappings, for routing; mapping qualities are unknown (0)."""
     rows = pair_combinations(ends, limits, order, edit_slop)

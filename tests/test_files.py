@@ -72,3 +72,60 @@ def test_small_readers(spark, tmp_path):
     (tmp_path / "assembled").write_text(row)
     got = text.read_assembled(spark, str(tmp_path / "assembled")).first()
     assert (got["support"], got["cluster_id"], got["file_num"]) == (3, "chr1.chr1.+.-_7", 0)
+
+
+def lines_of(path):
+    return [line for part in sorted(path.glob("part-*")) for line in part.read_text().splitlines()]
+
+
+def test_calls_from_assembled_rows_are_those_of_the_direct_job(spark, tmp_path):
+    write_sams(tmp_path)
+    (tmp_path / "config").write_text("".join(f"S.{k}\t{tmp_path}/lib{k}.sam\t302\t1\t3\n" for k in range(2)))
+    files.call_alignments(spark, str(tmp_path / "config"), str(tmp_path / "out"))
+    rows = text.read_assembled(spark, str(tmp_path / "out.assembled")).collect()
+    assert len(rows) == 6 and {(r["used"], r["include"], r["support"]) for r in rows} == {(1, 1, 5)}
+    files.finalise(spark, str(tmp_path / "out.assembled"), str(tmp_path / "config"), str(tmp_path / "again"))
+    for kind in ("all", "final", "detail", "freq"):
+        first, again = sorted(lines_of(tmp_path / f"out.{kind}")), sorted(lines_of(tmp_path / f"again.{kind}"))
+        assert first == again and first
+
+
+def test_merged_files(spark, tmp_path):
+    call = ["chr1", 100, 250, "chr1", 1000, 1140, "1", 2, "+", "-", 1, 0, 1, 1, 45, 55, 1041, 2, 2.0, 2, 2.0, 2, 0, 0]
+    other = ["chr1", 160, 300, "chr1", 1050, 1180, "2", *call[7:]]
+    far = ["chr1", 9160, 9300, "chr1", 10_500, 11_180, "3", *call[7:]]
+    mapping = ["chr1", 1, 2, "chr1", 3, 4, "S0.r", 1, "+", "-", 0, 0, 1, 1, 9, 9, 1, "Y"]
+    (tmp_path / "in.final").write_text("".join("\t".join(map(str, r)) + "\n" for r in (call, other, far)))
+    (tmp_path / "in.detail").write_text("".join("\t".join(map(str, [*mapping, i])) + "\n" for i in (1, 2, 3, 2)))
+    files.merge_files(spark, str(tmp_path / "in.final"), str(tmp_path / "in.detail"), str(tmp_path / "out"))
+    assert sorted(lines_of(tmp_path / "out.mergemap")) == ["1.m\t1,2", "3\t3"]
+    finals = {r["contig_id"]: r for r in text.read_finals(spark, str(tmp_path / "out.final")).collect()}
+    assert set(finals) == {"1.m", "3"} and (finals["1.m"]["min_start1"], finals["1.m"]["max_end2"], finals["1.m"]["distinct_pairs"]) == (100, 1180, 4)
+    assert sorted(r["contig_id"] for r in text.read_details(spark, str(tmp_path / "out.detail")).collect()) == ["1.m", "1.m", "1.m", "3"]
+
+
+def test_dedup_and_pair_files(spark, tmp_path):
+    rows = [["chr1", 100, 200, "chr1", 1000, 1100, n, 1, "+", "-", d, 0, 1, 1, 9, 9] for n, d in (("b", 2), ("a", 0), ("c", 1))]
+    (tmp_path / "in").write_text("".join("\t".join(map(str, r)) + "\n" for r in rows))
+    files.dedup_file(spark, str(tmp_path / "in"), str(tmp_path / "out"))
+    assert [line.split("\t")[6] for line in lines_of(tmp_path / "out")] == ["a"]
+    ends = [("chr1", 9000, 9100, "far/1", 1, "+"), ("chr1", 100, 200, "far/2", 2, "-"), ("chr2", 50, 150, "odd/1", 0, "+"), ("chr1", 60, 160, "odd/2", 0, "+"), ("chr1", 300, 400, "near/1", 0, "-"), ("chr1", 100, 200, "near/2", 0, "+"), ("chr1", 1, 2, "half/1", 0, "+")]
+    (tmp_path / "reads.bed").write_text("".join("\t".join(map(str, r)) + "\n" for r in ends))
+    got = {}
+    for mode in ("hydra", "discordant", "detail"):
+        files.pair_file(spark, str(tmp_path / "reads.bed"), str(tmp_path / mode), mode)
+        got[mode] = sorted(lines_of(tmp_path / mode))
+    assert got["hydra"] == ["chr1\t100\t200\tchr1\t9000\t9100\tfar\t2\t-\t+\t2\t1\t1\t1\t0\t0", "chr1\t60\t160\tchr2\t50\t150\todd\t2\t+\t+\t0\t0\t1\t1\t0\t0"]
+    assert got["discordant"] == ["chr1\t100\t200\tchr1\t9000\t9100\tfar\t2\t-\t+\t2\t1\t9000\t1\t1\t3", "chr1\t60\t160\tchr2\t50\t150\todd\t2\t+\t+\t0\t0\tdistant\t1\t1\t0"]
+    detail = {line.split("\t")[6]: line.split("\t") for line in got["detail"]}
+    assert {k: v[-1] for k, v in detail.items()} == {"far": "discordant", "odd": "discordant", "near": "concordant", "half": "orphan"}
+    assert detail["near"][:10] == ["chr1", "100", "200", "chr1", "300", "400", "near", "2", "+", "-"]
+
+
+def test_track_file(spark, tmp_path):
+    (tmp_path / "calls").write_text("chr2 500 600 chr2 2000 2100 7 3 + - more\n\nchr1\t9\t20\tchr5\t40\t50\t8\t2\t-\t+\nchr1 5 9 chr3 100 250 9 4 . -\n")
+    files.write_track(spark, str(tmp_path / "calls"), str(tmp_path / "track"), "calls")
+    lines = lines_of(tmp_path / "track")
+    assert lines[0] == "track name=calls itemRgb=On" and [tuple(x.split("\t")[:2]) for x in lines[1:]] == [("chr1", "-491"), ("chr2", "500"), ("chr3", "-400"), ("chr5", "40")]
+    assert lines[2].split("\t")[3] == "7,3:+/-:intra:chr2:500-2100"
+    assert lines[3].split("\t") == ["chr3", "-400", "250", "9,4:./-:orphan:150", "150", "-", "-400", "250", "0,0,0", "2", "1,150", "0,500"]
