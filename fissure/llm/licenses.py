@@ -24,7 +24,7 @@ LICENSES = [
     ("lgpl", r"gnu (?:lesser|library) general public licen[sc]e", r"gnu lgpl|lgpl", "2 2.1 3", b"gnu|lgpl"),
     ("agpl", r"gnu affero general public licen[sc]e|affero general public licen[sc]e", r"affero gpl|agpl", "1 3", b"affero|agpl"),
     ("gfdl", r"gnu free documentation licen[sc]e", r"gfdl|gnu fdl", "1.1 1.2 1.3", b"gnu|gfdl"),
-    ("apache", r"apache (?:software )?licen[sc]e", r"asl", "1 1.1 2", b"apache|asl"),
+    ("apache", r"apache (?:software )?licen[sc]e", r"", "1 1.1 2", b"apache"),
     ("mpl", r"mozilla public licen[sc]e", r"mpl", "1 1.1 2", b"mozilla|mpl"),
     ("epl", r"eclipse public licen[sc]e", r"epl", "1 2", b"eclipse|epl"),
     ("cddl", r"common development and distribution licen[sc]e", r"cddl", "1 1.1", b"common development|cddl"),
@@ -40,7 +40,7 @@ LICENSES = [
     ("psf", r"python software foundation licen[sc]e|psf licen[sc]e", r"", "2", b"python|psf"),
     ("python", r"python licen[sc]e", r"", "2", b"python"),
     ("php", r"php licen[sc]e", r"", "3 3.01", b"php"),
-    ("boost", r"boost software licen[sc]e", r"bsl", "1", b"boost|bsl"),
+    ("boost", r"boost software licen[sc]e", r"", "1", b"boost"),
     ("cecill", r"cecill(?: free software)? licen[sc]e", r"cecill", "1 1.1 2 2.1", b"cecill"),
     ("odbl", r"open (?:data commons open )?database licen[sc]e", r"odbl", "1", b"database|odbl"),
     ("odc-by", r"open data commons attribution licen[sc]e", r"odc by", "1", b"open data|odc"),
@@ -52,7 +52,7 @@ LICENSES = [
     ("openssl", r"openssl licen[sc]e", r"", "", b"openssl"),
     ("unicode", r"unicode licen[sc]e(?: agreement)?", r"", "3", b"unicode"),
     ("w3c", r"w3c (?:software )?(?:notice and )?licen[sc]e", r"", "", b"w3c"),
-    ("mit", r"mit licen[sc]e|expat licen[sc]e|mit x11 licen[sc]e", r"", "", b"licen"),
+    ("mit", r"mit licen[sc]e|expat licen[sc]e|mit x11 licen[sc]e", r"", "", b"mit|expat"),
     ("x11", r"x11 licen[sc]e", r"", "", b"x11"),
     ("isc", r"isc licen[sc]e", r"", "", b"isc"),
     ("zlib", r"zlib(?: libpng)? licen[sc]e", r"", "", b"zlib"),
@@ -67,14 +67,36 @@ LICENSES = [
     ("apsl", r"apple public source licen[sc]e", r"apsl", "1 1.1 1.2 2", b"apple|apsl"),
     ("upl", r"universal permissive licen[sc]e", r"", "1", b"permissive"),
     ("blueoak", r"blue oak model licen[sc]e", r"", "1", b"blue oak"),
-    ("mulan", r"mulan (?:permissive software )?(?:psl|licen[sc]e)", r"mulanpsl", "1 2", b"mulan"),
+    ("mulan", r"mulan (?:permissive software )?(?:psl|licen[sc]e)", r"mulanpsl", "1 2", b"mulan|mulanpsl"),
     ("busl", r"business source licen[sc]e", r"busl", "1.1", b"business source|busl"),
     ("sspl", r"server side public licen[sc]e", r"sspl", "1", b"server side|sspl"),
     ("elastic", r"elastic licen[sc]e", r"", "2", b"elastic"),
-    ("openrail", r"(?:bigscience |creativeml )?open ?rail(?: m)?(?: licen[sc]e)?", r"", "", b"rail"),
+    ("openrail", r"(?:bigscience |creativeml )?open ?rail(?: m)? licen[sc]e|(?:bigscience|creativeml) open ?rail(?: m)?|openrail(?: m)?", r"", "", b"openrail|rail"),
     ("wtfpl", r"do what the fuck you want to public licen[sc]e", r"wtfpl", "2", b"you want to|wtfpl"),
     ("unlicense", r"the unlicense|unlicense org", r"", "", b"unlicense"),
 ]
+#: Licenses whose full names are everyday words too: they count where a text refers to them, not by themselves.
+EVERYDAY = {"artistic", "python", "elastic", "ruby", "curl", "vim", "unicode", "php"}
+#: Short names whose versions need a point or the word version, as bare numbers follow such letters elsewhere.
+STRICT = {"epl", "zpl", "psf", "upl"}
+#: Identifiers as tags and short references spell them, by label; a word that all spellings hold.
+IDENTIFIERS = [
+    ("mit", "mit", "mit"), ("isc", "isc", "isc"), ("zlib", "zlib", "zlib"), ("bsd", "bsd", "bsd"), ("bsd-2", "bsd 2 clause", "bsd"), ("bsd-3", "bsd 3 clause", "bsd"), ("bsd-4", "bsd 4 clause", "bsd"), ("bsd-0", "0bsd", "0bsd"),
+    ("apache-2", "apache (?:version |v ?)?2(?: 0)?", "apache"), ("apache-2", "asl (?:version |v ?)?2(?: 0)?", "asl"), ("apache-1.1", "apache 1 1", "apache"), ("gpl-2", "gpl 2(?: 0)?(?: only| or later)?", "gpl"), ("gpl-3", "gpl 3(?: 0)?(?: only| or later)?", "gpl"),
+    ("lgpl-2.1", "lgpl 2 1(?: only| or later)?", "lgpl"), ("lgpl-3", "lgpl 3(?: 0)?(?: only| or later)?", "lgpl"), ("agpl-3", "agpl 3(?: 0)?(?: only| or later)?", "agpl"), ("mpl-1.1", "mpl 1 1", "mpl"), ("mpl-2", "mpl 2(?: 0)?", "mpl"),
+    ("epl-1", "epl 1 0", "epl"), ("epl-2", "epl 2 0", "epl"), ("cc0", "cc0(?: 1 0)?(?: universal)?", "cc0"), ("unlicense", "unlicense", "unlicense"), ("boost-1", "bsl 1 0", "bsl"), ("cc-by-4.0", "cc by 4 0", "cc"),
+    ("cc-by-sa-4.0", "cc by sa 4 0", "cc"), ("cc-by-nc-4.0", "cc by nc 4 0", "cc"), ("wtfpl", "wtfpl", "wtfpl"), ("artistic-2", "artistic 2 0", "artistic"), ("ofl-1.1", "ofl 1 1", "ofl"), ("eupl-1.2", "eupl 1 2", "eupl"),
+    ("ncsa", "ncsa", "ncsa"), ("psf-2", "psf 2 0", "psf"), ("python-2", "python 2 0", "python"), ("zpl-2.1", "zpl 2 1", "zpl"), ("ms-pl", "ms pl", "pl"), ("cddl-1", "cddl 1 0", "cddl"), ("busl-1.1", "busl 1 1", "busl"), ("postgresql", "postgresql", "postgresql"),
+]
+#: Short references: pattern around an identifier, words of which a text holds one besides, priority, weight.
+REFERENCES = [
+    ("(?:licen[sc]ed|released|distributed|available|published) under (?:the )?(?:terms of )?(?:the )?(?:{id})", "licensed licenced released distributed available published", 3, 0.9),
+    ("(?:{id}) licen[sc]ed", "licensed licenced", 3, 0.9),
+    ("licen[sc]e (?:is )?(?:the )?(?:{id})", "license licence", 2, 0.8),
+    ("(?:{id}) licen[sc]e", "license licence", 2, 0.8),
+]
+#: An identifier anywhere in the expression behind a tag; what counts as found is the identifier.
+EXPRESSION = "spdx licen[sc]e identifier (?:(?:{any}) (?:or|and|with) ){{0,8}}({id})"
 #: Creative Commons: element letters with their words.
 CC_ELEMENTS = {"by": "attribution", "nc": "non ?commercial", "sa": "share ?alike", "nd": "no ?deriv(?:ative|ativework|atives|s)?(?: works)?"}
 CC_KINDS = ["by", "by sa", "by nc", "by nd", "by nc sa", "by nc nd"]
@@ -165,6 +187,7 @@ FORMS = [
     ("(?:licen[sc]ed|released|distributed|available|published) under (?:the )?(?:terms of )?(?:the )?(?:{name}) ?(?:version |v ?|ver ?)?{version}", 4, 1.0),
     ("spdx licen[sc]e identifier {label} {version}(?: 0)?(?: only| or later)?", 5, 1.0),
 ]
+STRICT_FORM = "(?:{short}) (?:(?:version |v ?|ver ?){version}|{pointed})"
 UNVERSIONED = [
     ("(?:licen[sc]ed|released|distributed|available|published) under (?:the )?(?:terms of )?(?:the )?(?:{name})", 2, 0.9),
     ("(?:under|terms of) the (?:{name})", 1, 0.7),
@@ -177,7 +200,7 @@ UNVERSIONED = [
 class Rule:
     label: str
     pattern: str
-    keyword: bytes  # words of which every match holds one, divided by |
+    keyword: bytes  # what every match holds, alternatives divided by |: all words of one of them
     priority: int
     weight: float
 
@@ -191,12 +214,25 @@ def rules() -> list[Rule]:
     """All signature rules, highest priority first: a pattern for each license, version and way to refer to it, and for each sentence."""
     out = []
     for label, full, short, versions, keyword in LICENSES:
-        name, spelt = f"{full}|{short}" if short else full, label.replace("-", " ")
+        strict, spelt = label in STRICT and bool(short), label.replace("-", " ")
+        # Versions may be glued to a short name.
+        glued = {f"{s.split()[-1]}{v}{n.split('.')[0]}" for s in short.split("|") if s for n in versions.split() for v in ("", "v", "ver")}
+        keyword = b"|".join([keyword, *sorted(g.encode() for g in glued)])
+        name = f"{full}|{short}" if short and not strict else full
         for version in versions.split():
             exact = version.replace(".", " ") + (r"(?: 0)?" if "." not in version else "")
             for form, priority, weight in FORMS:
                 out.append(Rule(f"{label}-{version}", form.format(name=name, version=exact, label=spelt), _keyword(form, keyword), priority + ("." in version), weight))
-        out += [Rule(label, form.format(name=name, full=full, label=spelt), _keyword(form, keyword), priority, weight) for form, priority, weight in UNVERSIONED]
+            if strict:
+                pointed = version.replace(".", " ") if "." in version else f"{version} 0"
+                out.append(Rule(f"{label}-{version}", STRICT_FORM.format(short=short, version=exact, pointed=pointed), keyword, 3 + ("." in version), 0.9))
+        out += [Rule(label, form.format(name=f"{full}|{short}" if short else full, full=full, label=spelt), _keyword(form, keyword), priority, weight) for form, priority, weight in UNVERSIONED if form != "{full}" or label not in EVERYDAY]
+    every = "|".join(pattern for _, pattern, _ in IDENTIFIERS)
+    for label, pattern, word in IDENTIFIERS:
+        out.append(Rule(label, EXPRESSION.format(any=every, id=pattern), f"spdx {word}".encode(), 4 if pattern != word else 3, 1.0))
+        for form, context, priority, weight in REFERENCES:
+            out.append(Rule(label, form.format(id=pattern), "|".join(f"{word} {c}" for c in context.split()).encode(), priority, weight))
+    out += [Rule("apache-2", "apache 2 0", b"apache", 2, 0.8), Rule("cc0", "cc0", b"cc0", 1, 0.7), Rule("bsd", "bsd licen[sc]e", b"bsd", 1, 0.7)]
     for clauses, spelt in BSD_CLAUSES.items():
         out.append(Rule(f"bsd-{clauses}", rf"(?:{spelt}) clause bsd(?: licen[sc]e)?|bsd (?:{spelt}) clause(?: licen[sc]e)?", b"bsd", 3, 0.95))
         out.append(Rule(f"bsd-{clauses}", rf"(?:under|terms of) (?:the |a )?(?:{spelt}) (?:clause )?bsd licen[sc]e", b"bsd", 4, 1.0))
@@ -218,7 +254,12 @@ class Scanner:
 
     def __init__(self):
         self.rules = [(r, re.compile(rb"(?<![^ ])(?:" + r.pattern.encode() + rb")(?![^ ])")) for r in rules()]
-        self.keywords = {r.keyword: r.keyword.split(b"|") for r, _ in self.rules}
+        # What a text's words must include for rules to run, and which rules those are.
+        gates: dict[frozenset[bytes], list[int]] = {}
+        for i, (r, _) in enumerate(self.rules):
+            for some in r.keyword.split(b"|"):
+                gates.setdefault(frozenset(some.split()), []).append(i)
+        self.gates, self.words = list(gates.items()), frozenset().union(*gates)
         self.letters = bytes(c if c >= 0x80 or chr(c) in "0123456789abcdefghijklmnopqrstuvwxyz" else 0x20 for c in range(256))
         gap = rb"[^0-9a-z\x80-\xff]+"
         self.base = [(label, phrase.encode().split(), re.compile(rb"(?<![0-9a-z\x80-\xff])" + gap.join(phrase.encode().split()) + rb"(?![0-9a-z\x80-\xff])")) for phrase, label in BASE.items()]
@@ -242,24 +283,28 @@ class Scanner:
 
     def _detect(self, low: bytes) -> list[tuple[str, float]]:
         """Rules in order of priority; a detection inside one that was kept before it is suppressed."""
-        words = b" ".join(low.translate(self.letters).split())
+        apart = low.translate(self.letters).split()
+        here = self.words.intersection(apart)
+        run = sorted({i for gate, some in self.gates if gate <= here for i in some}) if here else []
+        if not run:
+            return []
+        words = b" ".join(apart)
         found: list[tuple[str, float]] = []
         # Starts and ends of the kept intervals that no other holds: both ascend, so one place tells whether any holds a further one.
         starts: list[int] = []
         ends: list[int] = []
-        there = {k for k, some in self.keywords.items() if any(w in words for w in some)}
-        for rule, pattern in self.rules:
-            if rule.keyword in there:
-                for m in pattern.finditer(words):
-                    start, end = m.span()
-                    at = bisect_right(starts, start)
-                    if at and ends[at - 1] >= end:
-                        continue
-                    found.append((rule.label, rule.weight))
-                    first = at - (at > 0 and starts[at - 1] == start)
-                    last = bisect_right(ends, end)
-                    starts[first : max(first, last)] = [start]
-                    ends[first : max(first, last)] = [end]
+        for i in run:
+            rule, pattern = self.rules[i]
+            for m in pattern.finditer(words):
+                start, end = m.span(pattern.groups and 1)
+                at = bisect_right(starts, start)
+                if at and ends[at - 1] >= end:
+                    continue
+                found.append((rule.label, rule.weight))
+                first = at - (at > 0 and starts[at - 1] == start)
+                last = bisect_right(ends, end)
+                starts[first : max(first, last)] = [start]
+                ends[first : max(first, last)] = [end]
         return found
 
 
