@@ -59,17 +59,24 @@ def _found(k: int, kind: str) -> str:
 
 
 _ENTITY = "kind || ':' || CASE WHEN k <= 2 THEN lower(v) ELSE regexp_replace(v, '[^0-9]', '', 'g') END"
-_TERMS = "list_sort(list_distinct(regexp_extract_all(lower({}), '\\p{{L}}{{4,}}')))"
+#: The share of its information that gives an entity away, and the number of the corpus's terms that may seem to by chance.
+_SHARE, _CHANCE = 0.8, 0.05
+#: Texts are counted once each; what lies between the spans of a text, put side by side, holds its terms.
 OP4 = f"""WITH t AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents),
 base AS ({" UNION ALL ".join(_found(k, kind) for k, kind in enumerate(_PATTERNS, 1))}),
-seen AS (SELECT row, {_ENTITY} AS entity, {_TERMS.format("substr(text, greatest(s - 80, 0) + 1, s - greatest(s - 80, 0)) || ' | ' || substr(text, s + len(v) + 1, 80)")} AS terms FROM base JOIN t USING (row)),
-ctx AS (SELECT entity, count(DISTINCT terms) AS n_e FROM seen GROUP BY entity),
-pairs AS (SELECT entity, term, count(DISTINCT terms) AS n_et FROM (SELECT entity, terms, unnest(terms) AS term FROM seen) GROUP BY ALL HAVING count(DISTINCT terms) >= 3),
-df AS (SELECT term, count(*) AS n_t FROM (SELECT unnest({_TERMS.format("text")}) AS term FROM t) WHERE term IN (SELECT term FROM pairs) GROUP BY term),
-total AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM documents),
-disclosing AS (SELECT entity, term FROM pairs JOIN ctx USING (entity) JOIN df USING (term), total WHERE n_e >= 3 AND n_e < n AND ln(n * n_et / (n_e * greatest(n_t, n_et))) / ln(n / n_e) >= 0.8),
-here AS (SELECT DISTINCT row, term FROM seen JOIN disclosing USING (entity)),
-patterns AS (SELECT row, '(?i)\\p{{L}}+' AS p, list(term) AS terms FROM here GROUP BY row),
+apart AS (SELECT row, s, s + len(v) AS e, coalesce(max(s + len(v)) OVER (PARTITION BY row ORDER BY s, s + len(v) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM base),
+pieces AS (SELECT row, substr(text, before + 1, s - before) AS piece FROM apart JOIN t USING (row) WHERE s >= before
+  UNION ALL SELECT row, substr(text, coalesce(e, 0) + 1) FROM t LEFT JOIN (SELECT row, max(e) AS e FROM apart GROUP BY row) USING (row)),
+held AS (SELECT DISTINCT row, term FROM (SELECT row, unnest(regexp_extract_all(lower(piece), '\\p{{L}}+')) AS term FROM pieces)),
+once AS (SELECT min(row) AS row FROM t GROUP BY text),
+total AS (SELECT CAST((SELECT count(*) FROM once) AS DOUBLE) AS n, ln(greatest((SELECT count(DISTINCT term) FROM held), 1) / {_CHANCE}) AS least),
+seen AS (SELECT DISTINCT row, {_ENTITY} AS entity FROM base JOIN once USING (row)),
+counted AS (SELECT entity, count(*) AS n_e FROM seen GROUP BY entity),
+df AS (SELECT term, count(*) AS n_t FROM held JOIN once USING (row) GROUP BY term),
+pairs AS (SELECT entity, term, count(*) AS n_et FROM seen JOIN held USING (row) GROUP BY entity, term),
+disclosing AS (SELECT DISTINCT term FROM pairs JOIN counted USING (entity) JOIN df USING (term), total WHERE n_e < n AND ln(n * n_et / (n_e * n_t)) / ln(n / n_e) >= {_SHARE}
+  AND n_et * (ln(n_et / n_e) - ln(n_t / n)) + CASE WHEN n_et < n_e THEN (n_e - n_et) * (ln(1 - n_et / n_e) - ln(1 - n_t / n)) ELSE 0 END >= least),
+patterns AS (SELECT row, '\\p{{L}}+' AS p, list(term) AS terms FROM held JOIN disclosing USING (term) GROUP BY row),
 words AS (SELECT row, terms, string_split_regex(text, p) AS gaps, regexp_extract_all(text, p) AS vs FROM patterns JOIN t USING (row)),
 spots AS (SELECT row, 5 AS k, 'term' AS kind, v, CAST(list_sum(list_transform(gaps[1:i], lambda x: len(x))) + coalesce(list_sum(list_transform(vs[1:i - 1], lambda x: len(x))), 0) AS BIGINT) AS s
   FROM (SELECT row, terms, gaps, vs, unnest(vs) AS v, unnest(range(1, len(vs) + 1)) AS i FROM words) WHERE list_contains(terms, lower(v))),

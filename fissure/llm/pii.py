@@ -28,7 +28,8 @@ _PART = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 _IP = rf"^{_PART}\.{_PART}\.{_PART}\.{_PART}$"
 #: The share of an entity's information that a disclosing term gives away, and how many terms may seem to by chance for an entity.
 DISCLOSURE, CHANCE = 0.8, 0.05
-BROADCAST_ROWS = 200_000
+#: Rows and bytes of their strings that are broadcast at once; more are joined by shuffle.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32 << 20
 SPANS = "array<struct<start:int,end:int>>"
 #: Elements of an array that are run through at once, and characters of a block that gaps between spans are cut from.
 RUN, PIECE = 256, 512
@@ -166,6 +167,17 @@ def scan(docs: DataFrame) -> DataFrame:
     return materialise(rows, "spans")
 
 
+def _few(rows: DataFrame, *strings: str) -> bool:
+    """Whether rows are few and short enough to broadcast."""
+    size = sum((F.coalesce(F.octet_length(c), F.lit(0)).cast("long") for c in strings), F.lit(0).cast("long"))
+    n, held = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
+    return n <= BROADCAST_ROWS and held <= BROADCAST_BYTES
+
+
+def _small(rows: DataFrame, *strings: str) -> DataFrame:
+    return F.broadcast(rows) if _few(rows, *strings) else rows
+
+
 def disclosing_terms(found: DataFrame, disclosure: float = DISCLOSURE, chance: float = CHANCE) -> DataFrame:
     """(entity, term, share): terms that give away at least the given share of an entity's information.
 
@@ -173,16 +185,26 @@ def disclosing_terms(found: DataFrame, disclosure: float = DISCLOSURE, chance: f
     share = PMI(e, t) / IC(e) = log(N n_et / (n_e n_t)) / log(N / n_e). If t fell on texts at random, it would be in
     so many of the n_e with a probability of at most exp(-n_e KL(n_et / n_e, n_t / N)) (Chernoff); less than the
     given number of the corpus's terms may be expected to do so.
+
+    Entities of the same texts are one class, as all of these numbers are the same for them, and terms that stand in more than
+    N^(1 - disclosure) n_e^disclosure texts can't disclose: both keep what is paired within a text small.
     """
     repeated = found.groupBy("key").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "first")
     repeated = materialise(repeated, "repeated")
-    few = repeated.count() <= BROADCAST_ROWS
-    once = found.select("key", "row", "entities", "terms").join(F.broadcast(repeated) if few else repeated, "key", "left").filter("first is null or row = first")
-    total = once.count()
+    once = found.select("key", "row", "entities", "terms").join(_small(repeated), "key", "left").filter("first is null or row = first")
     used = once.select(F.explode("terms").alias("term"))
-    least = math.log(max(used.agg(F.approx_count_distinct("term").alias("n")).first()["n"], 1) / chance)
     n_e, n_et = F.col("n_e"), F.col("n_et")
 
+    # The class of an entity: how many texts mention it, and sums of two hashes of which they are.
+    seen = once.select(F.explode("entities").alias("entity"), "row")
+    marks = [F.sum(F.xxhash64(F.lit(i), "row").cast("decimal(38,0)")).alias(f"mark{i}") for i in (1, 2)]
+    entities = materialise(seen.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"), *marks), "entities")
+    same = ["n_e", "mark1", "mark2"]
+    classes = entities.groupBy(*same).agg(F.min("entity").alias("class"))
+
+    total = once.count()
+    least = math.log(max(used.distinct().count(), 1) / chance)
+
     def share(n_t: Column) -> Column:
         return F.log(total * n_et / (n_e * n_t)) / F.log(total / n_e)
 
@@ -190,33 +212,36 @@ def disclosing_terms(found: DataFrame, disclosure: float = DISCLOSURE, chance: f
         a, b = n_et / n_e, n_t / F.lit(total)
         return n_et * (F.log(a) - F.log(b)) + F.when(n_et < n_e, (n_e - n_et) * (F.log(1 - a) - F.log(1 - b))).otherwise(0.0)
 
-    seen = once.select(F.explode("entities").alias("entity"), "terms")
     # n_t >= n_et, and evidence is most where both equal n_e: an entity that fails there has no term.
-    entities = seen.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e")).filter((n_e < total) & (n_e * F.log(total / n_e) >= least))
-    entities = materialise(entities, "entities")
-    few = entities.count() <= BROADCAST_ROWS
-    pairs = seen.join(F.broadcast(entities) if few else entities, "entity").select("entity", "n_e", F.explode("terms").alias("term"))
-    pairs = pairs.groupBy("entity", "n_e", "term").agg(F.count(F.lit(1)).alias("n_et"))
-    pairs = materialise(pairs.filter((share(n_et) >= disclosure) & (evidence(n_et) >= least)), "pairs")
-    terms = pairs.select("term").distinct()
-    few = terms.count() <= BROADCAST_ROWS
-    counts = used.join(F.broadcast(terms) if few else terms, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    classes = materialise(classes.filter((n_e < total) & (n_e * F.log(total / n_e) >= least)), "classes")
+    rarest = F.lit(float(total)) ** (1 - disclosure) * n_e**disclosure * (1 + 1e-9)
+    hosts = once.select("row", F.explode("entities").alias("class")).join(_small(classes, "class"), "class").select("row", "class", "n_e")
+    hosts = materialise(hosts, "hosts")
+    there = hosts.groupBy("row").agg(F.max("n_e").alias("n_e")).join(once.select("row", "terms"), "row").select("row", "n_e", F.explode("terms").alias("term"))
+    widest = there.groupBy("term").agg(F.max("n_e").alias("n_e"))
+    counted = used.join(_small(widest.select("term"), "term"), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    terms = materialise(counted.join(widest, "term").filter(F.col("n_t") <= rarest).select("term", "n_t"), "terms")
+    held = materialise(there.select("row", "term").join(_small(terms, "term"), "term"), "held")
+    pairs = hosts.join(held, "row").filter(F.col("n_t") <= rarest)
+    pairs = pairs.groupBy("class", "n_e", "term", "n_t").agg(F.count(F.lit(1)).alias("n_et"))
     n_t = F.col("n_t")
-    return pairs.join(counts, "term").withColumn("share", share(n_t)).filter((F.col("share") >= disclosure) & (evidence(n_t) >= least)).select("entity", "term", "share")
+    found_pairs = pairs.withColumn("share", share(n_t)).filter((F.col("share") >= disclosure) & (evidence(n_t) >= least))
+    disclosing = materialise(found_pairs.select("class", "term", "share"), "disclosing")
+    members = entities.join(classes, same).select("class", "entity")
+    return disclosing.join(members, "class").select("entity", "term", "share")
 
 
 def term_patterns(found: DataFrame, terms: DataFrame) -> DataFrame:
     """(doc_id, key, pattern): one pattern of all terms in the document that disclose an entity, mentioned there or not."""
     terms = materialise(terms.select("term").distinct(), "terms")
-    few = terms.count() <= BROADCAST_ROWS
     held = found.select("doc_id", "key", F.explode("terms").alias("term"))
-    here = held.join(F.broadcast(terms) if few else terms, "term").groupBy("doc_id", "key").agg(F.sort_array(F.collect_set("term")).alias("terms"))
+    here = held.join(_small(terms, "term"), "term").groupBy("doc_id", "key").agg(F.sort_array(F.collect_set("term")).alias("terms"))
     return here.select("doc_id", "key", F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join("terms", "|"), F.lit(r")(?!\p{L})")).alias("pattern"))
 
 
 def _with_patterns(docs: DataFrame, patterns: DataFrame, how: str) -> DataFrame:
     """docs, each with the pattern of its terms; patterns are broadcast where they are few."""
-    few = patterns.count() <= BROADCAST_ROWS
+    few = _few(patterns, "pattern")
     p = patterns.select(F.col("doc_id").alias("p_doc_id"), F.col("key").alias("p_key"), F.col("pattern").alias("p_pattern"))
     keyed = docs.withColumn("p_text_key", _key(F.coalesce(F.col("text").cast("string"), F.lit(""))))
     same = keyed["doc_id"].cast("long").eqNullSafe(p["p_doc_id"]) & (keyed["p_text_key"] == p["p_key"])
