@@ -9,6 +9,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from fissure.llm.components import connected_components
 from fissure.llm.shared import materialise, released, same_columns, small_batches, table
@@ -24,12 +25,14 @@ SURE = 6.0
 #: Ids that are broadcast to filter a scan; a longer list is joined by shuffle.
 BROADCAST_IDS = 1_000_000
 LONG = pa.int64()
-#: Classes of a bucket that all its classes are compared with; sides of the blocks that compare what is then still apart.
-PIVOTS, LEFT_ROWS, RIGHT_ROWS = 4, 256, 512
+#: Classes of a bucket that all its classes are compared with.
+PIVOTS = 4
+#: Shingles of a side of the blocks that compare what is then still apart, and columns of their products.
+SIDE, COLUMNS = 1 << 20, 4096
 #: Buckets with more than this share of all rows are dealt over several tasks, if they hold more rows than PART_ROWS.
 HOT_SHARE, PART_ROWS = 1000, 1000
-#: Rows that a Python task works on at once, and shingles that one comparison holds against a set.
-SLICE, COMPARED = 256, 1 << 20
+#: Rows that a Python task works on at once.
+SLICE = 256
 
 
 def registers(shingles: np.ndarray) -> np.ndarray:
@@ -135,18 +138,43 @@ def _estimated(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").mapInArrow(released(estimate), "a long, b long")
 
 
-def _shingles(ids: DataFrame, docs: DataFrame, n: int) -> DataFrame:
-    """(id, shingles): the sets of the given doc_ids, from a second pass over the texts."""
+def _set_marks(docs: DataFrame, n: int) -> DataFrame:
+    """doc_id, and its set's 128-bit identity (set_high, set_low) and elements; an empty set has no identity."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh3_128_digest
+
         for batch in _slices(batches):
             found = list(_sets(batch, n))
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], LONG), pa.array([s.tobytes() for _, s in found], pa.binary())], ["id", "shingles"])
+            marks = [np.frombuffer(xxh3_128_digest(s.tobytes()), np.int64).tolist() if len(s) else (None, None) for _, s in found]
+            columns = [pa.array([k for k, _ in found], LONG), *[pa.array([m[i] for m in marks], LONG) for i in (0, 1)], pa.array([s.tobytes() for _, s in found], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "set_high", "set_low", "shingles"])
+
+    return docs.mapInArrow(released(sets), "doc_id long, set_high long, set_low long, shingles binary")
+
+
+def _with_sets(rows: DataFrame, n: int) -> DataFrame:
+    """rows (p_row, p_doc_id, p_text) with the identity of each text's set as p_high and p_low, null for an empty one."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh3_128_digest
+
+        for batch in _slices(batches):
+            found = [shingles for _, shingles in _sets(batch.select(["p_doc_id", "p_text"]), n)]
+            marks = [np.frombuffer(xxh3_128_digest(s.tobytes()), np.int64).tolist() if len(s) else (None, None) for s in found]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array([m[i] for m in marks], LONG) for i in (0, 1)]], [*batch.schema.names, "p_high", "p_low"])
 
-    ids = materialise(ids.toDF("doc_id").distinct(), "candidates")
+    return rows.mapInArrow(released(add), StructType([*rows.schema.fields, StructField("p_high", LongType()), StructField("p_low", LongType())]))
+
+
+def _shingles(reps: DataFrame, classes: DataFrame, docs: DataFrame, n: int) -> DataFrame:
+    """(id, shingles): the sets of the given classes, from a second pass over the texts of their smallest doc_ids."""
+    wanted = materialise(classes.join(reps.toDF("rep").distinct(), "rep", "left_semi").select("rep", "first_id", "set_high", "set_low"), "candidates")
+    ids = wanted.select(F.col("first_id").alias("doc_id"))
     few = ids.count() <= BROADCAST_IDS
-    wanted = _texts(docs).join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
-    return materialise(wanted.mapInArrow(released(sets), "id long, shingles binary").dropDuplicates(["id"]), "shingles")
+    texts = _texts(docs).join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+    found = _set_marks(texts, n).withColumnRenamed("doc_id", "first_id").join(F.broadcast(wanted) if few else wanted, ["first_id", "set_high", "set_low"])
+    return materialise(found.select(F.col("rep").alias("id"), "shingles").dropDuplicates(["id"]), "shingles")
 
 
 def _common(s: np.ndarray, others: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -155,7 +183,7 @@ def _common(s: np.ndarray, others: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.add.reduceat((s[at] == others).astype(np.int64), np.cumsum(sizes) - sizes)
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
     """The pairs whose full shingle sets are similar enough."""
 
     def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,49 +195,77 @@ def _verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFr
                 keep.append(100 * common >= percent * (len(s) + len(t) - common))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    found = _shingles(pairs.select(F.explode(F.array("a", "b"))), docs, n)
+    found = _shingles(pairs.select(F.explode(F.array("a", "b"))), classes, docs, n)
     left, right = found.select(F.col("id").alias("a"), F.col("shingles").alias("xs")), found.select(F.col("id").alias("b"), F.col("shingles").alias("ys"))
     return pairs.join(left, "a").join(right, "b").mapInArrow(released(similar), "a long, b long")
 
 
+def _in_common(left: list[np.ndarray], right: list[np.ndarray], several: np.ndarray) -> np.ndarray:
+    """Elements that each of some sets shares with each of others, as products of incidence matrices; several holds, sorted, those that stand in two sets or more."""
+
+    def places(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """(column, row) of each element that several sets have, by column."""
+        flat, rows = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        at = np.searchsorted(several, flat)
+        known = several[np.minimum(at, len(several) - 1)] == flat
+        order = np.argsort(at[known], kind="stable")
+        return at[known][order], rows[known][order]
+
+    out = np.zeros((len(left), len(right)), np.float32)  # counts far below 2^24 are exact
+    if len(several):
+        sides = [places(left), places(right)]
+        for first in range(0, len(several), COLUMNS):
+            parts = []
+            for (column, row), n in zip(sides, out.shape, strict=True):
+                a, b = np.searchsorted(column, [first, first + COLUMNS])
+                part = np.zeros((n, min(COLUMNS, len(several) - first)), np.float32)
+                part[row[a:b], column[a:b] - first] = 1
+                parts.append(part)
+            out += parts[0] @ parts[1].T
+    return out
+
+
 def _across(percent: int):
     """applyInPandas body: links of a block's left rows to right rows of other components, one for each such component."""
 
     def across(block: pd.DataFrame) -> pd.DataFrame:
+        block = block.assign(at=np.arange(len(block)))
+        sets = [np.frombuffer(x, np.uint64) for x in block["shingles"]]
         left, right = block[block["is_left"]], block[block["is_right"]]
-        rep, root = right["rep"].to_numpy(), right["root"].to_numpy()
-        sets = [np.frombuffer(x, np.uint64) for x in right["shingles"]]
-        sizes = np.array([len(s) for s in sets])
         out = []
-        for u, own, x in zip(left["rep"], left["root"], left["shingles"], strict=True):
-            s = np.frombuffer(x, np.uint64)
-            some = np.flatnonzero((root != own) & (100 * np.minimum(sizes, len(s)) >= percent * np.maximum(sizes, len(s))))
-            if len(some):
-                cuts = np.flatnonzero(np.diff(np.cumsum(sizes[some]) // COMPARED)) + 1
-                common = np.concatenate([_common(s, np.concatenate([sets[i] for i in part]), sizes[part]) for part in np.split(some, cuts)])
-                hit = some[100 * common >= percent * (len(s) + sizes[some] - common)]
+        if len(left) and len(right):
+            once = block.drop_duplicates("rep")["at"]
+            values, counts = np.unique(np.concatenate([sets[i] for i in once]), return_counts=True)
+            common = _in_common([sets[i] for i in left["at"]], [sets[i] for i in right["at"]], values[counts > 1]).astype(np.int64)
+            sizes = [np.array([len(sets[i]) for i in side["at"]]) for side in (left, right)]
+            linked = 100 * common >= percent * (sizes[0][:, None] + sizes[1][None, :] - common)
+            linked &= left["root"].to_numpy()[:, None] != right["root"].to_numpy()[None, :]
+            rep, root = right["rep"].to_numpy(), right["root"].to_numpy()
+            for i in np.flatnonzero(linked.any(1)):
+                hit = np.flatnonzero(linked[i])
                 _, first = np.unique(root[hit], return_index=True)
-                out += [(u, rep[i]) for i in hit[first]]
+                out += [(left["rep"].iat[i], rep[j]) for j in hit[first]]
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     return across
 
 
-def _links_across(met: DataFrame, components: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
+def _links_across(met: DataFrame, components: DataFrame, classes: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
     """Links between classes that meet in a bucket and that the pivots have left in different components.
 
     A bucket's classes are compared under its most frequent component: those outside it with all. Buckets
-    with the same one share that work, and blocks of bounded size split it. Blocks
+    with the same one share that work, and blocks whose sides hold a bounded number of shingles split it. Blocks
     give a link for each two components that they tie, never pairs.
     """
-    placed = met.join(components.withColumnRenamed("id", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep")).select("key", "rep", "root")
+    placed = met.join(components.withColumnRenamed("id", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep")).select("key", "rep", "n", "root")
     shares = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
     mains = shares.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count(F.lit(1)).alias("roots"), F.sum("n").alias("size"))
     split = mains.filter(f"roots > 1 and size > {PIVOTS + 1}").select("key", "main")
-    members = materialise(placed.join(split, "key").select("main", "rep", "root").distinct(), "members")
-    found = _shingles(members.select("rep"), docs, n)
-    counts = members.groupBy("main").agg(F.ceil(F.count_if(F.col("root") != F.col("main")) / LEFT_ROWS).cast("int").alias("lefts"), F.ceil(F.count(F.lit(1)) / RIGHT_ROWS).cast("int").alias("rights"))
-    rows = members.join(counts, "main").withColumns({"at_left": F.pmod(F.xxhash64("rep"), F.col("lefts")).cast("int"), "at_right": F.pmod(F.xxhash64("rep"), F.col("rights")).cast("int")})
+    members = materialise(placed.join(split, "key").select("main", "rep", "n", "root").distinct(), "members")
+    found = _shingles(members.select("rep"), classes, docs, n)
+    parts = lambda c: F.greatest(F.ceil(F.sum(c) / SIDE), F.lit(1)).cast("int")
+    counts = members.groupBy("main").agg(parts(F.when(F.col("root") != F.col("main"), F.col("n")).otherwise(0)).alias("lefts"), parts(F.col("n")).alias("rights"))
+    rows = members.drop("n").join(counts, "main").withColumns({"at_left": F.pmod(F.xxhash64("rep"), F.col("lefts")).cast("int"), "at_right": F.pmod(F.xxhash64("rep"), F.col("rights")).cast("int")})
 
     def block(i, j, is_left, is_right):
         return F.struct(i.alias("i"), j.alias("j"), F.lit(is_left).alias("is_left"), F.lit(is_right).alias("is_right"))
@@ -246,6 +302,34 @@ def _buckets(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
     return met, in_all_parts(first.select("key", F.col("rep").alias("a"), F.col("n").alias("na")))
 
 
+def _grouped(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """One row per document: doc_id, n_shingles, its set's identity, root (a number for its group; null where it has no set or no id) and component_id."""
+    sketched = materialise(sketch_documents(docs, n), "sketches")
+    whole = sketched.filter("n_shingles > 0 and doc_id is not null")
+    mark = ["set_high", "set_low"]
+    # Classes of equal sets get numbers as they are written: doc_ids can repeat with other texts.
+    classes = whole.groupBy(*mark).agg(F.min("doc_id").alias("first_id")).withColumn("rep", F.monotonically_increasing_id())
+    classes = materialise(classes, "classes")
+    reps = whole.join(classes.withColumnRenamed("first_id", "doc_id"), [*mark, "doc_id"]).select("rep", F.col("n_shingles").alias("n"), "registers")
+    reps = materialise(reps.dropDuplicates(["rep"]), "representatives")
+
+    width = 2 * ROWS
+    band = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.col("registers").substr(i * width + 1, F.lit(width))))
+    keyed = reps.select("rep", "n", F.explode(band).alias("key"))
+    met, pivots = _buckets(keyed)
+    star = met.join(pivots, ["key", "part"]).filter("a < rep").filter(_near_sizes("n", "na", percent)).select("a", F.col("rep").alias("b")).distinct()
+    star = materialise(_estimated(star, reps, percent), "pairs")
+    links = materialise(_verified(star, classes, docs, n, percent), "links")
+    more = _links_across(met, connected_components(links), classes, docs, n, percent)
+    joined = materialise(connected_components(links.unionByName(more)), "components")
+    rooted = classes.join(joined.withColumnRenamed("id", "rep"), "rep", "left").select(*mark, "first_id", F.coalesce("root", "rep").alias("root"))
+    smallest = rooted.groupBy("root").agg(F.min("first_id").alias("smallest"))
+    named = rooted.join(smallest, "root").select(*mark, "root", "smallest")
+    has_set = F.expr("n_shingles > 0 and doc_id is not null")
+    out = sketched.select("doc_id", "n_shingles", F.when(has_set, F.col("set_high")).alias("set_high"), F.when(has_set, F.col("set_low")).alias("set_low")).join(named, mark, "left")
+    return out.select("doc_id", "n_shingles", *mark, "root", F.coalesce("smallest", "doc_id").alias("component_id"))
+
+
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """One row per document: n_shingles, component_id (smallest doc_id reachable by links), kept.
 
@@ -258,44 +342,35 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
 
     A null text or one without words is linked with nothing; fewer than n words make one
     shingle. A null doc_id stays by itself, with a null component, and is kept. Rows
-    that share a doc_id are one document to the links. An empty table gives no rows; other columns
+    that share a doc_id are documents each, with their own texts and links. An empty table gives no rows; other columns
     are ignored.
     """
-    sketched = materialise(sketch_documents(docs, n), "sketches")
-    whole = sketched.filter("n_shingles > 0 and doc_id is not null")
-    mark = ["set_high", "set_low"]
-    classes = materialise(whole.groupBy(*mark).agg(F.min("doc_id").alias("rep")), "classes")
-    reps = whole.join(classes.withColumnRenamed("rep", "doc_id"), [*mark, "doc_id"]).select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "registers")
-    reps = materialise(reps.dropDuplicates(["rep"]), "representatives")
-
-    width = 2 * ROWS
-    band = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.col("registers").substr(i * width + 1, F.lit(width))))
-    keyed = reps.select("rep", "n", F.explode(band).alias("key"))
-    met, pivots = _buckets(keyed)
-    star = met.join(pivots, ["key", "part"]).filter("a < rep").filter(_near_sizes("n", "na", percent)).select("a", F.col("rep").alias("b")).distinct()
-    star = materialise(_estimated(star, reps, percent), "pairs")
-    links = materialise(_verified(star, docs, n, percent), "links")
-    more = _links_across(met, connected_components(links), docs, n, percent)
-    sets = classes.filter("rep is not null")
-    joined = materialise(connected_components(links.unionByName(more)), "components")
-    named = sets.join(joined.withColumnRenamed("id", "rep"), "rep", "left").select(*mark, F.coalesce("root", "rep").alias("root"))
-    out = sketched.select("doc_id", "n_shingles", F.when(F.expr("n_shingles > 0 and doc_id is not null"), F.col("set_high")).alias("set_high"), "set_low").join(named, mark, "left")
-    component = F.coalesce("root", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id").isNull() | (F.col("doc_id") == component)).alias("kept"))
+    found = _grouped(docs, n, percent)
+    return found.select("doc_id", "n_shingles", "component_id", (F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))).alias("kept"))
 
 
 def one_of_each_group(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """docs without the rows that near_duplicates doesn't keep, and one row alone of a doc_id that repeats."""
-    found = near_duplicates(docs, n, percent)
-    gone = materialise(found.filter("not kept").select("doc_id").distinct(), "dropped")
+    """docs with one row of each group of near_duplicates, that of the smallest doc_id.
+
+    Rows without a set or without a doc_id stay. A row of a doc_id that repeats goes only if its set is that of a row which stays, or is
+    linked with it: other texts under the same id are documents of their own. Where several rows of a group have its smallest doc_id, one stays.
+    """
+    found = materialise(_grouped(docs, n, percent), "grouped")
+    again = materialise(docs.filter("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("doc_id"), "repeated")
+    repeated = again.count()
+    gone = materialise(found.filter("doc_id <> component_id").select("doc_id").distinct(), "dropped")
     few = gone.count() <= BROADCAST_IDS
     kept = docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(same_columns(docs))
-    again = materialise(docs.filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("doc_id"), "repeated")
-    repeated = again.count()
     if not repeated:
         return kept
     again = F.broadcast(again) if repeated <= BROADCAST_IDS else again
-    single = kept.join(again, "doc_id", "left_semi").select(same_columns(docs)).dropDuplicates(["doc_id"])
+    mark = ["set_high", "set_low"]
+    stays = found.filter("root is not null and doc_id = component_id").groupBy("root").agg(F.min(F.struct("doc_id", "set_high", "set_low")).alias("first")).select("first.*")
+    rows = docs.join(again, "doc_id", "left_semi").select(F.struct(*same_columns(docs)).alias("p_row"), F.col("doc_id").cast("long").alias("p_doc_id"), F.col("text").cast("string").cast("binary").alias("p_text"))
+    own = _with_sets(small_batches(rows), n)
+    mark = [own["p_doc_id"] == stays["doc_id"], own["p_high"] == stays["set_high"], own["p_low"] == stays["set_low"]]
+    single = own.join(stays, mark, "left_semi").dropDuplicates(["p_doc_id", "p_high", "p_low"]).unionByName(own.filter("p_high is null"))
+    single = single.select([F.col("p_row").getField(c).alias(c) for c in docs.columns])
     return kept.join(again, "doc_id", "left_anti").select(same_columns(docs)).unionByName(single)
 
 
