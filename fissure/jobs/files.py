@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fissure.jobs import pipeline
+from fissure.jobs.stages import Stages, not_kept
 from fissure.operators import breakpoints, dedup, finalize, libstats, merge, pairing
 from fissure.sources import schemas, text
 from fissure.sources.shared import materialise
@@ -42,10 +43,15 @@ def write_chosen(chosen: DataFrame, config_path: str, out: str) -> None:
     text.write_frequencies(finalize.frequency_table(finals, details, samples), out + ".freq")
 
 
-def write_calls(spark: SparkSession, mappings: DataFrame, config_path: str, out: str, punt: int = pipeline.PUNT) -> None:
-    """Writes the files of write_chosen, and out.assembled and out.punted: all mappings in clusters, and what was set aside."""
+def write_calls(spark: SparkSession, mappings: DataFrame, config_path: str, out: str, punt: int = pipeline.PUNT, stages: str | None = None) -> None:
+    """Writes the files of write_chosen, and out.assembled and out.punted: all mappings in clusters, and what was set aside.
+
+    stages: a folder where the job's stages stay; a run that finds finished ones there goes on behind them.
+    """
     libraries = text.read_libraries(spark, config_path)
-    found = pipeline.breakpoint_calls(mappings, libraries, libraries.count(), punt)
+    rows = [list(map(str, r)) for r in libraries.orderBy("file_num").collect()]  # a row for each library
+    keep = Stages(spark, stages, {"libraries": rows, "punt": punt}).keep if stages else not_kept
+    found = pipeline.breakpoint_calls(mappings, libraries, len(rows), punt, keep)
     text.write_assembled(found.chosen, out + ".assembled")
     text.write_tsv(found.punted.select(*BEDPE, "mapping_type", "route", "island"), out + ".punted")
     write_chosen(found.chosen, config_path, out)
@@ -81,11 +87,11 @@ def write_track(spark: SparkSession, calls: str, out: str, name: str, far: int =
     text.write_ordered(lines, out, f"track name={name} itemRgb=On", ["chrom", "start", "end", "name", "strand"])
 
 
-def call_alignments(spark: SparkSession, config_path: str, out: str, punt: int = pipeline.PUNT) -> None:
+def call_alignments(spark: SparkSession, config_path: str, out: str, punt: int = pipeline.PUNT, stages: str | None = None) -> None:
     """Calls from the alignments of a config; the discordant pairs are written as out.bedpe."""
-    write_calls(spark, extract(spark, config_path, out + ".bedpe"), config_path, out, punt)
+    write_calls(spark, extract(spark, config_path, out + ".bedpe"), config_path, out, punt, stages)
 
 
-def call_mappings(spark: SparkSession, config_path: str, out: str, punt: int = pipeline.PUNT) -> None:
+def call_mappings(spark: SparkSession, config_path: str, out: str, punt: int = pipeline.PUNT, stages: str | None = None) -> None:
     """Calls from paired intervals that lie beside the alignments of a config."""
-    write_calls(spark, text.read_mappings(spark, text.read_libraries(spark, config_path)), config_path, out, punt)
+    write_calls(spark, text.read_mappings(spark, text.read_libraries(spark, config_path)), config_path, out, punt, stages)

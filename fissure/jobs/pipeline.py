@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 
+from fissure.jobs.stages import not_kept
 from fissure.operators import assemble, finalize, islands, route
 from fissure.sources import tables
 from fissure.sources.shared import materialise
@@ -33,10 +35,26 @@ def supported(mappings: DataFrame, libraries: DataFrame, most: int, usage: str |
     return materialise(islands.pair_support(islands.tolerances(inside, libraries)), "supported"), punted
 
 
-def breakpoint_calls(mappings: DataFrame, libraries: DataFrame, n_libraries: int, punt: int = PUNT) -> Found:
-    """Calls of all islands of at most punt mappings for each library; the larger ones are an output of their own."""
-    inside, punted = supported(mappings, libraries, n_libraries * punt)
-    chosen = finalize.choose_clusters(assemble.assemble(inside))
+def breakpoint_calls(mappings: DataFrame, libraries: DataFrame, n_libraries: int, punt: int = PUNT, keep: Callable[..., DataFrame] = not_kept) -> Found:
+    """Calls of all islands of at most punt mappings for each library; the larger ones are an output of their own.
+
+    keep holds the stages (see Stages): mappings with support, those set aside, and those in clusters, by island.
+    """
+    split: list[tuple[DataFrame, DataFrame]] = []
+
+    def part(i: int) -> DataFrame:
+        if not split:
+            split.append(in_islands(mappings, n_libraries * punt))
+        return split[0][i]
+
+    def inside() -> DataFrame:
+        found = islands.pair_support(islands.tolerances(part(0), libraries))
+        return materialise(found, "supported") if keep is not_kept else found
+
+    rows = keep("supported", inside, islands.KEY)
+    punted = keep("punted", lambda: part(1), islands.KEY)
+    clustered = keep("clustered", lambda: assemble.assemble(rows), ["cluster_id"])
+    chosen = finalize.choose_clusters(clustered)
     return Found(finalize.final_calls(chosen), chosen, punted)
 
 

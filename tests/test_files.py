@@ -1,7 +1,11 @@
 """Readers, writers and the jobs from files to files."""
 
-from fissure.jobs import files
-from fissure.sources import schemas, text
+import pytest
+
+from fissure.jobs import files, pipeline
+from fissure.jobs.stages import Stages
+from fissure.operators import assemble
+from fissure.sources import schemas, tables, text
 
 HEADER = "@HD\tVN:1.6\n@SQ\tSN:chr1\tLN:1000000\n@SQ\tSN:chr2\tLN:1000000\n"
 
@@ -129,3 +133,39 @@ def test_track_file(spark, tmp_path):
     assert lines[0] == "track name=calls itemRgb=On" and [tuple(x.split("\t")[:2]) for x in lines[1:]] == [("chr1", "-491"), ("chr2", "500"), ("chr3", "-400"), ("chr5", "40")]
     assert lines[2].split("\t")[3] == "7,3:+/-:intra:chr2:500-2100"
     assert lines[3].split("\t") == ["chr3", "-400", "250", "9,4:./-:orphan:150", "150", "-", "-400", "250", "0,0,0", "2", "1,150", "0,500"]
+
+
+def test_a_job_goes_on_from_any_stage(spark, tmp_path):
+    write_sams(tmp_path)
+    (tmp_path / "config").write_text("".join(f"S.{k}\t{tmp_path}/lib{k}.sam\t302\t1\t3\n" for k in range(2)))
+    files.call_alignments(spark, str(tmp_path / "config"), str(tmp_path / "plain"))
+    for k in range(2):
+        rows = text.read_tsv(spark, str(tmp_path / "plain.bedpe"), schemas.BEDPE).filter(f"read_id like 'S.{k}.%'")
+        text.write_tsv(rows, str(tmp_path / f"lib{k}.sam.bedpe"))
+    kinds, names = ("all", "final", "detail", "freq", "assembled"), ["supported", "punted", "clustered"]
+    same = lambda out: [sorted(lines_of(tmp_path / f"{out}.{kind}")) for kind in kinds]
+    files.call_mappings(spark, str(tmp_path / "config"), str(tmp_path / "first"), stages=str(tmp_path / "stages"))
+    want = same("first")
+    assert all(want) and [sorted(x.split("\t")[:6] for x in want[1])] == [sorted(x.split("\t")[:6] for x in same("plain")[1])]
+    for n in range(3, -1, -1):  # all stages finished, then one fewer each time
+        if n < 3:
+            (tmp_path / "stages" / f"{names[n]}.json").unlink()
+        files.call_mappings(spark, str(tmp_path / "config"), str(tmp_path / f"again{n}"), stages=str(tmp_path / "stages"))
+        assert same(f"again{n}") == want
+        if n < 3:
+            for name in names[:n]:
+                assert (tmp_path / "stages" / f"{name}.json").exists()
+    (tmp_path / "config").write_text((tmp_path / "config").read_text().replace("302", "310"))
+    with pytest.raises(ValueError, match="made from something else"):
+        files.call_mappings(spark, str(tmp_path / "config"), str(tmp_path / "other"), stages=str(tmp_path / "stages"))
+
+
+def test_a_restart_needs_no_exchange_by_island(spark, tmp_path):
+    supported, _ = pipeline.supported(tables.mappings(spark, "/root/testdata/sf0.001"), tables.libraries(spark), 150)
+    want = sorted(map(tuple, assemble.assemble(supported).select("row_id", "cluster_id").collect()))
+    Stages(spark, f"file://{tmp_path}/s", {"a": 1}, buckets=4).keep("supported", lambda: supported, ["route", "island"])
+    again = Stages(spark, f"file://{tmp_path}/s", {"a": 1}).keep("supported", lambda: 1 / 0, ["route", "island"])
+    found = assemble.assemble(again)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Bucketed: true" in plan
+    assert sorted(map(tuple, found.select("row_id", "cluster_id").collect())) == want
