@@ -13,11 +13,12 @@ from pyspark.sql import functions as F
 from fissure.llm.components import connected_components
 from fissure.llm.shared import materialise, table
 
-#: Distinct vectors a cell holds on average, most cells, and the bounded sample (in numbers) that fits them.
-CELL, MOST_CELLS, SAMPLE_VALUES = 1024, 1024, 1 << 19
+#: Distinct vectors a cell holds on average, most cells, and the bounded sample (in numbers) that fits them. Where vectors have no
+#: clusters the bound on distances spares few cells, so cells are large: a product costs less than one more row to ship.
+CELL, MOST_CELLS, SAMPLE_VALUES = 8192, 4096, 1 << 21
 ROUNDS = 8
-#: Vectors of a cell that one block compares with as many others.
-BLOCK = 1024
+#: Vectors of a cell that one block compares with as many others, the numbers that these hold, and the vectors of a product.
+BLOCK, BLOCK_VALUES, SLICE = 4096, 1 << 20, 512
 
 
 def spherical_k_means(unit: np.ndarray, k: int, rounds: int = ROUNDS) -> np.ndarray:
@@ -81,8 +82,11 @@ def _local_links(linked: np.ndarray, left: np.ndarray, right: np.ndarray) -> tup
     some = linked[np.ix_(rows, columns)]
     top = np.iinfo(np.int64).max
     while len(rows):
-        x = np.minimum(a[rows], np.where(some, b[columns][None, :], top).min(1))
-        y = np.minimum(b[columns], np.where(some, x[:, None], top).min(0))
+        x, y, ahead = a[rows], b[columns].copy(), b[columns]
+        for at in range(0, len(rows), SLICE):
+            part = some[at : at + SLICE]
+            x[at : at + SLICE] = np.minimum(x[at : at + SLICE], np.where(part, ahead[None, :], top).min(1))
+            y = np.minimum(y, np.where(part, x[at : at + SLICE, None], top).min(0))
         if (x == a[rows]).all() and (y == b[columns]).all():
             break
         a[rows], b[columns] = x, y
@@ -113,18 +117,26 @@ def _compare(centres: dict[int, np.ndarray], threshold: float):
         is_left, is_right = block["is_left"].to_numpy(), block["is_right"].to_numpy()
         unit, rep, mult, own = _unit(block["unit"].tolist(), dim), block["rep"].to_numpy(), block["mult"].to_numpy(), block["own"].to_numpy()
         left, right = np.flatnonzero(is_left), np.flatnonzero(is_right)
-        linked = unit[left] @ unit[right].T >= threshold
         same = inner and len(left) == len(right) and (left == right).all()
-        if same:
-            np.fill_diagonal(linked, False)
-        elif not inner and len(left) and len(right) and dim in centres:
-            # A pair of different cells may meet in both; the smaller cell counts it.
-            _, at = visits(unit[left], centres[dim], threshold)
-            linked &= ~(at[:, own[right]] & (own[right] < cell)[None, :])
+        linked, others = np.zeros((len(left), len(right)), bool), unit[right].T
+        links_left, links_right = np.zeros(len(left), np.int64), np.zeros(len(right), np.int64)
+        for at in range(0, len(left), SLICE):
+            some = left[at : at + SLICE]
+            here = unit[some] @ others >= threshold
+            if same:
+                here[np.arange(len(some)), np.arange(at, at + len(some))] = False
+            elif not inner and len(right) and dim in centres:
+                # A pair of different cells may meet in both; the smaller cell counts it.
+                _, near = visits(unit[some], centres[dim], threshold)
+                here &= ~(near[:, own[right]] & (own[right] < cell)[None, :])
+            linked[at : at + SLICE] = here
+            rows, columns = np.nonzero(here)
+            np.add.at(links_left, rows + at, mult[right[columns]])
+            np.add.at(links_right, columns, mult[some[rows]])
         a, b = _local_links(linked, rep[left], rep[right])
-        parts = [pd.DataFrame({"rep": rep[left], "links": linked @ mult[right], "root": a})]
+        parts = [pd.DataFrame({"rep": rep[left], "links": links_left, "root": a})]
         if not same:
-            parts.append(pd.DataFrame({"rep": rep[right], "links": mult[left] @ linked, "root": b}))
+            parts.append(pd.DataFrame({"rep": rep[right], "links": links_right, "root": b}))
         out = pd.concat(parts)
         return out[out["links"] > 0]
 
@@ -157,7 +169,8 @@ def near_vectors(embeddings: DataFrame, threshold: float = 0.9) -> DataFrame:
     placed = distinct.mapInArrow(lambda batches: _places(batches, shared.value, threshold), "rep long, mult long, dim int, unit binary, cell int, own int")
     placed = materialise(placed, "cells")
     counts = placed.groupBy("dim", "cell").agg(F.count_if(F.col("own") == F.col("cell")).alias("homes"), F.count_if(F.col("own") != F.col("cell")).alias("guests"))
-    chunks = lambda n: F.greatest(F.ceil(F.col(n) / BLOCK), F.lit(1)).cast("int")
+    block_rows = F.greatest(F.least(F.lit(BLOCK), F.floor(F.lit(BLOCK_VALUES) / F.greatest("dim", F.lit(1)))), F.lit(1))
+    chunks = lambda n: F.greatest(F.ceil(F.col(n) / block_rows), F.lit(1)).cast("int")
     # At most MOST_CELLS rows for each dimension.
     placed = placed.join(F.broadcast(counts.select("dim", "cell", chunks("homes").alias("h"), chunks("guests").alias("g"))), ["dim", "cell"])
     home = F.col("own") == F.col("cell")

@@ -457,6 +457,7 @@ def test_vectors_equal_all_pairs(spark, monkeypatch):
     rows += [(top, None), (top + 1, []), (top + 2, [0.0] * 16), (top + 3, [None] + [1.0] * 15), (top + 4, [float("nan")] + [1.0] * 15), (top + 5, [float("inf")] * 16), (top + 6, [1.0, 2.0]), (top + 7, [2.0, 4.0]), (None, rows[0][1]), (top + 8, [1e200] * 16), (top + 9, [1e-200] * 16)]
     monkeypatch.setattr(vectors, "CELL", 16)
     monkeypatch.setattr(vectors, "BLOCK", 8)
+    monkeypatch.setattr(vectors, "SLICE", 3)
     frame = spark.createDataFrame([(i, v, 0, 0) for i, v in rows], "vec_id long, embedding array<double>, rep int, cell int")
     counts, components = exact_vectors(rows)
     got = {r["vec_id"]: r for r in vectors.near_vectors(frame).collect()}
