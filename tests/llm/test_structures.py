@@ -330,3 +330,41 @@ def test_gates_are_words_of_every_match():
         here = set(words.split())
         gated = {i for gate, some in scanner.gates if gate <= here for i in some}
         assert {i for i, (_, p) in enumerate(scanner.rules) if p.search(words)} <= gated
+
+
+def test_language_training_equals_plain_counts(spark, monkeypatch):
+    """The sample, its calibration rows and the counts of n-grams, from doc_ids, texts and labels alone."""
+    import struct
+
+    import xxhash
+
+    from fissure.llm import langid
+    from fissure.llm.shared import table
+
+    monkeypatch.setattr(langid, "SAMPLE_ROWS", 25)
+    monkeypatch.setattr(langid, "SAMPLE_CHARACTERS", 40_000)
+    docs = table(spark, "/root/testdata/sf0.001", "documents")
+    by = defaultdict(list)
+    for r in docs.select("doc_id", "text", "lang").collect():
+        if r["lang"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 5:
+            at = xxhash.xxh64_intdigest(struct.pack("<q", r["doc_id"]), 42)
+            by[r["lang"]].append((at - (1 << 64) if at >= 1 << 63 else at, r["doc_id"], r["text"]))
+    counts, held = defaultdict(Counter), []
+    for lang, rows in by.items():
+        rows = [r for r in rows if r[0] % (1 << 30) < min(1.0, 2.0 * 25 / len(rows)) * (1 << 30) and r[2] is not None]
+        ahead = 0
+        for rank, (_, _, text) in enumerate(sorted(rows), 1):
+            if rank > 25 or ahead >= 40_000:
+                break
+            ahead += len(text)
+            if rank % langid.CALIBRATION == 0:
+                held.append((text, lang))
+                continue
+            for run in "".join(c if c.isalpha() else " " for c in text.lower()).split():
+                counts[lang].update(f" {run} "[max(0, t - 3) : t + 1] for t in range(1, len(run) + 2))
+    want, got = langid.Model(sorted(counts), counts), langid.train(docs)
+    want.calibrate([t for t, _ in held], [lang for _, lang in held])
+    assert got.languages == want.languages and len(got.languages) == 4 and len(held) > 8
+    for a, b in zip(got.grams + got.backoff, want.grams + want.backoff, strict=True):
+        assert (a[0] == b[0]).all() and np.allclose(a[1], b[1], rtol=1e-12, atol=1e-12, equal_nan=True)
+    assert np.allclose(got.usual, want.usual) and np.allclose(got.spread, want.spread) and np.isclose(got.limit, want.limit)
