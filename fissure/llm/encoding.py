@@ -5,8 +5,8 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from itertools import chain
-from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -14,13 +14,12 @@ import pyarrow.compute as pc
 
 from fissure.llm.shared import kept_in_process
 
-#: Bytes of remembered ids, of runs of letters and of other pieces (bound a worker's memory, not its input); what an entry
-#: takes besides its characters and ids.
-LETTER_BYTES, OTHER_BYTES, ENTRY_BYTES = 32_000_000, 6_000_000, 180
+#: Bytes of remembered pieces and ids, of runs of letters and of other pieces; they bound a worker's memory, not its input.
+LETTER_BYTES, OTHER_BYTES = 16_000_000, 4_000_000
 BATCH_WORDS = 4096
-MARKS = ",.;:!?"
+MARKS = [*",.;:!?"]
 #: Runs of the letters below U+0100, and a mark behind one.
-LETTERS, MARK = "^[A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+$", f"[{MARKS}]$"
+LETTERS, MARK = "^[A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+$", f"[{''.join(MARKS)}]$"
 
 
 #: The characters that byte-level vocabularies write for bytes: printable Latin-1 stands for itself, the others follow from 256 up.
@@ -32,32 +31,69 @@ def _listed(strings: pa.Array) -> list[str]:
     return strings.to_numpy(zero_copy_only=False).tolist()
 
 
+def _ragged(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Stretches of flat, one behind the other."""
+    if not len(sizes):
+        return flat[:0]
+    ends = np.cumsum(sizes)
+    at = np.repeat((starts - (ends - sizes)).astype(np.int32), sizes)
+    at += np.arange(len(at), dtype=np.int32)
+    return flat[at]
+
+
+def _before(sizes: np.ndarray) -> np.ndarray:
+    return np.cumsum(sizes) - sizes
+
+
+@dataclass
+class Known:
+    """Distinct pieces with their ids, those of a piece behind those of the one before it."""
+
+    pieces: pa.Array
+    flat: np.ndarray
+    sizes: np.ndarray
+
+    def find(self, pieces: pa.Array) -> np.ndarray:
+        """The place of each piece; -1 where it isn't known."""
+        return pc.fill_null(pc.index_in(pieces, value_set=self.pieces), -1).to_numpy(zero_copy_only=False).copy()
+
+    def taken(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        sizes = self.sizes[at]
+        return _ragged(self.flat, _before(self.sizes)[at], sizes), sizes
+
+    def bytes(self) -> int:
+        return self.pieces.nbytes + self.flat.nbytes + self.sizes.nbytes
+
+
+NONE_KNOWN = Known(pa.array([], pa.large_string()), np.empty(0, "<u4"), np.empty(0, np.int64))
+
+
 class Memo:
     """Ids by piece, in two generations of bounded size: what the younger one hasn't met for its length is forgotten."""
 
     def __init__(self, most: int):
-        self.most, self.size = most // 2, 0
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def ids(self, pieces: list[str], make: Callable[[list[str]], list[bytes]]) -> list[bytes]:
-        """Ids of each piece; make gives those that aren't remembered."""
-        found = list(map(self.young.get, pieces))
-        rest = [i for i, x in enumerate(found) if x is None]
-        for at in range(0, len(rest), BATCH_WORDS):
-            some = rest[at : at + BATCH_WORDS]
-            keys = [pieces[i] for i in some]
-            known = list(map(self.old.get, keys))
-            new = iter(make([k for k, x in zip(keys, known, strict=True) if x is None]))
-            got = [next(new) if x is None else x for x in known]
-            for i, raw in zip(some, got, strict=True):
-                found[i] = raw
-            self.size += ENTRY_BYTES * len(keys) + sum(map(len, keys)) + sum(map(len, got))
-            if self.size > self.most:
-                self.old, self.young, self.size = self.young, {}, 0
-            else:
-                self.young.update(zip(keys, got, strict=True))
-        return found
+        self.most = most // 2
+        self.young = self.old = NONE_KNOWN
+
+    def ids(self, pieces: pa.Array, make: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """ids, and where those of each of some distinct pieces start, and how many they are; make gives those that aren't remembered."""
+        at = self.young.find(pieces)
+        rest = pieces.filter(pa.array(at < 0))
+        if len(rest):
+            before = self.old.find(rest)
+            new = rest.filter(pa.array(before < 0))
+            made = [make(_listed(new.slice(i, BATCH_WORDS))) for i in range(0, len(new), BATCH_WORDS)]
+            parts = [(self.young.flat, self.young.sizes), self.old.taken(before[before >= 0]), *made]
+            fresh = np.empty(len(rest), at.dtype)
+            fresh[before >= 0] = np.arange((before >= 0).sum())
+            fresh[before < 0] = np.arange((before >= 0).sum(), len(rest))
+            at[at < 0] = fresh + len(self.young.pieces)
+            words = pa.concat_arrays([self.young.pieces, rest.filter(pa.array(before >= 0)), new])
+            self.young = Known(words, *(np.concatenate([p[i] for p in parts]) for i in (0, 1)))
+        held = self.young
+        if held.bytes() > self.most:
+            self.old, self.young = held, NONE_KNOWN
+        return held.flat, _before(held.sizes)[at], held.sizes[at]
 
 
 class Encoder:
@@ -85,9 +121,11 @@ class Encoder:
         self.size = max(self.tokenizer.get_vocab(with_added_tokens=True).values()) + 1
         self.direct = True
         probe = ["a", "hello", "straße", "thorough", "éèê"]
-        self.direct = self._running(probe) == self._separate(probe, " " if self.keeps_space else "")
+        self.direct = all(map(np.array_equal, self._running(probe), self._separate(probe, " " if self.keeps_space else "")))
         self.whole = re.compile("|".join([r" (?=\s)", *map(re.escape, special)] if self.keeps_space else map(re.escape, special)))
-        self.marks = {m: self._plain(m) for m in MARKS} | {"": b""}
+        #: ids of the marks, and how many each has; those of no mark come last.
+        marks = [*map(self._ids, MARKS), np.empty(0, "<u4")]
+        self.mark_ids, self.mark_sizes = np.concatenate(marks), np.array(list(map(len, marks)))
         self.letters, self.others = Memo(LETTER_BYTES), Memo(OTHER_BYTES)
 
     def _ids(self, text: str) -> np.ndarray:
@@ -96,63 +134,61 @@ class Encoder:
     def _plain(self, text: str) -> bytes:
         return self._ids(text).tobytes()
 
-    def _cut(self, ids: np.ndarray, ends: np.ndarray) -> list[bytes]:
-        """ids between places where pieces end."""
-        raw, at = ids.tobytes(), [0, *(4 * ends).tolist()]
-        return [raw[a:b] for a, b in zip(at, at[1:], strict=False)]
-
-    def _separate(self, words: list[str], lead: str) -> list[bytes]:
-        """ids of any pieces, encoded together with a special token between them."""
+    def _separate(self, words: list[str], lead: str) -> tuple[np.ndarray, np.ndarray]:
+        """ids of any pieces, encoded together with a special token between them, and how many each has."""
         ids = self._ids(lead + (self.separator + lead).join(words))
         cuts = np.flatnonzero(ids == self.separator_id)
-        rest = np.delete(ids, cuts)
-        return self._cut(rest, np.array([*(cuts - np.arange(len(cuts))), len(rest)]))
+        return np.delete(ids, cuts), np.diff(np.concatenate([[-1], cuts, [len(ids)]])) - 1
 
-    def _running(self, stems: list[str]) -> list[bytes]:
+    def _running(self, stems: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """ids of runs of letters: each is one unit before merging, so the model's merges alone are needed."""
         if not self.direct:
             return self._separate(stems, " " if self.keeps_space else "")
         merge, lead = self.tokenizer.model.tokenize, _BYTE_CHARACTERS[32] if self.keeps_space else ""
-        plain = (lead + (s if s.isascii() else "".join(map(_BYTE_CHARACTERS.__getitem__, s.encode()))) for s in stems)
+        plain = [lead + (s if s.isascii() else "".join(map(_BYTE_CHARACTERS.__getitem__, s.encode()))) for s in stems]
         ids = [[t.id for t in merge(s)] for s in plain]
-        sizes = np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))
-        return self._cut(np.fromiter(chain.from_iterable(ids), "<u4", int(sizes[-1]) if len(ids) else 0), sizes)
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.fromiter(chain.from_iterable(ids), "<u4", int(sizes.sum())), sizes
 
-    def _of_words(self, words: pa.Array) -> list[bytes]:
-        """ids of distinct pieces that a space goes before."""
+    def _of_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """ids of distinct pieces that a space goes before, and how many each has."""
         lead = " " if self.keeps_space else ""
         stems = pc.replace_substring_regex(words, MARK, "")
         simple = pc.match_substring_regex(stems, LETTERS)
         some, runs = words.filter(simple), stems.filter(simple)
         coded = (pc.utf8_lower(runs) if self.folds else runs).dictionary_encode()
-        ids = self.letters.ids(_listed(coded.dictionary), self._running)
-        ends = pc.if_else(pc.equal(pc.binary_length(some), pc.binary_length(runs)), "", pc.utf8_slice_codeunits(some, -1))
-        built = list(map(add, map(ids.__getitem__, coded.indices.to_numpy().tolist()), map(self.marks.__getitem__, _listed(ends))))
-        odd = self.others.ids(_listed(words.filter(pc.invert(simple))), lambda new: self._separate(new, lead))
+        flat, starts, sizes = self.letters.ids(coded.dictionary, self._running)
+        odd, odd_starts, odd_sizes = self.others.ids(words.filter(pc.invert(simple)), lambda new: self._separate(new, lead))
+        codes = coded.indices.to_numpy(zero_copy_only=False)
+        mark = pc.fill_null(pc.index_in(pc.utf8_slice_codeunits(some, -1), value_set=pa.array(MARKS, pa.large_string())), len(MARKS)).to_numpy(zero_copy_only=False)
         is_simple = simple.to_numpy(zero_copy_only=False)
-        known = np.empty(len(words), object)
-        known[is_simple], known[~is_simple] = built, odd
-        return known.tolist()
+        # Two stretches for each piece: its run of letters, or all of it, and its mark.
+        at, n = np.zeros((2, len(words), 2), np.int64)
+        at[is_simple, 0], n[is_simple, 0] = starts[codes], sizes[codes]
+        at[is_simple, 1], n[is_simple, 1] = (_before(self.mark_sizes) + len(flat))[mark], self.mark_sizes[mark]
+        at[~is_simple, 0], n[~is_simple, 0] = odd_starts + len(flat) + len(self.mark_ids), odd_sizes
+        return _ragged(np.concatenate([flat, self.mark_ids, odd]), at.ravel(), n.ravel()), n.sum(1)
 
     def _pieces(self, texts: list[str]) -> list[bytes]:
         """ids of texts that may be cut at every space."""
+        if not texts:
+            return []
         lists = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
-        at = lists.offsets.to_pylist()
+        at = lists.offsets.to_numpy()
         coded = lists.flatten().dictionary_encode()
         codes = coded.indices.to_numpy(zero_copy_only=False)
-        known = self._of_words(coded.dictionary)
-        heads: dict[int, bytes] = {}
+        known, sizes = self._of_words(coded.dictionary)
         if self.keeps_space:  # no space goes before a text's first piece
-            first = np.unique(codes[at[:-1]])
+            first, place = np.unique(codes[at[:-1]], return_inverse=True)
             words = _listed(coded.dictionary.take(pa.array(first)))
-            for i in range(0, len(words), BATCH_WORDS):
-                heads |= zip(first[i : i + BATCH_WORDS].tolist(), self._separate(words[i : i + BATCH_WORDS], ""), strict=True)
-        out = []
-        for a, b in zip(at, at[1:], strict=False):
-            some = codes[a:b].tolist()
-            head = heads[some[0]] if self.keeps_space else known[some[0]]
-            out.append(head + b"".join(map(known.__getitem__, some[1:])))
-        return out
+            heads = [self._separate(words[i : i + BATCH_WORDS], "") for i in range(0, len(words), BATCH_WORDS)]
+            codes = codes.copy()
+            codes[at[:-1]] = len(sizes) + place
+            known, sizes = np.concatenate([known, *[h[0] for h in heads]]), np.concatenate([sizes, *[h[1] for h in heads]])
+        lengths = sizes[codes]
+        raw = _ragged(known, _before(sizes)[codes], lengths).tobytes()
+        ends = (4 * np.concatenate([[0], np.cumsum(lengths)])[at]).tolist()
+        return [raw[a:b] for a, b in zip(ends, ends[1:], strict=False)]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text; None is empty."""
@@ -166,7 +202,7 @@ def encoder(path: str) -> Encoder:
     return kept_in_process(f"encoder {path}", lambda: Encoder(path))
 
 
-def text_chunks(texts: pa.Array, budget: int = 1 << 20) -> Iterator[tuple[int, int, list[str | None]]]:
+def text_chunks(texts: pa.Array, budget: int = 1 << 21) -> Iterator[tuple[int, int, list[str | None]]]:
     """Texts in ranges of about `budget` bytes, so that work space stays bounded whatever a batch holds."""
     upto = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     start = 0
