@@ -36,3 +36,14 @@ def test_encoder_forgets_within_its_bounds():
         assert encoder.encode(some) == [np.array(x.ids, "<u4").tobytes() for x in plain]
         assert encoder.letters.young.bytes() <= 2000 and encoder.others.young.bytes() <= 1000
     assert LETTER_BYTES + OTHER_BYTES <= 38_000_000
+
+
+def test_stages_begin_with_a_collection(spark):
+    import corpus_pipeline
+    from fissure.llm.shared import table
+
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans
+    full = lambda: sum(b.getCollectionCount() for b in beans() if "Old" in b.getName() or "MarkSweep" in b.getName())
+    before = full()
+    corpus_pipeline.pack(spark, table(spark, "/root/testdata/sf0.001", "documents"), "/root/testdata/sf0.001")
+    assert full() > before
