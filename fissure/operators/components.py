@@ -22,7 +22,7 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b", most_roun
 
     Each round ties every node's larger neighbours to its smallest one, then its
     smaller neighbours and itself likewise, and writes the links that result;
-    it ends when a round changes none. The number of links never grows, and
+    it ends when a round changes none. A round's links go once the next ones are written. The number of links never grows, and
     a node with very many neighbours meets them in a join that Spark can split, after
     its minimum was found with partial aggregates. Self-links and null ends are ignored.
     """
@@ -38,7 +38,7 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b", most_roun
         hubs = _hub(larger)
         smaller = larger.join(hubs, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = smaller.unionByName(hubs.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
-        edges = materialise(edges, "edges")
+        edges = materialise(edges, "edges", last=True)
         after = _fingerprint(edges)
         if after == before:
             break
