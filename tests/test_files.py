@@ -1,6 +1,7 @@
 """Readers, writers and the jobs from files to files."""
 
 import pytest
+from pyspark.sql import Row
 
 from fissure.jobs import files, pipeline
 from fissure.jobs.stages import Stages
@@ -169,3 +170,12 @@ def test_a_restart_needs_no_exchange_by_island(spark, tmp_path):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Bucketed: true" in plan
     assert sorted(map(tuple, found.select("row_id", "cluster_id").collect())) == want
+
+
+def test_assembled_rows_beyond_four_bytes(spark):
+    """Places beyond 2^31 keep their value; rows within have the types of the layout."""
+    row = Row(chrom1="chr1", start1=100, end1=200, chrom2="chr2", start2=900, end2=1000, read_id="a.1", which_mate_is_block1=1, strand1="+", strand2="-", edit1=0, edit2=1, mappings1=1, mappings2=1, mapq1=9, mapq2=9, mapping_type=1, size_off=400, support=1, cluster_id="r_1", file_num=0)
+    near = text.assembled_layout(spark.createDataFrame([row]))
+    assert {t for c, t in near.dtypes if c.startswith(("start", "end", "size"))} == {"int"}
+    far = text.assembled_layout(spark.createDataFrame([row, Row(**(row.asDict() | {"start2": 6_000_000_600, "end2": 6_000_000_700, "size_off": 6_000_000_101}))]))
+    assert sorted((r["start2"], r["end2"], r["size_off"], r["end1"]) for r in far.collect()) == [(900, 1000, 400, 200), (6_000_000_600, 6_000_000_700, 6_000_000_101, 200)]
