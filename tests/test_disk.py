@@ -42,6 +42,6 @@ def test_spent_tables_go(spark):
     assert "b" not in tables(spark).values()
 
 
-@pytest.mark.parametrize(("name", "most"), [("dedup_either", ["inferior", "marks"]), ("numbered_calls", ["binned"]), ("frequency_table", ["chosen", "finals"]), ("notboth_anti", ["finals"]), ("merged_detail", ["calls", "details"]), ("merge_fixpoint", ["calls"]), ("merged_final", ["calls"]), ("merge_map", ["calls"]), ("footprint_overlap_join", ["finals"]), ("merge_round", ["binned"]), ("greedy_clusters", ["supported"]), ("breakpoint_calls", ["chosen", "punted"])])
+@pytest.mark.parametrize(("name", "most"), [("dedup_either", ["inferior", "marks"]), ("numbered_calls", ["binned"]), ("frequency_table", ["chosen", "finals"]), ("notboth_anti", ["finals"]), ("merged_detail", ["calls", "details"]), ("merge_fixpoint", ["calls"]), ("merged_final", ["calls"]), ("merge_map", ["calls"]), ("footprint_overlap_join", ["finals"]), ("merge_round", ["binned"]), ("greedy_clusters", ["supported"]), ("merge_runs", ["binned"]), ("breakpoint_calls", ["chosen", "punted"])])
 def test_a_query_leaves_what_its_rows_come_from(spark, name, most):
     assert left(spark, name) == most
